@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import quality, simhash
+from strandline.llm import decontam, licenses, mixing, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,29 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op4_decontamination": op4_decontamination,
+    "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
+    "op10_licenses": op10_licenses,
 }
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -57,4 +77,57 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL}
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _alnum_words(text: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(x=f"coalesce({text}, '')")}, '{_ALNUM}')"
+
+
+OP4_SQL = f"""
+WITH b AS (SELECT item_id, {_alnum_words('text')} AS w FROM benchmark),
+bl AS (SELECT *, least(13, len(w)) AS span FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, span, array_to_string(w[i:i + span - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - span + 2)) AS i FROM bl)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_alnum_words('text')} AS w FROM documents),
+dw AS (SELECT rid, span, i, array_to_string(w[i:i + span - 1], ' ') AS g
+  FROM (SELECT rid, w, span, unnest(range(1, len(w) - span + 2)) AS i FROM d, (SELECT DISTINCT span FROM bw) s WHERE len(w) >= span)),
+hits AS (SELECT rid, dw.span, i, item FROM dw JOIN bw ON dw.span = bw.span AND dw.g = bw.g),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + span)) AS p FROM hits) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (rid) LEFT JOIN it USING (rid)
+"""
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+s AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS newest FROM s)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM m
+"""
+
+_PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_alnum_words('text')} AS w FROM documents),
+p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_PHRASES}) v(phrase, label)),
+places AS (SELECT rid, label, i - 1 AS place FROM (SELECT rid, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, p) WHERE w[i:i + len(p) - 1] = p),
+base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY rid),
+t AS (SELECT id, label, list_distinct({_alnum_words('text')}) AS t FROM (VALUES {_TEMPLATES}) v(id, label, text)),
+l AS (SELECT rid, list_distinct({_alnum_words('line')}) AS l FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+m AS (SELECT rid, label, max(len(list_intersect(t, l)) / CAST(len(t) AS DOUBLE)) AS share FROM l, t
+  WHERE len(list_intersect(t, l)) >= ceil({licenses.THRESHOLD}e0 * len(t) - 1e-9) GROUP BY rid, label),
+labels AS (SELECT rid, string_agg(label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM (SELECT rid, label, bool_or(base) AS base, max(share) AS share FROM
+    (SELECT rid, label, true AS base, 1e0 AS share FROM places UNION ALL SELECT rid, label, false, share FROM m) GROUP BY rid, label) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN labels USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op10_licenses": OP10_SQL}
