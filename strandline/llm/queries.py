@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import decontam, licenses, mixing, pii, quality, simhash, warc
+from strandline.llm import chat, decontam, licenses, mixing, pii, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grades = _table(spark, sf_dir, "labels").select("doc_id", toxicity.severity_grade().alias("grade"))
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), grades)
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +55,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
+    "op5_chat": op5_chat,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
 }
 
