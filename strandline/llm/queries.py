@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import chat, decontam, licenses, mixing, pii, quality, simhash, toxicity, warc
+from strandline.llm import chat, decontam, katz, licenses, mixing, pii, quality, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades = _table(spark, sf_dir, "labels").select("doc_id", toxicity.severity_grade().alias("grade"))
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), grades)
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
 }
