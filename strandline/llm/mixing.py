@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandline.llm.text import SPACED_WORD
-from strandline.session import cut
+from strandline.session import cut, fresh
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 42
 #: Units that one task balances together.
@@ -137,8 +137,13 @@ def mix(
     takes part with nothing; a null source is a source; repeated rows are drawn one by one; an empty table gives an
     empty frame.  The same rows give the same mix again, whatever their order.
     """
+    return _drawn(docs, id_col, text_col, source_col, weights, most, seed).drop("text_hash")
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    text_hash = F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("text_hash")
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), text_hash, F.col(source_col).cast("string").alias("source"), size.alias("size")))
     targets = cut(source_targets(rows, weights, most).withColumnRenamed("source", "of").drop("n"))
     side = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -148,5 +153,31 @@ def mix(
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(due - F.col("whole"), F.lit(0.0))).otherwise(0.0))
     )
     copies = (F.col("whole") + F.col("p").cast("long")).alias("copies")
-    drawn = cube_sample(units, seed).select("doc_id", "source", "size", "source_size", "target", copies)
+    drawn = cube_sample(units, seed).select("doc_id", "text_hash", "source", "size", "source_size", "target", copies)
     return drawn.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED,
+) -> DataFrame:
+    """The documents that the mix takes, with all their columns and ``size, source_size, target, copies, taken``.
+
+    Existing columns of these names are replaced.  Rows of the same id, text and source stay once, with the copies of all.
+    """
+    own = ["size", "source_size", "target", "copies", "taken"]
+    drawn = _drawn(docs, id_col, text_col, source_col, weights, most, seed)
+    d, h, o, n = (fresh(docs, f"mix_{x}") for x in ("id", "hash", "source", "rows"))
+    taken = cut(
+        drawn.groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h), F.col("source").alias(o))
+        .agg(*[F.max(c).alias(c) for c in own[:3]], *[F.sum(c).alias(c) for c in own[3:]], F.count("*").alias(n)).where("copies > 0")
+    )
+    kept = docs.drop(*[c for c in docs.columns if c.lower() in own])
+    same = (
+        F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text_col).isNull(), F.col(text_col)) == F.col(h))
+        & F.col(source_col).cast("string").eqNullSafe(F.col(o))
+    )
+    out = kept.join(taken, same)
+    if not taken.where(F.col(n) > 1).isEmpty():
+        out = out.dropDuplicates([d, h, o])
+    return out.select(*kept.columns, *own)
