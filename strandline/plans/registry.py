@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandline.plans import feed, fusion, state
+from strandline.plans import feed, fusion, intel, state
 
-MODULES = (feed, fusion, state)
+MODULES = (feed, fusion, intel, state)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
