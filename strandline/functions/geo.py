@@ -13,7 +13,7 @@ COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_KM)
+    return F.when(h.isNotNull(), F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_KM))  # least() passes over nulls
 
 
 def flat_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

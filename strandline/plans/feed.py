@@ -172,7 +172,7 @@ def src22_systematic_sample(spark, sf):
 
 # Geometry
 
-HAV = "2 * 6371 * asin(least(1e0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"
+HAV = "CASE WHEN {a}lat IS NOT NULL AND {b}lat IS NOT NULL THEN 2 * 6371 * asin(least(1e0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2)))) END"
 S, C = places_sql("supplier", "s_suppkey"), places_sql("customer", "c_custkey")
 
 
