@@ -1,6 +1,6 @@
 """Katz backoff language model with Good-Turing discounts, over the whole corpus.
 
-Counts live in tables partitioned by n-gram.  Documents are tokenised into blocks of about a million tokens; a block
+Counts live in tables partitioned by n-gram.  Documents are tokenised into blocks of about two million tokens; a block
 asks the tables only for its distinct words and word pairs, in packed arrays by partition, and gets the whole corpus'
 counts back in the same order.  So each n-gram is sent once a block however often it stands there, a hot one is at
 most a number in every block, and nothing the size of the vocabulary is broadcast or collected.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandline.llm.text import arrow_schema, spaced_words
 from strandline.session import cut
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 #: Tokens a partition of the count tables stands for.
 PART_TOKENS = 1 << 19
 #: Good-Turing discounts hold for counts up to this.
@@ -33,11 +34,27 @@ BEGIN = 0
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Compressed bytes, all first bytes of the numbers before all second ones, so that small numbers stay small."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a step's shuffle files as soon as the step is over (each ends in the shared folder)."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -146,8 +163,8 @@ def _split(table: pa.Table, lengths: np.ndarray, arrays: list[np.ndarray]) -> It
 HISTOGRAM = MOST_DISCOUNTED + 2
 
 
-WORD_ASK = "part int, block bigint, words binary, train binary"
-WORD_ANSWER = "block bigint, part int, counts binary, numbers binary, histogram array<bigint>"
+WORD_ASK = "part int, block bigint, places binary, words binary, train binary"
+WORD_ANSWER = "block bigint, part int, places binary, counts binary, numbers binary, histogram array<bigint>"
 
 
 def _word_table(blocks: DataFrame, parts: int) -> DataFrame:
@@ -162,7 +179,7 @@ def _word_table(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block, words, train in zip(*(c.to_pylist() for c in batch.columns)):
                 words, train = _unpack(words, np.uint64), _unpack(train, np.int32)
-                yield _rows(schema, [(p, block, _pack(words[at]), _pack(train[at])) for p, at in _by_part((words % np.uint64(parts)).astype(np.int32), parts)])
+                yield _rows(schema, [(p, block, _pack(np.diff(at, prepend=0).astype(np.int32)), _pack(words[at]), _pack(train[at])) for p, at in _by_part((words % np.uint64(parts)).astype(np.int32), parts)])
 
     def answer(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
@@ -170,10 +187,10 @@ def _word_table(blocks: DataFrame, parts: int) -> DataFrame:
         lengths = np.array([len(w) for w in words])
         distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([_unpack(b, np.int32) for b in table["train"].to_pylist()])).astype(np.int64)
-        number = np.arange(len(distinct), dtype=np.int64) * parts + part + 1
         histogram = [*np.bincount(np.minimum(counts, HISTOGRAM), minlength=HISTOGRAM)[:HISTOGRAM].tolist(), int(counts.sum()), int((counts > 0).sum())]
-        rows = [(b, part, c, n, None) for b, c, n in _split(table, lengths, [counts[inverse], number[inverse]])]
-        return pa.Table.from_batches([_rows(answers, [*rows, (-1, part, None, None, histogram)])])
+        split = _split(table, lengths, [counts[inverse], inverse.astype(np.int64)])
+        rows = [(b, part, at, c, n, None) for at, (b, c, n) in zip(table["places"].to_pylist(), split)]
+        return pa.Table.from_batches([_rows(answers, [*rows, (-1, part, None, None, None, histogram)])])
 
     asked = blocks.select("block", "words", "train").mapInArrow(ask, WORD_ASK)
     return cut(asked.groupBy("part").applyInArrow(answer, WORD_ANSWER))
@@ -188,14 +205,15 @@ def _gathered(answers: DataFrame, *columns: str) -> DataFrame:
     return answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", *columns)).alias("got"))
 
 
-def _placed(got: list[dict], places: Iterator[tuple[int, np.ndarray]], length: int, **kinds) -> list[np.ndarray]:
-    """Answers put back where they were asked from."""
-    at_part = {g["part"]: g for g in got}
-    out = [np.zeros(length, kind) for kind in kinds.values()]
-    for p, at in places:
-        for column, name in zip(out, kinds):
-            column[at] = _unpack(at_part[p][name], column.dtype)
-    return out
+def _placed(got: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts and numbers of a block's words, back in the block's order; numbers begin with 1."""
+    places = [np.cumsum(_unpack(g["places"], np.int32)) for g in got]
+    n = sum(map(len, places))
+    counts, numbers = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for g, at in zip(got, places):
+        counts[at] = _unpack(g["counts"], np.int64)
+        numbers[at] = _unpack(g["numbers"], np.int64) * parts + g["part"] + 1
+    return counts, numbers
 
 
 def _pairs(tokens: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +255,9 @@ def _pair_table(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, parts:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, held, lengths, tokens, hashes, got in zip(*(c.to_pylist() for c in batch.columns)):
-                lengths, tokens, hashes = _unpack(lengths, np.int32), _unpack(tokens, np.int32), _unpack(hashes, np.uint64)
-                counts, numbers = _placed(got, _by_part((hashes % np.uint64(parts)).astype(np.int32), parts), len(hashes), counts=np.int64, numbers=np.int64)
+            for block, held, lengths, tokens, got in zip(*(c.to_pylist() for c in batch.columns)):
+                lengths, tokens = _unpack(lengths, np.int32), _unpack(tokens, np.int32)
+                counts, numbers = _placed(got, parts)
                 _, inverse, u, v, v_at, hot, part = _block_pairs(tokens, lengths, numbers, counts, unigrams.tokens, parts)
                 train = np.repeat(_unpack(held, np.uint8) == 0, lengths)
                 n = np.bincount(inverse, train, len(u)).astype(np.int32)
@@ -274,8 +292,8 @@ def _pair_table(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, parts:
         rows += [(-2, part, None, _pack(sums[:, i]), _pack(mass[i : i + 1]), None, int(contexts[i])) for i in np.flatnonzero(is_hot).tolist()]
         return pa.Table.from_batches([_rows(answers, rows)])
 
-    fed = blocks.select("block", "held", "lengths", "tokens", "words").join(_gathered(words, "counts", "numbers"), "block")
-    asked = fed.select("block", "held", "lengths", "tokens", "words", "got").mapInArrow(ask, PAIR_ASK)
+    fed = blocks.select("block", "held", "lengths", "tokens").join(_gathered(words, "places", "counts", "numbers"), "block")
+    asked = fed.select("block", "held", "lengths", "tokens", "got").mapInArrow(ask, PAIR_ASK)
     return cut(asked.groupBy("part").applyInArrow(answer, PAIR_ANSWER))
 
 
@@ -295,16 +313,19 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     schema = SCORE.format(id=rows.schema["doc_id"].dataType.simpleString())
-    blocks = _blocks(rows)
+    with _shuffles_freed(spark):
+        blocks = _blocks(rows)
     # A block is about BLOCK_TOKENS tokens, but for one very long text.
     parts = max(1, math.ceil(blocks.count() * BLOCK_TOKENS / PART_TOKENS))
-    words = _word_table(blocks, parts)
+    with _shuffles_freed(spark):
+        words = _word_table(blocks, parts)
     seen = _sum_histograms(words, HISTOGRAM + 2)
     tokens, types = seen[HISTOGRAM], seen[HISTOGRAM + 1]
     first = Discounts.of(seen)
     taken_off = sum(r * seen[r] * (1 - first.d[r]) for r in range(1, MOST_DISCOUNTED + 1))
     unigrams = Unigrams(tokens, types, first, tokens - taken_off)
-    pairs = _pair_table(blocks, words, unigrams, parts)
+    with _shuffles_freed(spark):
+        pairs = _pair_table(blocks, words, unigrams, parts)
     second = Discounts.of(_sum_histograms(pairs, HISTOGRAM))
     hot: dict[int, tuple[np.ndarray, float]] = {}
     for r in pairs.where("block = -2").select("hot_u", "sums", "mass").toLocalIterator():  # at most 4 contexts a partition are hot
@@ -318,9 +339,9 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, ids, is_held, lengths, local, hashes, got, got_pairs in zip(*(c.to_pylist() for c in batch.columns)):
-                is_held, lengths, local, hashes = _unpack(is_held, np.uint8), _unpack(lengths, np.int32), _unpack(local, np.int32), _unpack(hashes, np.uint64)
-                counts, numbers = _placed(got, _by_part((hashes % np.uint64(parts)).astype(np.int32), parts), len(hashes), counts=np.int64, numbers=np.int64)
+            for ids, is_held, lengths, local, got, got_pairs in zip(*(c.to_pylist() for c in batch.columns)):
+                is_held, lengths, local = _unpack(is_held, np.uint8), _unpack(lengths, np.int32), _unpack(local, np.int32)
+                counts, numbers = _placed(got, parts)
                 before, inverse, u, _, v_at, is_hot, part = _block_pairs(local, lengths, numbers, counts, tokens, parts)
                 at_part = {g["part"]: g for g in got_pairs}
                 pair, gone, mass = np.zeros(len(u), np.int64), np.zeros(len(u)), np.zeros(len(u))
@@ -343,11 +364,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield _rows(out, [(i, bool(h), int(n), int(k), tokens, float(b), float(s)) for i, h, n, k, b, s in zip(ids, is_held, lengths, *sums)])
 
     fed = (
-        blocks.select("block", "docs", "held", "lengths", "tokens", "words")
-        .join(_gathered(words, "counts", "numbers"), "block")
+        blocks.select("block", "docs", "held", "lengths", "tokens")
+        .join(_gathered(words, "places", "counts", "numbers"), "block")
         .join(_gathered(pairs, "counts", "sums", "mass").withColumnRenamed("got", "got_pairs"), "block")
     )
-    return fed.select("block", "docs", "held", "lengths", "tokens", "words", "got", "got_pairs").mapInArrow(score, schema)
+    return fed.select("docs", "held", "lengths", "tokens", "got", "got_pairs").mapInArrow(score, schema)
 
 
 def _context_places(local, lengths, n_words, inverse, before) -> np.ndarray:
