@@ -121,7 +121,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (then it is null).  Repeated rows stay repeated; empty tables give an empty frame; other columns are ignored.
     """
     rows = cut(_labelled(docs, id_col, text_col))
-    low = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # Materialised, so that the join shuffles both sides anew and Spark may split a class that holds many rows.
+    low = cut(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     return rows.join(low, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -133,7 +134,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = cut(_labelled(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
-    keep = rows.groupBy("label").agg(F.min(order).alias("keep"))
+    # Materialised, so that the join shuffles both sides anew and Spark may split a class that holds many rows.
+    keep = cut(rows.groupBy("label").agg(F.min(order).alias("keep")))
     told = cut(
         rows.groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies")).join(keep, "label")
         .select("doc_id", "text_hash", "copies", (order == F.col("keep")).alias("stays"))
