@@ -14,8 +14,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document goes if the lines that fail hold more than this percentage of its word characters.
 MAX_LOST_PERCENT = 50
-#: A line's last character, closing quotes and brackets aside, is one of these.
-SENTENCE_END = r"""[.!?:;…。！？؟]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+#: A sentence ends somewhere in the line: one of these, closing quotes and brackets aside, before a space or the end.
+SENTENCE_END = r"""[.!?:;…。！？؟]["'”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 #: Separators between the entries of menus and breadcrumbs, each standing alone (fixed values).
 SEPARATORS = "|»›>/·•"
 NAVIGATION = rf"(?:^|[\x20\x09])[{SEPARATORS}](?=[\x20\x09]|$)"
@@ -38,7 +38,7 @@ def _furniture(text: Column) -> Column:
 
 
 def _fails(line: Column, menus: Column, symbols: Column, furniture: Column) -> Column:
-    """A line fails without an end of sentence, as a menu, as mostly symbols, or as page furniture.
+    """A line fails without any end of a sentence, as a menu, as mostly symbols, or as page furniture.
 
     The last three are looked at only in texts that hold such characters or phrases at all.
     """

@@ -71,7 +71,7 @@ _SPACED = r"[^\x20\x09-\x0D]+"
 _SPACES = r"[\x20\x09-\x0D]+"
 
 _BOILER = " OR ".join(f"contains(translate({{x}}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{p}')" for p in quality.BOILERPLATE)
-_END = r"""[.!?:;…。！？؟]["''”’»)\]]*[\x20\x09-\x0D]*$"""
+_END = r"""[.!?:;…。！？؟]["''”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 _NAV = r"(?:^|[\x20\x09])[|»›>/·•]([\x20\x09]|$)"
 
 OP2_SQL = rf"""
