@@ -15,6 +15,8 @@ BLOCK = 4096
 #: A table of up to so many sources is sent to the tasks; a larger one is joined.
 BROADCAST_SOURCES = 100_000
 EPS = 1e-9
+#: Exchanges that a landing may make.
+EXCHANGES = 8
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -80,12 +82,29 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Close the few open units so that the size comes as near as it can, the smallest change of count first."""
+    """Close the few open units so that the size comes as near as it can, the smallest change of count first.
+
+    What error their sizes leave is then made up by exchanging taken units for units left out, a few at most.
+    """
     p = p.copy()
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     want, n = float((p[open_] * size[open_]).sum()), float(p[open_].sum())
     best = min(range(1 << len(open_)), key=lambda m: (abs(sum(size[i] for k, i in enumerate(open_) if m >> k & 1) - want), abs(m.bit_count() - n), m))
     p[open_] = [best >> k & 1 for k in range(len(open_))]
+    short = want - float((p[open_] * size[open_]).sum())
+    for _ in range(EXCHANGES):
+        taken, left = np.flatnonzero(p > 0.5), np.flatnonzero(p <= 0.5)
+        if abs(short) < 1 or not len(taken) or not len(left):
+            break
+        left = left[np.argsort(size[left], kind="stable")]
+        at = np.searchsorted(size[left], size[taken] + short)
+        pairs = [(out, left[k]) for shift in (-1, 0) for out, k in zip(taken, np.clip(at + shift, 0, len(left) - 1))]
+        gains = np.array([size[into] - size[out] for out, into in pairs])
+        k = int(np.argmin(np.abs(gains - short)))
+        if abs(gains[k] - short) >= abs(short):
+            break
+        p[pairs[k][0]], p[pairs[k][1]] = 0.0, 1.0
+        short -= gains[k]
     return p
 
 
