@@ -80,7 +80,7 @@ def _legs(spark, sf):
 def _hav(a: str, b: str) -> str:
     lat = {"": "lat", "1": "lat1", "2": "lat2"}
     x, y, u, v = lat[a], lat[b], lat[a].replace("lat", "lng"), lat[b].replace("lat", "lng")
-    return f"2 * 6371 * asin(least(1e0, sqrt(pow(sin(radians({y} - {x}) / 2), 2) + cos(radians({x})) * cos(radians({y})) * pow(sin(radians({v} - {u}) / 2), 2))))"
+    return f"(2 * 6371 * asin(least(1e0, sqrt(pow(sin(radians({y} - {x}) / 2), 2) + cos(radians({x})) * cos(radians({y})) * pow(sin(radians({v} - {u}) / 2), 2)))))"
 
 
 @query(f"SELECT event_id, {_hav('1', '')} + {_hav('', '2')} <= 1.15e0 * {_hav('1', '2')} + 150 AS corridor, {_hav('1', '2')} >= 30 AND NOT ({_hav('', '1')} > 1.5e0 * {_hav('1', '2')} AND {_hav('', '2')} > 1.5e0 * {_hav('1', '2')}) AS plausible FROM {_LEGS}")
