@@ -15,9 +15,11 @@ ORACLE_SQL: str | None = None
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail the line rules go from every text, and documents that the rules reject go whole."""
-    kept = quality.quality_columns(docs).where("kept")
+    # The row travels in a struct, so that no column of its own can clash with a measure.
+    kept = quality.quality_columns(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where("kept")
+    clean_text = F.col("clean_text")
     return kept.select(*[
-        F.col("clean_text").alias(c) if c == "text" else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(c)
+        clean_text.alias(c) if c == "text" else F.length(clean_text).cast("long").alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c)
         for c in docs.columns
     ])
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandline.llm import decontam, pii, quality, simhash
@@ -55,6 +56,18 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(mixed)
 
 
+def test_extra_columns_with_clashing_names(spark, sf_dir):
+    own = {"kept": "a", "n_words": "b", "clean_text": "c", "drop_id": "d", "gone_hash": "e", "text_hash": "f", "pii_spans": "g", "row": "h", "items": "i"}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for c, v in own.items():
+        docs = docs.withColumn(c, F.lit(v))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert rows and all(r[c] == v for r in rows for c, v in own.items()), name
+        docs = spark.createDataFrame(rows, out.schema)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
