@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -37,6 +38,26 @@ RISK_WORDS = (
     "шахед", "війна", "вибух", "обстріл", "поранен",
 )
 URGENT = "breaking|urgent|developing|explosion|missile|air raid|срочно|взрыв|ракет|воздушная тревога"
+# Places in the order in which they are looked for: keys, label, latitude, longitude, confidence (fixed values).
+PLACES = (
+    (("kyiv", "kiev", "киев", "київ"), "Kyiv, Ukraine", 50.4501, 30.5234, 0.98), (("kharkiv", "харьков", "харків"), "Kharkiv, Ukraine", 49.9935, 36.2304, 0.98),
+    (("odesa", "odessa", "одесса", "одеса"), "Odesa, Ukraine", 46.4825, 30.7233, 0.98), (("dnipro", "днепр", "дніпро"), "Dnipro, Ukraine", 48.4647, 35.0462, 0.98),
+    (("zaporizhzhia", "zaporozhye", "запорожье", "запоріжжя"), "Zaporizhzhia, Ukraine", 47.8388, 35.1396, 0.98), (("lviv", "львов", "львів"), "Lviv, Ukraine", 49.8397, 24.0297, 0.98),
+    (("donetsk", "донецк", "донецьк"), "Donetsk", 48.0159, 37.8029, 0.96), (("crimea", "sevastopol", "крым", "крим", "севастополь"), "Crimea", 44.9521, 34.1024, 0.9),
+    (("kursk", "курск"), "Kursk, Russia", 51.7304, 36.1926, 0.97), (("belgorod", "белгород"), "Belgorod, Russia", 50.5954, 36.5873, 0.97), (("moscow", "москва"), "Moscow, Russia", 55.7558, 37.6173, 0.98),
+    (("st petersburg", "saint petersburg", "санкт-петербург", "петербург"), "St Petersburg, Russia", 59.9343, 30.3351, 0.98), (("gaza city", "gaza", "газа"), "Gaza", 31.5017, 34.4668, 0.94),
+    (("rafah", "рафах"), "Rafah", 31.2969, 34.2435, 0.98), (("tel aviv", "тель-авив"), "Tel Aviv, Israel", 32.0853, 34.7818, 0.98), (("jerusalem", "иерусалим"), "Jerusalem", 31.7683, 35.2137, 0.98),
+    (("beirut", "бейрут"), "Beirut, Lebanon", 33.8938, 35.5018, 0.98), (("damascus", "дамаск"), "Damascus, Syria", 33.5138, 36.2765, 0.98), (("aleppo", "алеппо"), "Aleppo, Syria", 36.2021, 37.1343, 0.98),
+    (("tehran", "тегеран"), "Tehran, Iran", 35.6892, 51.3890, 0.98), (("isfahan", "исфахан"), "Isfahan, Iran", 32.6546, 51.6680, 0.98), (("strait of hormuz", "hormuz", "ормуз"), "Strait of Hormuz", 26.5667, 56.25, 0.92),
+    (("baghdad", "багдад"), "Baghdad, Iraq", 33.3152, 44.3661, 0.98), (("erbil", "эрбиль"), "Erbil, Iraq", 36.1911, 44.0092, 0.98), (("sanaa", "sana'a", "сана"), "Sana'a, Yemen", 15.3694, 44.191, 0.98),
+    (("aden", "аден"), "Aden, Yemen", 12.7855, 45.0187, 0.98), (("riyadh", "эр-рияд"), "Riyadh, Saudi Arabia", 24.7136, 46.6753, 0.98), (("doha", "доха"), "Doha, Qatar", 25.2854, 51.531, 0.98),
+    (("taipei", "тайбэй"), "Taipei, Taiwan", 25.033, 121.5654, 0.98), (("beijing", "пекин"), "Beijing, China", 39.9042, 116.4074, 0.98), (("pyongyang", "пхеньян"), "Pyongyang, North Korea", 39.0392, 125.7625, 0.98),
+    (("seoul", "сеул"), "Seoul, South Korea", 37.5665, 126.978, 0.98), (("tokyo", "токио"), "Tokyo, Japan", 35.6762, 139.6503, 0.98),
+    (("washington dc", "washington, d.c.", "washington d.c.", "вашингтон"), "Washington, DC", 38.9072, -77.0369, 0.98), (("new york city", "new york", "нью-йорк"), "New York, US", 40.7128, -74.006, 0.96),
+    (("london", "лондон"), "London, UK", 51.5072, -0.1276, 0.98), (("paris", "париж"), "Paris, France", 48.8566, 2.3522, 0.98), (("leipzig", "лейпциг"), "Leipzig, Germany", 51.3397, 12.3731, 0.98),
+    (("berlin", "берлин"), "Berlin, Germany", 52.52, 13.405, 0.98), (("brussels", "брюссель"), "Brussels, Belgium", 50.8503, 4.3517, 0.98), (("warsaw", "варшава"), "Warsaw, Poland", 52.2297, 21.0122, 0.98),
+    (("bucharest", "бухарест"), "Bucharest, Romania", 44.4268, 26.1025, 0.98), (("black sea", "черное море", "чёрное море"), "Black Sea", 43.0, 34.0, 0.88), (("red sea", "красное море"), "Red Sea", 20.0, 38.5, 0.88),
+)
 DIGEST_LABEL = r"(?iu)(?:главное\s+за|коротко\s*#|дайджест|обзор\s+новостей|news\s+(?:roundup|digest)|daily\s+briefing)"
 DIGEST_ITEM = r"[♦◆🔹🔸•]|(?:^|\n)\s*(?:[-–]|\d+[.)])\s"
 FAMILIES = (
@@ -80,6 +101,29 @@ def risk_score(text: Column) -> Column:
     return F.least(F.lit(10), F.greatest(F.lit(1), F.floor((1 + hits * 1.15 + urgent) + 0.5))).cast("int")
 
 
+def locate(text: Column) -> Column:
+    """``struct<label, lat, lng, confidence>`` of the first place any of whose keys stands in the text as words.
+
+    A Cyrillic key may end in up to three more letters.
+    """
+    low = F.lower(text)
+    out = []
+    for keys, label, lat, lng, sure in PLACES:
+        words = "|".join(re.escape(k) + ("[а-яё]{0,3}" if re.search("[а-яё]", k) else "") for k in keys)
+        at = F.struct(F.lit(label).alias("label"), F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"), F.lit(sure).alias("confidence"))
+        out.append(F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"), at))
+    return F.coalesce(*out)
+
+
+def provider_identity(event_id: Column, source_id: Column, upstream_id: Column) -> Column:
+    """The upstream id of evidence whose event id is one of its own provider's report ids; else what it was."""
+    source = (
+        F.when(event_id.rlike(r"^firms:(?:viirs|modis):\d+:\d+:\d{4}-\d{2}-\d{2}$"), F.concat(F.lit("nasa-firms-"), F.split_part(event_id, F.lit(":"), F.lit(2))))
+        .when(event_id.rlike("^eonet:.+"), "nasa-eonet").when(event_id.rlike("^cloudflare-outage:.+:[A-Z]{2}$"), "cloudflare-radar-outages")
+    )
+    return F.when(source == source_id, event_id).otherwise(upstream_id)
+
+
 def is_digest(title: Column, description: Column) -> Column:
     text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
     return text.rlike(DIGEST_LABEL) & (F.regexp_count(text, F.lit(DIGEST_ITEM)) >= 2)

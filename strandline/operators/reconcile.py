@@ -200,3 +200,29 @@ def polyline_points(column: Column, precision: int = 5) -> Column:
 
     kind = pa.list_(pa.struct([("lng", pa.float64()), ("lat", pa.float64())]))
     return F.arrow_udf(lambda t: pa.array([[{"lng": x, "lat": y} for x, y in decode_polyline(s, precision)] for s in t.to_pylist()], kind), "array<struct<lng:double,lat:double>>")(column)
+
+
+def review_holds(plan: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Planned actions (``event_id, action``) after the pairs (``left, right``) that a review found: both sides go to manual review."""
+    held = pairs.select(F.col("left").alias("event_id")).union(pairs.select("right")).distinct().withColumn("held", F.lit(True))
+    return plan.join(held, "event_id", "left").select("event_id", F.when(F.col("held"), "manual_review").otherwise(F.col("action")).alias("action"), F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def snapshot_checksum(rows: DataFrame) -> DataFrame:
+    """One row with the count and an order-free checksum of all rows: the sum of their 64-bit hashes."""
+    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).cast("string").alias("checksum"))
+
+
+# What a risk at a chokepoint means for prices (fixed values).
+CHOKEPOINTS = {"Strait of Hormuz": "crude price spike", "Suez Canal": "European supply delays", "Panama Canal": "LNG and agriculture delays"}
+
+
+def supply_alerts(chokepoints: DataFrame) -> DataFrame:
+    """``name, risk, alert`` of chokepoints at high or critical risk that move prices."""
+    meaning = F.create_map(*[F.lit(x) for kv in CHOKEPOINTS.items() for x in kv])[F.col("name")]
+    return chokepoints.where(F.col("risk").isin("HIGH", "CRITICAL")).withColumn("alert", meaning).where("alert IS NOT NULL")
+
+
+def file_stats(frame: DataFrame) -> DataFrame:
+    """Rows and bytes of each file behind a frame, without reading its columns."""
+    return frame.select("_metadata.file_name", "_metadata.file_size").groupBy("file_name").agg(F.count("*").alias("rows"), F.max("file_size").alias("bytes"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions import geo, lookups
-from strandline.operators import feed
+from strandline.functions import geo, lookups, text
+from strandline.operators import feed, reconcile
 from strandline.plans.feed import R6, r6
 from strandline.plans.reconcile import _LEGS, _hav, _legs
 from strandline.sources import parsers
@@ -146,3 +146,48 @@ def src25_entity_ingest(spark, sf):
     e = F.col("event_id")
     pushed = table(spark, sf, "events").select(e.alias("ord"), F.col("user_id").cast("string").alias("id"), F.when(e % 10 == 0, 95.0).otherwise(10.0).alias("lat"), F.lit(5.0).alias("lng"))
     return parsers.accepted_entities(pushed, "feed").where("accepted").select("entity_id", "ord")
+
+
+_B = "[^\\p{L}\\p{N}]"
+_KEYS = lambda keys: "|".join(k.replace(".", "\\.").replace("'", "''") + ("[а-яё]{0,3}" if any("а" <= c <= "ё" for c in k) else "") for k in keys)
+_WHERE = " ".join(f"WHEN regexp_matches(low, '(?:^|{_B})(?:{_KEYS(keys)})(?:{_B}|$)') THEN '{label.replace(chr(39), chr(39) * 2)}'" for keys, label, *_ in text.PLACES)
+_SAID = ("Gaza City and London", "в Киеве и Москве", "Kievan days", "near the Strait of Hormuz.", "Sana'a talks", "nothing here", "ПАРИЖ", "washington d.c.")
+_SAID_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID) + "]"
+
+
+@query(f"SELECT event_id, CASE {_WHERE} END AS label FROM (SELECT event_id, lower({_SAID_SQL}[event_id % 8 + 1]) AS low FROM events)")
+def fus21_locate(spark, sf):
+    said = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 8).cast("int"))
+    return table(spark, sf, "events").select("event_id", text.locate(said)["label"].alias("label"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'eonet:' || event_id WHEN 1 THEN 'firms:viirs:1:' || event_id || ':2024-01-01' WHEN 2 THEN 'old' END AS upstream_id FROM events")
+def fus06_provider_identity(spark, sf):
+    e = F.col("event_id")
+    own = F.when(e % 4 == 0, F.concat(F.lit("eonet:"), e.cast("string"))).when(e % 4 == 1, F.concat(F.lit("firms:viirs:1:"), e.cast("string"), F.lit(":2024-01-01"))).otherwise(F.lit("cloudflare-outage:x:ye"))
+    source = F.when(e % 4 == 0, "nasa-eonet").when(e % 4 == 1, "nasa-firms-viirs").otherwise("other")
+    return table(spark, sf, "events").select("event_id", text.provider_identity(own, source, F.when(e % 4 == 2, "old")).alias("upstream_id"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS event_id, CASE WHEN c_custkey % 2 = 0 THEN 'propose_split_for_review' ELSE 'manual_review' END AS action FROM customer), h AS (SELECT c_custkey AS e FROM customer WHERE c_custkey % 30 = 0 UNION SELECT c_custkey + 1 FROM customer WHERE c_custkey % 30 = 0)
+  SELECT event_id, CASE WHEN e IS NOT NULL THEN 'manual_review' ELSE action END AS action, e IS NOT NULL AS held FROM p LEFT JOIN h ON e = event_id""")
+def idr07_review_holds(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    plan = c.select(k.alias("event_id"), F.when(k % 2 == 0, "propose_split_for_review").otherwise("manual_review").alias("action"))
+    return reconcile.review_holds(plan, c.where(k % 30 == 0).select(k.alias("left"), (k + 1).alias("right")))
+
+
+@query()
+def idr08_snapshot_checksum(spark, sf):
+    return reconcile.snapshot_checksum(table(spark, sf, "orders"))
+
+
+@query("SELECT name, risk, alert FROM (VALUES ('Suez Canal', 'HIGH', 'European supply delays'), ('Panama Canal', 'CRITICAL', 'LNG and agriculture delays')) v(name, risk, alert)")
+def rsk05_supply_alerts(spark, sf):
+    c = spark.createDataFrame([("Strait of Hormuz", "LOW"), ("Suez Canal", "HIGH"), ("Panama Canal", "CRITICAL"), ("Bosporus", "HIGH")], "name string, risk string")
+    return reconcile.supply_alerts(c)
+
+
+@query()
+def agg18_file_stats(spark, sf):
+    return reconcile.file_stats(table(spark, sf, "orders"))
