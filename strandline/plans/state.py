@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import net
 from strandline.operators import state, tracks as ops
 from strandline.plans.feed import HAV, R6, r6
-from strandline.sources.adapters import NOW_MS, SIGNALS_SQL, TRACKS_SQL, signals, table, tracks
+from strandline.sources.adapters import SIGNALS_SQL, TRACKS_SQL, signals, table, tracks
 
 QUERIES, ORACLE_SQL = {}, {}
 
