@@ -23,28 +23,32 @@ def query(sql: str | None = None):
 
 
 def fusion_signals(spark, sf):
-    """Signals with titles, evidence and places close enough that every pair rule has its cases."""
+    """Signals in bursts of forty about one place, with titles and evidence, so that every pair rule has its cases.
+
+    Reports and URLs recur within eight hundred signals, so groups stay as large however many signals there are.
+    """
     s = signals(spark, sf)
     k, e, n = F.col("url_key"), F.col("ord"), F.col("user_id") % 7
     quake = (F.col("category") == "earthquake") & (n == 2)
+    block = F.floor(e / 40)
     return s.select(
-        e.alias("ord"), F.when(F.col("user_id") % 50 == 0, F.concat(F.lit("dup:"), F.floor(e / 300).cast("string"))).when(quake, F.concat(F.lit("usgs:"), e.cast("string"))).otherwise(F.col("id")).alias("id"),
-        F.concat_ws(" ", F.col("category"), F.lit("report"), F.concat(F.lit("zone"), (k % 40).cast("string")), F.concat(F.lit("grid"), (e % 3).cast("string"))).alias("title"),
+        e.alias("ord"), F.when(F.col("user_id") % 50 == 0, F.concat(F.lit("dup:"), F.floor(e / 400).cast("string"))).when(quake, F.concat(F.lit("usgs:"), e.cast("string"))).otherwise(F.col("id")).alias("id"),
+        F.concat_ws(" ", F.col("category"), F.lit("report"), F.concat(F.lit("zone"), (k % 10).cast("string"), F.lit("x"), block.cast("string")), F.concat(F.lit("grid"), (e % 3).cast("string"), F.lit("x"), block.cast("string"))).alias("title"),
         F.when(e % 31 == 0, "News digest:\n• one\n• two").otherwise("plain").alias("description"), "category", F.col("occurred_ms").alias("at_ms"),
-        F.when(e % 3 != 0, (e * 7919) % 400 / 1e2).alias("lat"), F.when(e % 3 != 0, (e * 104729) % 400 / 1e2).alias("lng"), "location_confidence", F.col("severity").cast("double").alias("severity"),
+        F.when(e % 3 != 0, block * 7919 % 1700 / 1e1 - 85 + e % 40 / 1e2).alias("lat"), F.when(e % 3 != 0, block * 104729 % 3500 / 1e1 - 175 + e * 7 % 40 / 1e2).alias("lng"), "location_confidence", F.col("severity").cast("double").alias("severity"),
         F.when(n == 0, "news:wire").when(n == 1, "noaa-nws").when(n == 2, "usgs-earthquakes").otherwise(F.col("source")).alias("source_id"), "source",
         F.when(n == 1, "official").when(n == 2, "sensor").otherwise("media").alias("kind"), (n % 2 == 0).alias("independent"), (0.4 + n * 0.2).alias("weight"),
-        F.when(n == 3, F.concat_ws("/", k.cast("string"), F.floor(e / 900).cast("string"))).alias("upstream_id"),
-        F.when(n.isin(4, 5), F.concat_ws("/", F.lit("https://x"), k.cast("string"), F.floor(e / 900).cast("string"))).alias("url"), (e % 37 == 0).alias("withdrawn"),
+        F.when(n == 3, F.concat_ws("/", k.cast("string"), F.floor(e / 800).cast("string"))).alias("upstream_id"),
+        F.when(n.isin(4, 5), F.concat_ws("/", F.lit("https://x"), k.cast("string"), F.floor(e / 800).cast("string"))).alias("url"), (e % 37 == 0).alias("withdrawn"),
     )
 
 
-FUSION_SQL = f"""{SIGNALS_SQL}, fs AS (SELECT ord, CASE WHEN user_id % 50 = 0 THEN 'dup:' || (ord // 300) WHEN category = 'earthquake' AND user_id % 7 = 2 THEN 'usgs:' || ord ELSE id END AS id,
-  category || ' report zone' || (url_key % 40) || ' grid' || (ord % 3) AS title, ord % 31 = 0 AS digest, category, occurred_ms AS at_ms,
-  CASE WHEN ord % 3 <> 0 THEN (ord * 7919) % 400 / 1e2 END AS lat, CASE WHEN ord % 3 <> 0 THEN (ord * 104729) % 400 / 1e2 END AS lng,
+FUSION_SQL = f"""{SIGNALS_SQL}, fs AS (SELECT ord, CASE WHEN user_id % 50 = 0 THEN 'dup:' || (ord // 400) WHEN category = 'earthquake' AND user_id % 7 = 2 THEN 'usgs:' || ord ELSE id END AS id,
+  category || ' report zone' || (url_key % 10) || 'x' || (ord // 40) || ' grid' || (ord % 3) || 'x' || (ord // 40) AS title, ord % 31 = 0 AS digest, category, occurred_ms AS at_ms,
+  CASE WHEN ord % 3 <> 0 THEN (ord // 40) * 7919 % 1700 / 1e1 - 85 + ord % 40 / 1e2 END AS lat, CASE WHEN ord % 3 <> 0 THEN (ord // 40) * 104729 % 3500 / 1e1 - 175 + ord * 7 % 40 / 1e2 END AS lng,
   CASE user_id % 7 WHEN 0 THEN 'news:wire' WHEN 1 THEN 'noaa-nws' WHEN 2 THEN 'usgs-earthquakes' ELSE source END AS source_id,
-  CASE WHEN user_id % 7 = 3 THEN source || '|' || url_key || '/' || (ord // 900) END AS report, CASE WHEN user_id % 7 IN (4, 5) THEN url_key || '/' || (ord // 900) END AS url, ord % 37 = 0 AS gone,
-  list_distinct([w for w in string_split(category || ' report zone' || (url_key % 40) || ' grid' || (ord % 3), ' ') if len(w) > 2]) AS words,
+  CASE WHEN user_id % 7 = 3 THEN source || '|' || url_key || '/' || (ord // 800) END AS report, CASE WHEN user_id % 7 IN (4, 5) THEN url_key || '/' || (ord // 800) END AS url, ord % 37 = 0 AS gone,
+  list_distinct([w for w in string_split(category || ' report zone' || (url_key % 10) || 'x' || (ord // 40) || ' grid' || (ord % 3) || 'x' || (ord // 40), ' ') if len(w) > 2]) AS words,
   CASE WHEN category IN ('conflict') THEN 'human-security' WHEN category IN ('earthquake', 'wildfire', 'weather') THEN 'natural-hazard' WHEN category = 'infrastructure' THEN 'systems' END AS family FROM signals)"""
 _FKM = HAV.format(a="a.", b="b.")
 PAIRS_SQL = f"""p AS (SELECT a.ord AS src, b.ord AS dst, a.id = b.id AS same_id, a.digest <> b.digest OR a.gone <> b.gone AS gated,
@@ -73,11 +77,11 @@ def fus16_fused_events(spark, sf):
     return fusion.fuse(fusion_signals(spark, sf), NOW_MS)
 
 
-_EXACT = f"""{FUSION_SQL}, x AS (SELECT fs.*, source_id || '|' || coalesce(url_key || '/' || (fs.ord // 900), '') AS k, severity, fs.source_id AS sid, 0.4e0 + s.user_id % 7 * 0.2e0 AS weight, s.user_id % 7 AS n FROM fs JOIN signals s USING (ord)),
-  e AS (SELECT id AS cid, ek, max(sid) AS sid, arg_max(n, weight) AS n, max(weight) AS w FROM (SELECT *, sid || '|' || coalesce(CASE WHEN n = 3 THEN url_key || '/' || (ord // 900) END, CASE WHEN n IN (4, 5) THEN 'https://x/' || url_key || '/' || (ord // 900) END, 'src' || n) AS ek FROM (SELECT x.*, s.url_key FROM x JOIN signals s USING (ord))) GROUP BY id, ek)"""
+_EXACT = f"""{FUSION_SQL}, x AS (SELECT fs.*, source_id || '|' || coalesce(url_key || '/' || (fs.ord // 800), '') AS k, severity, fs.source_id AS sid, 0.4e0 + s.user_id % 7 * 0.2e0 AS weight, s.user_id % 7 AS n FROM fs JOIN signals s USING (ord)),
+  e AS (SELECT id AS cid, ek, max(sid) AS sid, arg_max(n, weight) AS n, max(weight) AS w FROM (SELECT *, sid || '|' || coalesce(CASE WHEN n = 3 THEN url_key || '/' || (ord // 800) END, CASE WHEN n IN (4, 5) THEN 'https://x/' || url_key || '/' || (ord // 800) END, 'src' || n) AS ek FROM (SELECT x.*, s.url_key FROM x JOIN signals s USING (ord))) GROUP BY id, ek)"""
 
 
-@query(f"""WITH {_EXACT.replace("source_id || '|' || coalesce(url_key || '/' || (fs.ord // 900), '') AS k, severity", "severity")}, m AS (SELECT cid, count(DISTINCT sid) AS source_count, count(*) FILTER (n % 2 = 0) AS independent_sources, sum(w) AS wsum, bool_or(n IN (1, 2)) AS auth FROM e GROUP BY cid),
+@query(f"""WITH {_EXACT.replace("source_id || '|' || coalesce(url_key || '/' || (fs.ord // 800), '') AS k, severity", "severity")}, m AS (SELECT cid, count(DISTINCT sid) AS source_count, count(*) FILTER (n % 2 = 0) AS independent_sources, sum(w) AS wsum, bool_or(n IN (1, 2)) AS auth FROM e GROUP BY cid),
   r AS (SELECT id, count(*) AS signals, min(at_ms) AS occurred_ms, max(severity) AS severity FROM x GROUP BY id),
   c AS (SELECT r.*, source_count, independent_sources, wsum, CASE WHEN auth OR (independent_sources >= 2 AND wsum >= 1.7) THEN 'confirmed' WHEN source_count >= 2 OR wsum >= 1.5 THEN 'corroborating' ELSE 'unconfirmed' END AS confidence,
     greatest(0, floor(({NOW_MS} - occurred_ms) / 60000 + 0.5)) AS age FROM r JOIN m ON id = cid)
