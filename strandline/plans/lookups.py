@@ -107,9 +107,9 @@ def src23_weather_union(spark, sf):
     return part("weather", "storm").unionByName(part("wildfire", "fire")).unionByName(warn, allowMissingColumns=True)
 
 
-@query(f"""WITH {SIGNALS_SQL} SELECT url_key, max(ord) AS sequence, arg_max(severity, ord) AS severity FROM signals WHERE ord < 9000 GROUP BY url_key""")
+@query(f"""WITH {SIGNALS_SQL} SELECT url_key, max(ord) AS sequence, arg_max(severity, ord) AS severity FROM signals GROUP BY url_key""")
 def str07_client_sync(spark, sf):
-    s = signals(spark, sf).where("ord < 9000").select("url_key", F.col("ord").alias("sequence"), "severity")
+    s = signals(spark, sf).select("url_key", F.col("ord").alias("sequence"), "severity")
     have, pages = s.where("sequence < 5000"), s.where("sequence >= 5000")
     return feed.keep_latest(have.unionByName(pages), ["url_key"], ["sequence"])
 

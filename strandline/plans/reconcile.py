@@ -25,12 +25,12 @@ def query(sql: str | None = None):
 S = places_sql("supplier", "s_suppkey")
 
 
-@query("""WITH i AS (SELECT DISTINCT l_suppkey AS source_id, l_partkey % 300 AS upstream_id, l_partkey % 100 AS event_id FROM lineitem), c AS (SELECT o_orderkey AS candidate, l_suppkey AS source_id, l_partkey % 300 AS upstream_id, l_linenumber AS ord FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 0),
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS source_id, l_partkey % 300 AS upstream_id, l_partkey % 100 AS event_id FROM lineitem), c AS (SELECT o_orderkey AS candidate, l_suppkey AS source_id, l_partkey % 300 AS upstream_id, l_linenumber AS ord FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
   m AS (SELECT candidate, event_id, min(ord) AS ord FROM c JOIN i USING (source_id, upstream_id) GROUP BY ALL) SELECT candidate, list(event_id ORDER BY ord, event_id) AS stored FROM m GROUP BY candidate""")
 def jn01_identity_lookup(spark, sf):
     l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")  # noqa: E741
     i = l.select(F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 300).alias("upstream_id"), (F.col("l_partkey") % 100).alias("event_id")).distinct()
-    c = o.where("o_orderkey % 20 = 0").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("candidate"), F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 300).alias("upstream_id"), F.col("l_linenumber").alias("ord"))
+    c = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("candidate"), F.col("l_suppkey").alias("source_id"), (F.col("l_partkey") % 300).alias("upstream_id"), F.col("l_linenumber").alias("ord"))
     return ops.identity_lookup(c, i)
 
 
@@ -117,11 +117,11 @@ def snk08_report(spark, sf):
     return g.select("category", F.sha2(F.array_join("ids", "|"), 256).alias("fingerprint"), F.slice("ids", 1, 10).alias("sample"))
 
 
-LINKS = "links AS (SELECT DISTINCT l_orderkey % 500 AS event_id, CASE WHEN l_suppkey % 9 = 0 THEN 'news:' || l_suppkey % 9 ELSE 's' || l_suppkey % 2 END AS source_id, l_partkey % 700 AS upstream_id, l_orderkey % 500 % 7 AS revision FROM lineitem WHERE l_linenumber <= 2), obs AS (SELECT source_id, upstream_id, CASE WHEN upstream_id % 13 > 0 THEN 'p' || upstream_id % 40 END AS provider FROM links WHERE upstream_id % 11 > 0)"
+LINKS = "links AS (SELECT DISTINCT l_orderkey % 500 AS event_id, CASE WHEN l_suppkey % 9 = 0 THEN 'news:' || l_suppkey % 9 ELSE 's' || l_suppkey % 2 END AS source_id, l_partkey % 700 AS upstream_id, l_orderkey % 500 % 7 AS revision FROM lineitem), obs AS (SELECT source_id, upstream_id, CASE WHEN upstream_id % 13 > 0 THEN 'p' || upstream_id % 40 END AS provider FROM links WHERE upstream_id % 11 > 0)"
 
 
 def _links(spark, sf):
-    l, k = table(spark, sf, "lineitem").where("l_linenumber <= 2"), F.col("l_suppkey")  # noqa: E741
+    l, k = table(spark, sf, "lineitem"), F.col("l_suppkey")  # noqa: E741
     source = F.when(k % 9 == 0, F.concat(F.lit("news:"), (k % 9).cast("string"))).otherwise(F.concat(F.lit("s"), (k % 2).cast("string")))
     links = l.select((F.col("l_orderkey") % 500).alias("event_id"), source.alias("source_id"), (F.col("l_partkey") % 700).alias("upstream_id"), (F.col("l_orderkey") % 500 % 7).alias("revision")).distinct()
     u = F.col("upstream_id")
@@ -144,11 +144,11 @@ def idr03_pair_review(spark, sf):
     return ops.nearby_members(m).withColumn("km", R6(F.col("km")))
 
 
-@query("""WITH h AS (SELECT o_orderkey % 800 AS event_id, o_orderkey AS revision, o_orderstatus AS title, list(DISTINCT l_suppkey % 6) AS keys FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 GROUP BY 1, 2, 3), x AS (SELECT event_id, title, len(keys) AS n, unnest(keys) AS key FROM h),
+@query("""WITH h AS (SELECT o_orderkey % 800 AS event_id, o_orderkey AS revision, o_orderstatus AS title, list(DISTINCT l_suppkey % 6) AS keys FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3), x AS (SELECT event_id, title, len(keys) AS n, unnest(keys) AS key FROM h),
   c AS (SELECT event_id, key, count(*) FILTER (n = 1) AS single, count(DISTINCT title) FILTER (n = 1) AS titles FROM x GROUP BY ALL), l AS (SELECT e.i AS event_id, k.i AS key FROM range(800) e(i), range(6) k(i))
   SELECT event_id, key, CASE WHEN single IS NULL THEN 'missing_history' WHEN single = 0 THEN 'composite_context_only' WHEN titles > 1 THEN 'multiple_singleton_titles' ELSE 'singleton_context_available' END AS status FROM l LEFT JOIN c USING (event_id, key)""")
 def idr05_history(spark, sf):
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_linenumber <= 2")  # noqa: E741
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")  # noqa: E741
     h = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy((F.col("o_orderkey") % 800).alias("event_id"), F.col("o_orderkey").alias("revision"), F.col("o_orderstatus").alias("title")).agg(F.collect_set(F.col("l_suppkey") % 6).alias("keys"))
     links = spark.range(800).select(F.col("id").alias("event_id"), F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<bigint>")).alias("key"))
     return ops.history_context(links, h)
@@ -176,20 +176,20 @@ def str09_arrivals(spark, sf):
     return ops.arrivals(s, "occurred_ms", top, 3_600_000).select("id", R6(F.col("age")).alias("age"))
 
 
-@query("""WITH r AS (SELECT user_id AS request, event_id % 5 AS region, event_id AS position FROM events WHERE event_type = 'error' AND event_id % 40 = 0), e AS (SELECT n_nationkey % 5 AS region, n_nationkey // 5 + 3 AS neighbour, n_nationkey AS rank FROM nation WHERE n_nationkey < 20),
+@query("""WITH r AS (SELECT user_id AS request, event_id % 5 AS region, event_id AS position FROM events WHERE event_type = 'error'), e AS (SELECT n_nationkey % 5 AS region, n_nationkey // 5 + 3 AS neighbour, n_nationkey AS rank FROM nation WHERE n_nationkey < 20),
   n AS (SELECT request, neighbour, position, rank FROM r JOIN e USING (region) WHERE NOT EXISTS (SELECT 1 FROM r q WHERE q.request = r.request AND q.region = e.neighbour)), f AS (SELECT request, neighbour, min(position * 100 + rank) AS o FROM n GROUP BY ALL)
   SELECT request, string_agg(neighbour, ',' ORDER BY o) AS fallback FROM f GROUP BY request""")
 def str15_fallback(spark, sf):
-    r = table(spark, sf, "events").where("event_type = 'error' AND event_id % 40 = 0").select(F.col("user_id").alias("request"), (F.col("event_id") % 5).cast("string").alias("region"), F.col("event_id").alias("position"), F.lit(True).alias("empty"))
+    r = table(spark, sf, "events").where("event_type = 'error'").select(F.col("user_id").alias("request"), (F.col("event_id") % 5).cast("string").alias("region"), F.col("event_id").alias("position"), F.lit(True).alias("empty"))
     k = F.col("n_nationkey")
     e = table(spark, sf, "nation").where("n_nationkey < 20").select((k % 5).cast("string").alias("region"), (F.floor(k / 5) + 3).cast("string").alias("neighbour"), k.alias("rank"))
     return ops.fallback_regions(r, e)
 
 
-@query("SELECT user_id, event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 11 = 0)")
+@query("SELECT user_id, event_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
 def rsk04_control_samples(spark, sf):
     e = table(spark, sf, "events")
-    return ops.control_verified(e.where("event_type = 'view'"), e.where("event_type = 'error' AND event_id % 11 = 0"), "user_id").select("user_id", "event_id")
+    return ops.control_verified(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id").select("user_id", "event_id")
 
 
 @query("SELECT event_id, CASE WHEN value > 150 THEN 'Hazardous' WHEN value > 100 THEN 'Unhealthy' WHEN value > 55 THEN 'Unhealthy (Sensitive)' WHEN value > 35 THEN 'Moderate' ELSE 'Good' END AS band, CASE WHEN event_id % 7 = 0 THEN 'HIGH' WHEN event_id % 3 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM events")
@@ -198,11 +198,11 @@ def src24_bands(spark, sf):
     return table(spark, sf, "events").select("event_id", ops.air_quality_band(F.col("value")).alias("band"), ops.reputation(e % 7 == 0, e % 3 == 0).alias("risk"))
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_custkey % 20 AS me, l_suppkey % 20 AS a, l_quantity * 1e7 AS v, l_linenumber % 2 = 0 AS paying FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 4 = 0),
+@query("""WITH t AS (SELECT o_orderkey, o_custkey % 20 AS me, l_suppkey % 20 AS a, l_quantity * 1e7 AS v, l_linenumber % 2 = 0 AS paying FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
   s AS (SELECT o_orderkey, me, coalesce(sum(v) FILTER (paying AND a = me), 0) / 1e8 AS spent, coalesce(sum(v) FILTER (NOT paying AND a = me), 0) / 1e8 AS got FROM t GROUP BY 1, 2)
   SELECT o_orderkey, CASE WHEN spent > 0 AND got > 0 THEN 'self' WHEN spent > 0 THEN 'out' WHEN got > 0 THEN 'in' ELSE 'unknown' END AS direction, floor(CASE WHEN spent > 0 AND got = 0 THEN spent - got ELSE got END * 1e6 + 0.5) / 1e6 AS value FROM s""")
 def rsk02_coin_direction(spark, sf):
-    o, l = table(spark, sf, "orders").where("o_orderkey % 4 = 0"), table(spark, sf, "lineitem")  # noqa: E741
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")  # noqa: E741
     leg = F.struct((F.col("l_suppkey") % 20).alias("address"), (F.col("l_quantity") * 1e7).alias("value"))
     t = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", (F.col("o_custkey") % 20).alias("me")).agg(F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, leg)).alias("vin"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, leg)).alias("vout"))
     d = t.withColumn("d", ops.coin_direction(F.col("me"), F.col("vin"), F.col("vout")))
@@ -257,9 +257,9 @@ def set05_snapshot_merge(spark, sf):
     return now.select("id").unionByName(before.join(now.select("url_key", "source"), ["url_key", "source"], "left_anti").select("id"))
 
 
-@query("""WITH e AS (SELECT c_custkey AS entity, p_partkey AS hit, p_name FROM customer JOIN part ON p_partkey % 1000 = c_custkey % 1000 WHERE c_custkey % 30 = 0) SELECT entity, hit FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p_name, hit) AS n FROM e) WHERE n <= 5""")
+@query("""WITH e AS (SELECT c_custkey AS entity, p_partkey AS hit, p_name FROM customer JOIN part ON p_partkey % 1000 = c_custkey % 1000) SELECT entity, hit FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p_name, hit) AS n FROM e) WHERE n <= 5""")
 def set09_match_edges(spark, sf):
-    e = table(spark, sf, "customer").where("c_custkey % 30 = 0").join(table(spark, sf, "part"), F.col("p_partkey") % 1000 == F.col("c_custkey") % 1000).select(F.col("c_custkey").alias("entity"), F.col("p_partkey").alias("hit"), "p_name")
+    e = table(spark, sf, "customer").join(table(spark, sf, "part"), F.col("p_partkey") % 1000 == F.col("c_custkey") % 1000).select(F.col("c_custkey").alias("entity"), F.col("p_partkey").alias("hit"), "p_name")
     nth = F.row_number().over(Window.partitionBy("entity").orderBy("p_name", "hit"))
     return e.withColumn("n", nth).where("n <= 5").select("entity", "hit")
 
@@ -272,9 +272,9 @@ def fus22_digest(spark, sf):
     return articles(spark, sf).select("doc_id", text.is_digest(title, F.when(d % 4 == 0, "• a\n• b").otherwise("plain")).alias("digest"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, floor(o_totalprice) AS loss, sum(floor(o_totalprice)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS so_far FROM orders WHERE o_custkey % 10 = 0")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, floor(o_totalprice) AS loss, sum(floor(o_totalprice)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS so_far FROM orders")
 def agg13_daily_losses(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 10 = 0").withColumn("loss", F.floor("o_totalprice").cast("double"))
+    o = table(spark, sf, "orders").withColumn("loss", F.floor("o_totalprice").cast("double"))
     so_far = F.sum("loss").over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
     return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "loss", so_far.alias("so_far"))
 
