@@ -324,13 +324,13 @@ def jn07_point_in_polygon(spark, sf):
 
 ZONES = [("levant", 29.0, 38.0, 33.0, 43.0, ["tion"]), ("horn", -5.0, 20.0, 30.0, 55.0, ["worthless", "reeau"]), ("baltic", 50.0, 66.0, 10.0, 32.0, ["keit"])]
 _ZONES = ", ".join(f"('{n}', {a}, {b}, {c}, {d}, {x})" for n, a, b, c, d, x in ZONES)
-_DOCS = "(SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 160) AS title, (doc_id * 7919) % 18000 / 1e2 - 90 AS lat, (doc_id * 104729) % 36000 / 1e2 - 180 AS lng FROM documents)"
+_DOCS = "(SELECT doc_id, text AS title, (doc_id * 7919) % 18000 / 1e2 - 90 AS lat, (doc_id * 104729) % 36000 / 1e2 - 180 AS lng FROM documents)"
 
 
 @query(f"""WITH z(zone, a, b, c, d, al) AS (VALUES {_ZONES}) SELECT zone, doc_id FROM {_DOCS} x, z WHERE (lat BETWEEN a AND b AND lng BETWEEN c AND d) OR len(list_filter(al, lambda w: contains(lower(title), w))) > 0""")
 def jn06_zone_join(spark, sf):
     zones = spark.createDataFrame(ZONES, "zone string, min_lat double, max_lat double, min_lng double, max_lng double, aliases array<string>")
-    d = table(spark, sf, "documents").select("doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 160).alias("title"), key_lat(F.col("doc_id")).alias("lat"), key_lng(F.col("doc_id")).alias("lng"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("title"), key_lat(F.col("doc_id")).alias("lat"), key_lng(F.col("doc_id")).alias("lng"))
     return spatial.zone_join(d, zones, "title").select("zone", "doc_id")
 
 

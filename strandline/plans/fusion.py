@@ -94,12 +94,12 @@ def fus15_cluster_id(spark, sf):
 
 
 _CASES = " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in text.CATEGORY_WORDS)
-_DOCS = "(SELECT doc_id, lower(CASE doc_id % 9 WHEN 0 THEN 'Earthquake shakes: ' WHEN 1 THEN 'riot and storm ' WHEN 2 THEN 'Missile attack explosion ' WHEN 3 THEN 'обстрел ракет ' ELSE '' END || substr(text, 1, 400)) AS low FROM documents)"
+_DOCS = "(SELECT doc_id, lower(CASE doc_id % 9 WHEN 0 THEN 'Earthquake shakes: ' WHEN 1 THEN 'riot and storm ' WHEN 2 THEN 'Missile attack explosion ' WHEN 3 THEN 'обстрел ракет ' ELSE '' END || text) AS low FROM documents)"
 
 
 def _worded(spark, sf):
     p = F.when(F.col("doc_id") % 9 == 0, "Earthquake shakes: ").when(F.col("doc_id") % 9 == 1, "riot and storm ").when(F.col("doc_id") % 9 == 2, "Missile attack explosion ").when(F.col("doc_id") % 9 == 3, "обстрел ракет ").otherwise("")
-    return table(spark, sf, "documents").select("doc_id", F.concat(p, F.substring("text", 1, 400)).alias("said"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(p, F.col("text")).alias("said"))
 
 
 @query(f"SELECT doc_id, CASE {_CASES} ELSE 'other' END AS category FROM {_DOCS}")
