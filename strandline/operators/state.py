@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from strandline.operators.graph import connected_components
+from strandline.session import fresh
 
 RETENTION_MS = 48 * 3_600_000
 
@@ -97,10 +102,30 @@ def last_known(messages: DataFrame, key: str, at: str, now_ms: int, ttl_ms: int)
 
 
 def rate_limit(requests: DataFrame, key: str, at: str, order: str, most: int = 20, span_ms: int = 60_000) -> DataFrame:
-    """Adds whether a request is allowed in its key's fixed window; a window begins with the first request after the last ended."""
-    slot = F.floor(F.col(at) / span_ms)
-    nth = F.row_number().over(Window.partitionBy(key, "slot").orderBy(at, order))
-    return requests.withColumn("slot", slot).withColumn("allowed", nth <= most)
+    """Adds whether a request is allowed in its key's fixed window; a window begins with the first request after the last ended.
+
+    A request ``span_ms`` after the window's first still belongs to it.  Rows pass in order of key and time and only
+    the open window is held, so a key may have any number of requests; those without a time share one window.
+    """
+    spare = fresh(requests, "limited_key")
+    names = [*requests.columns, "allowed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, n = None, None, 0
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(batch.schema.get_field_index(spare)).to_pylist(), batch.column(batch.schema.get_field_index(at)).to_pylist()):
+                if n == 0 or k != now or (t is None) != (start is None) or (t is not None and t > start + span_ms):
+                    now, start, n = k, t, 0
+                n += 1
+                allowed.append(n <= most)
+            kept = [c for name, c in zip(batch.schema.names, batch.columns) if name != spare]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(allowed, pa.bool_())], names)
+
+    # The key travels as text, so that equal keys compare equal whatever their type.
+    keyed = requests.withColumn(spare, F.to_json(F.struct(F.col(key).alias("k"))))
+    ordered = keyed.repartition(F.col(spare)).sortWithinPartitions(spare, at, order)
+    return ordered.mapInArrow(run, StructType([*requests.schema.fields, StructField("allowed", BooleanType())]))
 
 
 def identity_conflicts(links: DataFrame, candidate: str, stored: str, order: str) -> DataFrame:
