@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.text import spaced_words
+from strandline.llm.text import arrow_schema, spaced_words
 from strandline.operators.graph import connected_components
 from strandline.session import cut, fresh
 
@@ -103,6 +105,223 @@ def near_links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     return pairs.union(stars)
 
 
+#: Near-duplicate classes take shingles of five words and this similarity.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints of a key that one task compares; keys with more are split into blocks that meet in pairs.
+HOT_KEY = 4096
+#: Comparisons held at a time.
+CELLS = 1 << 21
+
+
+def expected_bits(similarity: float, width: int) -> int:
+    """Bits in which fingerprints of two texts with this Jaccard similarity of shingles differ on average, rounded down.
+
+    Sets with Jaccard similarity J have the cosine 2J / (1 + J), and each bit differs with the share angle / pi.
+    """
+    return math.floor(width * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
+    """128 majority bits over the XXH3 hashes of a text's different shingles; zero bytes without words."""
+    words = spaced_words(text)
+    if not words:
+        return bytes(16)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return xxhash.xxh3_128_digest(joined, SEED)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh3_128_digest
+    raw = {digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[shingle - 1 :].tolist())}
+    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(rows), 1 << 14):
+        ones += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(rows)).tobytes()
+
+
+class Ring:
+    """64 bits as a ring of ``bits`` + 1 segments, and the keys of the chains of the first ``chain`` segments.
+
+    Pigeonring: if two rings of m segments differ in at most ``bits`` < m bits, then from some segment on every chain
+    of l segments differs in at most l * bits / m bits; so the first segment equals, and the chain of the first
+    ``chain`` segments differs by one of few masks.  A fingerprint's home key is its own chain, its other keys are its
+    chain under each mask whose lowest bit is 0 in it, so that of two fingerprints just one goes to the other's home.
+    """
+
+    def __init__(self, bits: int, chain: int = 2):
+        m = bits + 1
+        self.widths = [64 // m + (i < 64 % m) for i in range(m)]
+        self.starts = np.cumsum([0, *self.widths[:-1]]).tolist()
+        self.budgets = [l * bits // m for l in range(m + 1)]
+        self.chain = chain = min(chain, m)
+        self.masks = []
+        for i in range(m):
+            w = [self.widths[(i + k) % m] for k in range(chain + 1)]
+            owner = [k for k in range(1, chain) for _ in range(w[k])]
+            found = [(0, 0)]  # mask, lowest bit
+            for n in range(1, self.budgets[chain] + 1):
+                for places in combinations(range(len(owner)), n):
+                    if all(sum(owner[p] <= k for p in places) <= self.budgets[k + 1] for k in range(1, chain)):
+                        found.append((sum(1 << (w[0] + p) for p in places), w[0] + places[0]))
+            self.masks.append(found)
+        #: Bits of the chain that is tested before the full distance, one segment longer than the key.
+        self.tested = min(chain + 1, m)
+
+    def rotated(self, a: np.ndarray, i: int) -> np.ndarray:
+        n = self.starts[i]
+        return (a >> np.uint64(n)) | (a << np.uint64(64 - n)) if n else a
+
+    def width(self, i: int, segments: int) -> int:
+        return sum(self.widths[(i + k) % len(self.widths)] for k in range(segments))
+
+    def low(self, i: int, segments: int) -> np.uint64:
+        return np.uint64((1 << self.width(i, segments)) - 1)
+
+
+KEYED = "start int, bits bigint, home boolean, a bigint, b bigint"
+
+
+def _keyed(one: DataFrame, ring: Ring) -> DataFrame:
+    out = arrow_schema(KEYED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            for i, masks in enumerate(ring.masks):
+                own = ring.rotated(a, i) & ring.low(i, ring.chain)
+                for mask, lowest in masks:
+                    at = slice(None) if mask == 0 else np.flatnonzero((own >> np.uint64(lowest)) & np.uint64(1) == 0)
+                    n = len(own[at])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(n, i, np.int32)), pa.array((own[at] ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(n, mask == 0)),
+                        pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64)),
+                    ], schema=out)
+
+    return one.mapInArrow(run, KEYED)
+
+
+def _hits(ring: Ring, i: int, home: np.ndarray, a: np.ndarray, b: np.ndarray, wide_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within the budgets, each with a member at home: the longer chain, then all bits."""
+    at = np.flatnonzero(home)
+    low, budget = ring.low(i, ring.tested), ring.budgets[ring.tested]
+    rot = ring.rotated(a, i) & low
+    left, right = [], []
+    step = max(1, CELLS // len(a))
+    for k in range(0, len(at), step):
+        rows = at[k : k + step]
+        x, y = np.nonzero(np.bitwise_count(rot[rows, None] ^ rot[None, :]) <= budget)
+        x = rows[x]
+        keep = (~home[y] | (x < y)) & (np.bitwise_count(a[x] ^ a[y]) <= ring.budgets[-1])
+        x, y = x[keep], y[keep]
+        keep = np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y]) <= wide_bits
+        x, y = x[keep], y[keep]
+        if len(x) > 4 * len(a):  # many pairs: only what joins them goes on
+            x, y = _stars(x, y, len(a))
+        left.append(x)
+        right.append(y)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _stars(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most n pairs that join the same places as the given ones."""
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
+
+
+def _named(a: np.ndarray, b: np.ndarray) -> list[str]:
+    return [f"{p:016x}{q:016x}" for p, q in zip(a.tolist(), b.tolist())]
+
+
+def ring_links(prints: DataFrame, bits: int, wide_bits: int, chain: int | None = None, hot: int = HOT_KEY) -> DataFrame:
+    """Links ``src, dst`` that join exactly the 128-bit fingerprints (columns ``a, b``) reachable over steps of at most
+    ``bits`` bits in ``a`` and ``wide_bits`` in both together.  Names are 32 hex digits.
+
+    Fingerprints that share a key meet in one task, sorted by key.  There the next longer chain is tested before the
+    full distance, and where many pairs match only a star of them goes on, so that links grow with the members.  A key
+    with more than ``hot`` members is split into blocks of about that size, and every pair of blocks is a key of its
+    own, so that no task holds a group of unbounded size.  ``chain`` is how many segments a key has; by default it
+    grows with the number of fingerprints, so that keys stay short of members.  The result doesn't depend on it.
+    """
+    one = cut(prints.select("a", "b").distinct())
+    if chain is None:
+        n = one.count()
+        chain = 2 + (n > 3e7) + (n > 1e9)
+    ring = Ring(bits, chain)
+    keyed = _keyed(one, ring).withColumn("blocks", F.lit("0"))
+    hot_keys = cut(keyed.groupBy("start", "bits").agg(F.count("*").alias("members")).where(F.col("members") > hot))
+    if not hot_keys.isEmpty():
+        n, own = F.ceil(F.col("members") / hot), F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("members") / hot))
+        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat_ws("-", F.least(own, k), F.greatest(own, k)))
+        keyed = keyed.drop("blocks").join(hot_keys, ["start", "bits"], "left").select(
+            "start", "bits", "home", "a", "b", F.explode(F.when(F.col("members").isNull(), F.array(F.lit("0"))).otherwise(pairs)).alias("blocks")
+        )
+    key = ["start", "bits", "blocks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def links(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+            start, home = table["start"].to_numpy(), table["home"].to_numpy()
+            a, b = (table[c].to_numpy().view(np.uint64) for c in "ab")
+            homes = np.concatenate(([0], np.cumsum(home)))
+            src, dst = [], []
+            for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if q - p > 1 and homes[q] > homes[p]:
+                    x, y = _hits(ring, int(start[p]), home[p:q], a[p:q], b[p:q], wide_bits)
+                    if len(x):
+                        src += _named(a[p:q][x], b[p:q][x])
+                        dst += _named(a[p:q][y], b[p:q][y])
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            if not len(table):
+                continue
+            codes = table["blocks"].combine_chunks().dictionary_encode().indices.to_numpy()
+            new = np.flatnonzero(np.diff(table["start"].to_numpy()).astype(bool) | np.diff(table["bits"].to_numpy()).astype(bool) | np.diff(codes).astype(bool)) + 1
+            edges = np.concatenate(([0], new))
+            rest = table.slice(int(edges[-1])).combine_chunks()  # the last key may go on in the next batch
+            yield links(table, edges)
+        if rest is not None:
+            yield links(rest, np.array([0, len(rest)]))
+
+    met = keyed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "src string, dst string")
+    return met.distinct()
+
+
+def _wide_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, text_hash, a, b``: the two halves of each row's fingerprint."""
+    text = F.col(text_col).cast("string")
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text.isNull(), text).alias("text_hash"), text.alias("text"))
+    id_type = kept.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = np.frombuffer(b"".join(wide_fingerprint(t, shingle) for t in batch.column(2).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "text_hash", "a", "b"])
+
+    return kept.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, a bigint, b bigint")
+
+
+def _wide_labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``doc_id, text_hash, label``: label is the smallest fingerprint of the row's class."""
+    rows = cut(_wide_rows(docs, id_col, text_col, shingle))
+    linked = connected_components(ring_links(rows, expected_bits(similarity, 64), expected_bits(similarity, 128)))
+    name = F.lower(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")))
+    named = rows.select("doc_id", "text_hash", name.alias("node"))
+    return named.join(linked, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("label"))
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, text_hash, fp, label``: label is the smallest fingerprint of the row's class."""
     rows = cut(fingerprints(docs, id_col, text_col))
@@ -126,13 +345,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(low, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
     """Keep one row of each class: the one with the smallest doc_id (nulls last), then the smallest text hash.
 
-    All columns stay as they are.  A repeated row stays once.  Documents are joined with the rows that go, which
-    are told by doc_id and text hash.
+    Texts are linked if their fingerprints, over shingles of ``shingle`` words, differ in no more bits than those of
+    texts with the Jaccard ``similarity`` differ on average: in the first 64 bits, which pigeonring keys search, and in
+    all 128.  A class is what links reach.
+
+    All columns stay as they are.  A repeated row stays once.  Texts without a word (null too) are one class; an empty
+    table gives an empty frame.  Documents are joined with the rows that go, which are told by doc_id and text hash.
     """
-    rows = cut(_labelled(docs, id_col, text_col))
+    rows = cut(_wide_labelled(docs, id_col, text_col, shingle, similarity))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
     # Materialised, so that the join shuffles both sides anew and Spark may split a class that holds many rows.
     keep = cut(rows.groupBy("label").agg(F.min(order).alias("keep")))

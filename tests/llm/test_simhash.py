@@ -83,3 +83,87 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted((r.doc_id, r.gone_id) for r in kept.collect()) == [(2, 2), (7, 4), (9, 5)]
     assert simhash.simhash_components(kept.where("false")).count() == 0
     assert simhash.drop_near_duplicates(kept.where("false")).count() == 0
+
+
+def brute_wide(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    grams = {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or {b" ".join(words)}
+    hs = [int.from_bytes(xxhash.xxh3_128_digest(g, 42), "big") for g in grams]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def classes(values, linked):
+    low = {v: v for v in values}
+
+    def find(v):
+        while low[v] != v:
+            v = low[v]
+        return v
+
+    for x, y in linked:
+        x, y = find(x), find(y)
+        low[max(x, y)] = min(x, y)
+    return {v: find(v) for v in values}
+
+
+def wide_frame(spark, values):
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return spark.createDataFrame([(signed(v >> 64), signed(v & (1 << 64) - 1)) for v in values], "a long, b long")
+
+
+def test_ring_links_equal_all_pairs(spark):
+    rng = random.Random(3)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(128), n))
+    centres = [rng.getrandbits(128) for _ in range(30)]
+    values = set(centres) | {flip(c, rng.randint(1, 26)) for c in centres for _ in range(6)} | {flip(centres[0], rng.randint(1, 9)) for _ in range(150)}
+    values = sorted(values)
+    for bits, wide in ((9, 19), (3, 128), (0, 4), (12, 24)):
+        near = [(x, y) for x, y in itertools.combinations(values, 2) if (x >> 64 ^ y >> 64).bit_count() <= bits and (x ^ y).bit_count() <= wide]
+        want, near = classes(values, near), set(near)
+        for chain, hot in ((None, 4096), (3, 4096), (2, 16)):
+            if bits == 12 and chain == 3:
+                continue
+            links = {tuple(sorted((int(r.src, 16), int(r.dst, 16)))) for r in simhash.ring_links(wide_frame(spark, values), bits, wide, chain, hot).collect()}
+            assert classes(values, links) == want
+            assert len(links) < 40 * len(values)
+    assert simhash.ring_links(wide_frame(spark, values).where("false"), 9, 19).count() == 0
+
+
+def test_every_pair_within_the_bits_shares_a_key_once():
+    rng = random.Random(8)
+    for bits, chain in ((9, 2), (9, 3), (2, 2), (5, 4)):
+        ring = simhash.Ring(bits, chain)
+        for _ in range(40):
+            x = rng.getrandbits(64)
+            y = x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, bits)))
+            met = 0
+            for i, masks in enumerate(ring.masks):
+                own = [((v >> ring.starts[i] | v << 64 - ring.starts[i]) & int(ring.low(i, chain))) for v in (x, y)]
+                for v, w in (own, own[::-1]):
+                    met += sum(v ^ m == w for m, low in masks if m and not v >> low & 1)
+                met += own[0] == own[1]
+            assert met >= 1
+
+
+def test_wide_fingerprints_and_near_copies(spark):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(900)]
+    texts, copies = [], {}
+    for n in range(24):
+        base = rng.choices(words, k=rng.randint(150, 400))
+        texts.append(" ".join(base))
+        changed = base[:]
+        for at in rng.sample(range(len(base)), max(1, len(base) // 200)):  # one word in 200: about 19 of 20 shingles stay
+            changed[at] = "other"
+        copies[len(texts)] = len(texts) - 1
+        texts.append(" ".join(changed))
+    texts += ["", None, "one two", "One  TWO", " ".join(rng.choices(words, k=60_000))]
+    for t in texts[:6] + texts[-5:-1]:
+        assert int.from_bytes(simhash.wide_fingerprint(t), "big") == brute_wide(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert sum(c not in kept for c in copies) >= 22 and all(c in kept for c in copies.values())
+    assert 48 in kept and 49 not in kept and 50 in kept and 51 not in kept and 52 in kept
+    assert simhash.expected_bits(0.8, 64) == 9 and simhash.expected_bits(0.8, 128) == 19 and simhash.expected_bits(1.0, 64) == 0
