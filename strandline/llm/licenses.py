@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from strandline.llm.text import alnum_words, map_rows
 
 THRESHOLD = 0.8
+#: Phrases and templates go to every task; more characters than these are refused.
+MOST_CHARS = 1_000_000
 #: Phrases whose words in a row give a label (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Notices whose words, in any order, give a label when a block holds enough of them (fixed values).
@@ -70,6 +72,23 @@ class Join:
                         yield label, both / len(own)
 
 
+def paragraphs(text: str | None) -> Iterator[list[bytes]]:
+    """The words of each run of lines that have words; a line without any (blank, or only marks) ends it.
+
+    A notice wrapped over lines, with or without comment marks, stands in one such block, and so does each line.
+    """
+    words: list[bytes] = []
+    for line in (text or "").split("\n"):
+        own = alnum_words(line)
+        if own:
+            words += own
+        elif words:
+            yield words
+            words = []
+    if words:
+        yield words
+
+
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many blocks of the whole corpus each word of the vocabulary stands."""
 
@@ -77,8 +96,8 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: st
         found: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for block in (text or "").split("\n"):
-                    found.update(vocabulary.intersection(alnum_words(block)))
+                for words in paragraphs(text):
+                    found.update(vocabulary.intersection(words))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n bigint")
@@ -94,10 +113,13 @@ def scan_licenses(
 
     Returns ``doc_id, n_words, n_base`` (places where a phrase's words stand in a row), ``first_word, last_word`` (its
     smallest and largest start, else null), ``base_labels, labels`` (sorted, comma-joined; labels add those of templates
-    of whose distinct words some line holds ``threshold`` or more) and ``score`` (1 with a phrase, else the largest such
-    share, else 0).  A null text is empty; repeated rows give repeated results; other columns are ignored.  The
-    templates are an argument of the call, so what goes to the tasks has the size of that argument.
+    of whose distinct words some block, a run of lines between lines without words, holds ``threshold`` or more) and
+    ``score`` (1 with a phrase, else the largest such share, else 0).  A null text is empty; a null id stays null; an
+    empty table gives an empty frame; repeated rows give repeated results; other columns are ignored; the time is in
+    proportion to the text.  Phrases and templates of over ``MOST_CHARS`` characters raise a ValueError.
     """
+    if sum(map(len, phrases)) + sum(len(t) for _, t in templates) > MOST_CHARS:
+        raise ValueError(f"phrases and templates have over {MOST_CHARS} characters")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vocabulary = frozenset(w for _, text in templates for w in alnum_words(text))
     join = Join(templates, word_frequencies(rows, vocabulary), threshold)
@@ -107,8 +129,7 @@ def scan_licenses(
     def make():
         def function(doc_id, text):
             words, labels, best = [], set(), 0.0
-            for block in (text or "").split("\n"):
-                own = alnum_words(block)
+            for own in paragraphs(text):
                 words += own
                 for label, share in join.matches(own):
                     labels.add(label)
@@ -116,9 +137,12 @@ def scan_licenses(
             line = b" " + b" ".join(words) + b" "
             places, base = [], set()
             for needle, label in needles:
+                before = place = 0
                 at = line.find(needle)
                 while at >= 0:
-                    places.append(line.count(b" ", 0, at))
+                    place += line.count(b" ", before, at)
+                    before = at
+                    places.append(place)
                     base.add(label)
                     at = line.find(needle, at + 1)
             return (

@@ -1,5 +1,7 @@
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import licenses
@@ -19,8 +21,10 @@ def brute(text):
             if w[i : i + len(p)] == p:
                 places.append(i)
                 base.add(label)
+    blocks = [[]]
     for line in (text or "").split("\n"):
-        own = set(words(line))
+        blocks = [*blocks[:-1], blocks[-1] + words(line)] if words(line) else [*blocks, []]
+    for own in map(set, blocks):
         for label, template in licenses.TEMPLATES:
             t = set(words(template))
             share = len(t & own) / len(t)
@@ -45,3 +49,30 @@ def test_equals_brute_force(spark):
     for r in got:
         assert tuple(r)[1:] == brute(texts[r.doc_id]), texts[r.doc_id]
     assert licenses.scan_licenses(docs.where("false")).count() == 0
+
+
+def test_wrapped_notices_are_found(spark):
+    mit = licenses.TEMPLATES[1][1].split()
+    wrapped = "\n".join(" ".join(mit[i : i + 5]) for i in range(0, len(mit), 5))
+    texts = [
+        "int main;\n\n" + wrapped, "\n".join("# " + line for line in wrapped.split("\n")), "/*\n * " + wrapped.replace("\n", "\n * ") + "\n */\nint x;",
+        wrapped.replace("\n", "\n\n"), wrapped.replace("\n", "\n  ---\n"), "\n\n", None, "!!\n??",
+    ]
+    docs = spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i].labels for i in (0, None, 2)] == ["mit"] * 3 and all(got[i].score == 1.0 and got[i].n_base == 0 for i in (0, None, 2))
+    assert [(got[i].labels, got[i].score) for i in range(3, 8)] == [("", 0.0)] * 5
+
+
+def test_many_hits_take_time_in_proportion(spark):
+    n = 150_000
+    docs = spark.createDataFrame([(1, "x cc by nc " * n)], "doc_id long, text string")
+    begun = time.time()
+    row = licenses.scan_licenses(docs).first()
+    assert (row.n_base, row.first_word, row.last_word, row.n_words) == (n, 1, 4 * n - 3, 4 * n) and time.time() - begun < 30
+
+
+def test_large_templates_are_refused(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, templates=(("x", "word " * 300_000),))
