@@ -19,11 +19,14 @@ SENTENCE_END = r"""[.!?:;…。！？؟]["'”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 #: Separators between the entries of menus and breadcrumbs, each standing alone (fixed values).
 SEPARATORS = "|»›>/·•"
 NAVIGATION = rf"(?:^|[\x20\x09])[{SEPARATORS}](?=[\x20\x09]|$)"
-#: Phrases of page furniture (fixed values).
+#: Phrases of page furniture in English, German, French and Spanish (fixed values).
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service",
     "enable javascript", "subscribe to our newsletter", "sign in to your account", "skip to content",
     "skip to main content", "share on facebook", "share on twitter", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "nutzungsbedingungen", "newsletter abonnieren", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "mentions légales", "politique de confidentialité", "aller au contenu", "abonnez-vous à notre newsletter",
+    "todos los derechos reservados", "aceptar cookies", "aviso legal", "política de privacidad", "ir al contenido", "suscríbete a nuestro boletín",
 )
 BASE = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
@@ -64,8 +67,8 @@ def quality_columns(docs: DataFrame, text_col: str = "text", clean_text: bool =
     Windows of three words are found twice by sorting their 64-bit hashes within the text, n log n for any length.
     The measures leave through ``inline``, so that a filter on them is not pushed below and computed anew.
     """
-    t, w, lines, bad, hashes, grams, twice, menus, marks, furniture = (
-        fresh(docs, f"q_{n}") for n in ("text", "words", "lines", "bad", "hashes", "grams", "twice", "menus", "marks", "furniture")
+    t, w, lines, judged, hashes, grams, twice, menus, marks, furniture = (
+        fresh(docs, f"q_{n}") for n in ("text", "words", "lines", "judged", "hashes", "grams", "twice", "menus", "marks", "furniture")
     )
     fails = lambda line: _fails(line, F.col(menus), F.col(marks) > 0, F.col(furniture))
     n = F.size(w)
@@ -73,7 +76,6 @@ def quality_columns(docs: DataFrame, text_col: str = "text", clean_text: bool =
     out = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(t))
     out = out.withColumns({
         w: F.array_remove(F.split(t, SPACES), ""),
-        lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACED_WORD)),
         menus: _has(F.col(t), SEPARATORS),
         marks: F.length(t) - F.length(F.translate(F.col(t), SYMBOLS, "")),
         furniture: _furniture(F.col(t)),
@@ -87,7 +89,10 @@ def quality_columns(docs: DataFrame, text_col: str = "text", clean_text: bool =
     ))
     same = lambda x, k: F.coalesce(F.get(grams, k)["h"] == x["h"], F.lit(False))
     out = out.withColumn(twice, F.sort_array(F.transform(F.filter(grams, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
-    out = out.withColumn(bad, F.filter(lines, fails))
+    # Every line is judged once; ``bad`` is null for lines without a word.
+    out = out.withColumn(judged, F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), F.when(x.rlike(SPACED_WORD), fails(x)).alias("bad"))))
+    out = out.withColumn(lines, F.transform(F.filter(judged, lambda x: x["bad"].isNotNull()), lambda x: x["line"]))
+    bad = F.transform(F.filter(judged, lambda x: F.coalesce(x["bad"], F.lit(False))), lambda x: x["line"])
     covered = F.aggregate(
         F.transform(twice, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(twice, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x
     )
@@ -101,7 +106,7 @@ def quality_columns(docs: DataFrame, text_col: str = "text", clean_text: bool =
         "lost_chars": chars(F.array_join(bad, "\n")),
     }
     if clean_text:
-        cleaned = F.array_join(F.filter(F.split(t, "\n"), lambda x: ~(x.rlike(SPACED_WORD) & fails(x))), "\n")
+        cleaned = F.array_join(F.transform(F.filter(judged, lambda x: ~F.coalesce(x["bad"], F.lit(False))), lambda x: x["line"]), "\n")
         measures["clean_text"] = F.when(F.size(bad) == 0, F.col(t)).otherwise(cleaned)
     out = out.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in measures.items()]))))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -110,6 +115,10 @@ def quality_columns(docs: DataFrame, text_col: str = "text", clean_text: bool =
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, the measures and the verdicts, a row for each row of ``docs``."""
+    """``doc_id``, the measures and the verdicts, a row for each row of ``docs``.
+
+    Null and empty texts, repeated rows and empty tables are treated as in ``quality_columns``; a null id stays null;
+    columns other than the two named are ignored, whatever their names; a text may be of any length.
+    """
     rows = quality_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), clean_text=False)
     return rows.select("doc_id", *BASE, "lost_chars", "base_failed", "kept")
