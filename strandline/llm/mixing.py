@@ -15,6 +15,8 @@ BLOCK = 4096
 #: A table of up to so many sources is sent to the tasks; a larger one is joined.
 BROADCAST_SOURCES = 100_000
 EPS = 1e-9
+#: Copies of a row that are numbered in one array.
+RANGE = 1 << 16
 #: Exchanges that a landing may make.
 EXCHANGES = 8
 
@@ -114,6 +116,7 @@ def cube_sample(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataF
     Units fly in blocks of about ``block`` of a source; each block leaves two open at most, and those of all blocks
     of a source fly again, so each pass has a two-thousandth of the units and a source of any share of the rows
     is spread over many tasks.  The last block of a source lands.  Balanced: counts and sizes of each source.
+    Blocks are dealt by all columns but ``p``: rows equal in all of them fall into one, so number them.
     """
     schema = units.schema
     names = units.columns
@@ -134,7 +137,7 @@ def cube_sample(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataF
         per_source = live.groupBy(F.col("source").alias("of")).agg(F.ceil(F.count("*") / block).alias("buckets"))
         placed = (
             live.join(per_source, live["source"].eqNullSafe(per_source["of"])).drop("of")
-            .withColumn("place", F.xxhash64("doc_id", "size", F.lit(seed + round_no)))
+            .withColumn("place", F.xxhash64(*[c for c in names if c != "p"], F.lit(seed + round_no)))
             .withColumn("bucket", F.pmod("place", "buckets"))
         )
         moved = cut(placed.groupBy("source", "bucket").applyInPandas(move, schema))
@@ -162,7 +165,8 @@ def mix(
 def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACED_WORD)), F.lit(0)).cast("long")
     text_hash = F.xxhash64(F.col(text_col).isNull(), F.col(text_col)).alias("text_hash")
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), text_hash, F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash, F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    rows = cut(_numbered(rows))
     targets = cut(source_targets(rows, weights, most).withColumnRenamed("source", "of").drop("n"))
     side = F.broadcast(targets) if targets.count() <= BROADCAST_SOURCES else targets
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -176,6 +180,17 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     return drawn.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with a number ``copy`` that tells equal ones apart.
+
+    They are counted and written out again by count, so that copies are never in one group; ranges of ``RANGE`` copies
+    keep arrays short whatever the count.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("rows"))
+    ranges = counted.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(RANGE))))
+    return ranges.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + RANGE, "rows") - 1))).drop("rows", "first")
+
+
 def mix_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED,

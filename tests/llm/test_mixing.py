@@ -62,3 +62,16 @@ def test_flight_keeps_totals_and_expectation():
         assert ((q > 1e-9) & (q < 1 - 1e-9)).sum() <= 2
         mean += q / 200
     assert np.abs(mean - p).mean() < 0.05
+
+
+def test_copies_of_one_row_are_spread(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "s")], "doc_id long, text string, source string").crossJoin(spark.range(100_000).select()).unionByName(
+        spark.createDataFrame([(2, "e " * 40, "t"), (None, "x y", None), (None, "x y", None)], "doc_id long, text string, source string")
+    )
+    got = mixing.mix(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    rows = {r.doc_id: r for r in got}
+    assert {k: r.n for k, r in rows.items()} == {1: 100_000, 2: 1, None: 2}
+    assert abs(rows[1].taken - rows[1].target) <= 4
+    numbered = mixing._numbered(docs.select("doc_id", "source"))
+    buckets = numbered.groupBy(F.pmod(F.xxhash64(*numbered.columns), F.lit(25))).count().collect()
+    assert max(r["count"] for r in buckets) < 5000 and numbered.distinct().count() == 100_003
