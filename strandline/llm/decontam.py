@@ -12,8 +12,8 @@ from strandline.llm.text import WordHashes, alnum_words, map_rows
 from strandline.session import cut, fresh
 
 WINDOW, GRAM = 13, 5
-#: A benchmark of up to so many characters is sent to the tasks; a larger one is joined.
-BROADCAST_CHARS = 16_000_000
+#: A benchmark of up to so many characters is sent to the tasks (some 35 bytes a character in a worker); a larger one is joined.
+BROADCAST_CHARS = 1_500_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,10 +145,15 @@ def _joined(rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), batch.schema.field(0).type), pa.array([text_hash] * len(at), pa.int64()), pa.array([span] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array([b" ".join(words[p : p + span]) for p in at], pa.binary())], ["doc_id", "text_hash", "span", "place", "words"])
 
     places = texts.mapInArrow(candidates, f"doc_id {id_type}, text_hash bigint, span int, place bigint, words binary")
-    hits = (
-        places.join(windows.select("words", "item").distinct(), "words")
-        .groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "span")).alias("places"), F.array_sort(F.collect_set("item")).alias("items"))
-    )
+    # Windows with the same owners share one set, which is joined once a document and not once a place.
+    owned = windows.groupBy("span", "words").agg(F.array_sort(F.collect_set("item")).alias("owners")).withColumn("owner_set", F.xxhash64("owners"))
+    owned = cut(owned)
+    sets = owned.groupBy("owner_set").agg(F.first("owners").alias("owners"))
+    met = cut(places.join(owned.select("span", "words", "owner_set"), ["span", "words"]).select("doc_id", "text_hash", "place", "span", "owner_set"))
+    listed = met.select("doc_id", "text_hash", "owner_set").distinct().join(sets, "owner_set").select("doc_id", "text_hash", F.explode_outer("owners").alias("item"))
+    items = listed.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items")).alias("i")
+    spots = met.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "span")).alias("places")).alias("s")
+    hits = spots.join(items, F.expr("s.doc_id <=> i.doc_id AND s.text_hash = i.text_hash")).select("s.doc_id", "s.text_hash", "s.places", "i.items")
     h = hits.alias("h")
     all_rows = r.join(h, F.expr("r.doc_id <=> h.doc_id AND r.text_hash = h.text_hash"), "left").select("r.doc_id", "r.text", "h.places", "h.items")
 
@@ -189,20 +194,27 @@ def contamination(
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``: what ``contamination`` finds, with the sorted item
+    ids, comma-joined, as a lower-case hex SHA-256.
+
+    Nulls, empty and very long texts, repeated rows, repeated item ids, empty tables and other columns are treated as
+    there; a document without a hit has the digest of the empty string.
+    """
     return contamination(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated",
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text is not contaminated.
 
-    Rows are judged by text: contaminated texts (by hash) are joined out, so that columns and ids don't matter.
+    Contaminated rows are joined out by id (null equals null) and text, so ids need not be unique.  A null or empty
+    text stays; repeated rows stay or go together; an empty table gives an empty frame and an empty benchmark takes
+    nothing; names of other columns may clash with anything.
     """
-    h = fresh(docs, "text_hash")
-    texts = docs.select(F.xxhash64(text_col).alias("doc_id"), F.col(text_col).alias("text"))
-    bad = contamination(texts, benchmark, broadcast_chars=broadcast_chars).where("contaminated").select(F.col("doc_id").alias(h)).distinct()
-    return docs.join(bad, F.xxhash64(text_col) == bad[h], "left_anti")
-
-
+    d, h = fresh(docs, "bad_id"), fresh(docs, "bad_hash")
+    text = F.col(text_col).cast("string")
+    told = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text.isNull(), text).alias("hash")).alias("doc_id"), text.alias("text"))
+    bad = contamination(told, benchmark, broadcast_chars=broadcast_chars).where("contaminated").select(F.col("doc_id.id").alias(d), F.col("doc_id.hash").alias(h)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(bad[d]) & (F.xxhash64(text.isNull(), text) == bad[h]), "left_anti")
