@@ -256,10 +256,24 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None
     """Write every page as a WARC record in the shared folder and read all archives back: a row for each record.
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``.  Empty pages write nothing.
+
+    Byte gaps that the reader quarantines are logged as Parquet in ``quarantine`` below the folder; a gap, or another
+    number of records than the manifest has, raises a RuntimeError that names the log.  Without ``folder`` the archives
+    stand in a new one, which is deleted once they are read.
     """
+    own = folder is None
     folder = folder or f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(plan_records(pages), folder)
-    records = read_archives(manifest.repartition(max(1, manifest.count())), payloads=False).where("kind = 'record'")
+    found = cut(read_archives(manifest.repartition(max(1, manifest.count())), payloads=False))
+    records, gaps = found.where("kind = 'record'"), found.where("kind = 'gap'")
+    written = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first().n
+    read = records.count()
+    if read != written or not gaps.isEmpty():
+        gaps.select("archive", "offset", "length", "reason").write.parquet(f"{folder}/quarantine")
+        raise RuntimeError(f"{read} of {written} records were read; gaps are logged in {folder}/quarantine")
+    if own and written:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
     number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return records.select(
         number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to")

@@ -3,6 +3,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import warc
@@ -60,3 +61,23 @@ def test_round_trip(spark):
         want.append((str(i), len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", max(same) if again else None))
     assert got == sorted(want)
     assert warc.archive_round_trip(spark, pages.where("false")).count() == 0
+
+
+def test_damage_in_a_round_trip_is_logged_and_reported(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", "some page text " * 40 + str(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    write = warc.write_archives
+
+    def damaged(records, folder):
+        manifest = write(records, folder)
+        for r in manifest.collect():
+            with open(r.archive.removeprefix("file:"), "r+b") as f:
+                f.seek(r.bytes // 2)
+                f.write(b"!" * 7)
+        return manifest
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    folder = f"file:{tmp_path}/archives"
+    with pytest.raises(RuntimeError, match="of 40 records"):
+        warc.archive_round_trip(spark, pages, folder)
+    gaps = spark.read.parquet(f"{folder}/quarantine").collect()
+    assert gaps and all(r.length > 0 and r.reason for r in gaps)
