@@ -55,20 +55,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalMod
     lengths = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
     having = np.bincount(flat, minlength=1 << BITS)
-    known = having >= LEAST_ROWS
-    flat, owner = flat[known[flat]], owner[known[flat]]
     n = len(rows)
     some = (counts[1:].sum() / counts.sum()).item()
-    penalty = PENALTY * np.sqrt(having * some * (1 - some)) / n
+    words = np.flatnonzero(having >= LEAST_ROWS)
+    w = np.zeros(len(words))
     for choosing in (True, False):
-        mean_w, seen_w, mean_t, seen_t = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(n_grades - 1), np.zeros(n_grades - 1)
-        chosen = np.ones(1 << BITS) if choosing else (weights != 0).astype(float)
+        if not choosing:  # what was not chosen keeps the weight zero
+            words, w = words[w != 0], w[w != 0]
+        place = np.full(1 << BITS, -1)
+        place[words] = np.arange(len(words))
+        known = place[flat] >= 0
+        cells = _Cells(place[flat[known]], owner[known], len(words), n)
+        penalty = PENALTY * np.sqrt(having[words] * some * (1 - some)) / n
+        mean_w, seen_w, mean_t, seen_t = np.zeros(len(words)), np.zeros(len(words)), np.zeros(n_grades - 1), np.zeros(n_grades - 1)
         for k in range(1, ITERATIONS + 1):
-            score = np.bincount(owner, weights[flat], n)
+            score = cells.by_row(w)
             upper = np.where(grades < n_grades - 1, _sigmoid(thresholds[np.minimum(grades, n_grades - 2)] - score), 1.0)
             lower = np.where(grades > 0, _sigmoid(thresholds[np.maximum(grades - 1, 0)] - score), 0.0)
             p = np.maximum(upper - lower, 1e-12)
-            g_w = chosen * (np.bincount(flat, ((1 - upper - lower) / n)[owner], 1 << BITS) + (0 if choosing else SHRINK * weights))
+            g_w = cells.by_word((1 - upper - lower) / n) + (0 if choosing else SHRINK * w)
             g_t = (
                 np.bincount(np.maximum(grades - 1, 0), (grades > 0) * lower * (1 - lower) / p / n, n_grades)[: n_grades - 1]
                 - np.bincount(grades, upper * (1 - upper) / p / n, n_grades)[: n_grades - 1]
@@ -77,30 +82,59 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalMod
             seen_w, seen_t = 0.99 * seen_w + 0.01 * g_w**2, 0.99 * seen_t + 0.01 * g_t**2
             rate = (0.02 if choosing else 0.05) / (1 - 0.9**k)
             step = rate / (np.sqrt(seen_w / (1 - 0.99**k)) + 1e-5)
-            weights -= step * mean_w
+            w = w - step * mean_w
             if choosing:
-                weights = np.sign(weights) * np.maximum(np.abs(weights) - step * penalty, 0)
+                w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
             thresholds = np.maximum.accumulate(thresholds - rate / (np.sqrt(seen_t / (1 - 0.99**k)) + 1e-5) * mean_t)
+    weights[words] = w
     return OrdinalModel(weights, thresholds)
 
 
+class _Cells:
+    """The filled cells of a sparse matrix of rows and words, in both orders, so that sums run over consecutive ones."""
+
+    def __init__(self, word: np.ndarray, row: np.ndarray, n_words: int, n_rows: int):
+        self.sums = []
+        for key, other, n in ((row, word, n_rows), (word, row, n_words)):
+            order = np.argsort(key, kind="stable")
+            filled, starts = np.unique(key[order], return_index=True)
+            self.sums.append((other[order], filled, starts, n))
+
+    def _sum(self, which: int, values: np.ndarray) -> np.ndarray:
+        other, filled, starts, n = self.sums[which]
+        out = np.zeros(n)
+        if len(filled):
+            out[filled] = np.add.reduceat(values[other], starts)
+        return out
+
+    def by_row(self, of_words: np.ndarray) -> np.ndarray:
+        return self._sum(0, of_words)
+
+    def by_word(self, of_rows: np.ndarray) -> np.ndarray:
+        return self._sum(1, of_rows)
+
+
 def severity_grade(toxic: str = "toxic", quality: str = "quality") -> Column:
     """Grades from the label columns: 0 good, 1 of low quality but not toxic, 2 toxic; null without a toxic label."""
     return F.when(F.col(toxic) == 1, 2).when((F.col(toxic) == 0) & (F.col(quality) == 0), 1).when(F.col(toxic) == 0, 0)
 
 
 def fit_on(docs: DataFrame, grades: DataFrame, n_grades: int, train_rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on ``doc_id, grade`` rows (null grades dropped, the highest of repeated ids) and the texts of these ids."""
+    """Fit on ``doc_id, grade`` rows (null grades dropped, the highest of repeated ids) and the texts of these ids.
+
+    Of an id that several documents have the smallest text counts.
+    """
     labelled = grades.where("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = docs.join(chosen, "doc_id").select("doc_id", "text", "grade")
+    # One text an id, so that no more than train_rows rows are collected however often an id occurs.
+    texts = docs.join(chosen, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "text", "grade")
 
     def make():
         hashes = WordHashes()
         return lambda doc_id, text, grade: (doc_id, features(text, hashes).tobytes(), grade)
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    rows = map_rows(texts, make, f"doc_id {id_type}, words binary, grade int").collect()  # train_rows at most, but for repeated ids
+    rows = map_rows(texts, make, f"doc_id {id_type}, words binary, grade int").collect()  # train_rows at most
     rows.sort(key=lambda r: (str(r.doc_id), r.words))
     return fit([np.frombuffer(r.words, np.int32) for r in rows], np.array([r.grade for r in rows], np.int64), n_grades)
 

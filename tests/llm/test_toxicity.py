@@ -39,3 +39,48 @@ def test_probabilities_are_ordered_and_sum_to_one():
     for at in ([1], [3], [3, 4], []):
         p = model.probabilities(np.array(at, int))
         assert abs(p.sum() - 1) < 1e-9 and (p >= 0).all()
+
+
+def dense_refit(x, grades, n_grades, rounds=6000):
+    """The same likelihood with a dense matrix, by plain gradient descent; it is convex, so the optimum is one."""
+    w, t = np.zeros(x.shape[1]), np.linspace(0, 1, n_grades - 1)
+    for _ in range(rounds):
+        s = x @ w
+        edges = np.column_stack([np.full(len(s), -np.inf), *[c - s for c in t], np.full(len(s), np.inf)])
+        cdf = 1 / (1 + np.exp(-edges))
+        up, low = cdf[np.arange(len(s)), grades + 1], cdf[np.arange(len(s)), grades]
+        d_up, d_low = up * (1 - up), low * (1 - low)
+        p = up - low
+        g_s = (d_up - d_low) / p / len(s)
+        g_t = [(-(d_up / p)[grades == k].sum() + (d_low / p)[grades == k + 1].sum()) / len(s) for k in range(n_grades - 1)]
+        w = w - 2.0 * (x.T @ g_s + toxicity.SHRINK * w)
+        t = t - 2.0 * np.array(g_t)
+    return w, t
+
+
+def test_fit_equals_a_dense_version():
+    rows = corpus(700, 4)
+    hashes = toxicity.WordHashes()
+    found = [toxicity.features(text, hashes) for _, text, _ in rows]
+    rng = random.Random(7)  # some wrong labels, so that the likelihood has its optimum at weights of common size
+    grades = np.array([rng.randrange(3) if rng.random() < 0.2 else g for _, _, g in rows])
+    model = toxicity.fit(found, grades, 3)
+    chosen = np.flatnonzero(model.weights)
+    told = {w: int(hashes.of([w.encode()])[0]) & ((1 << toxicity.BITS) - 1) for w in ("rude", "vile", "foul")}
+    assert set(told.values()) <= set(chosen.tolist()) and len(chosen) < 60
+    x = np.array([np.isin(chosen, f) for f in found], float)
+    w, t = dense_refit(x, grades, 3)
+    s = x @ w
+    dense = np.diff(np.column_stack([np.zeros(len(s)), *[1 / (1 + np.exp(-(c - s))) for c in t], np.ones(len(s))]))
+    sparse = np.array([model.probabilities(f) for f in found])
+    assert np.abs(dense - sparse).max() < 0.03 and (dense.argmax(1) == sparse.argmax(1)).mean() > 0.99
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [r[:2] for r in corpus(60, 2)]
+    docs = spark.createDataFrame(rows + [rows[0]] * 500 + [(1, None), (1, "other text")], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 3) for i in range(60)] * 2, "doc_id long, grade int")
+    once = spark.createDataFrame([r for r in rows if r[0] != 1] + [(1, min(rows[1][1], "other text"))], "doc_id long, text string")
+    a, b = toxicity.fit_on(docs, grades, 3), toxicity.fit_on(once, grades, 3)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+    assert toxicity.toxicity(docs, grades).count() == len(rows) + 502
