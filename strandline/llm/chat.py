@@ -79,7 +79,7 @@ def _edges(batches, make):
     """Of a partition's runs only the first and the last can go on in another; ``make`` sums up their roles."""
     first = last = None
     for n, (key, rows) in enumerate(_runs(batches, 2)):
-        last = (n, str(key), make(n == 0, [CODE.get(r[1]) for r in rows]))
+        last = (n, None if key is None else str(key), make(n == 0, [CODE.get(r[1]) for r in rows]))
         first = first or last
     pid = TaskContext.get().partitionId()
     found = [] if first is None else [first] if first[0] == last[0] else [first, last]
@@ -94,14 +94,16 @@ def repair_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Returns a row for each turn: ``conv_id, turn, role, text_hash, new_role, action`` (keep, relabel or merge),
     ``inserted`` (role of an empty message put before it), ``cost`` and ``rendered``; the ``rendered`` pieces of a
-    conversation in order of ``turn, role, text`` are its repaired text, closing messages included.
+    conversation in order of ``turn, role, text_hash`` are its repaired text, closing messages included.
 
     Turns are sorted over partitions, so that a conversation of any length is spread out.  The automaton's least
     costs over a run of turns are a small min-plus matrix; those of runs that cross partitions are combined on the
     driver (two a partition), which fixes the costs to the end and then the state at each boundary.
 
     A null or unknown role costs a relabel whatever it becomes; a null text is empty; a null conv_id is a
-    conversation; repeated rows are turns of their own, next to each other; an empty table gives an empty frame.
+    conversation of its own; turns that tie go by role, then by the hash of their text; repeated rows are turns of their
+    own, next to each other; an empty table gives an empty frame; other columns are ignored.  A task holds the rows of
+    one conversation in its partition, not more.
     """
     rows = conversations.select(
         F.col(conv_col).alias("conv_id"), F.col(role_col).cast("string").alias("role"), F.col(turn_col).alias("turn"), F.col(text_col).cast("string").alias("text")
