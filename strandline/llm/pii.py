@@ -28,6 +28,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Words of a text; a label glued to its value with an equals sign is a word of its own.
 WORD = re.compile(r"""["'(<\[{]*+[A-Za-z_][A-Za-z0-9_.-]*+=(?=[^\s=])|\S+""")
+DIGIT = re.compile("[0-9]")
 OPENING, CLOSING = "\"'([{<", "\"')]}>.,:;!?"
 IDENTIFIER = re.compile(r"(?=[^0-9]*+[0-9])[^|#$&*%<>]{6,}+\Z")
 #: Seeds of the kind ``secret``: hex digits after a cue, key ids of this shape, and identifiers after these labels (fixed values).
@@ -107,11 +108,6 @@ def contexts(first: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.nda
     return _mixed(np.stack([first * _LEFT + before * _MIX + np.uint64(1), before * _AROUND + after * _LEFT + np.uint64(2), before * _LABEL + np.uint64(3)]))
 
 
-def _is_label(word: str) -> bool:
-    """A word that may be a pattern by itself: a name that ends with a colon or an equals sign."""
-    return len(word) > 2 and word[-1] in ":="
-
-
 def _secret_seed(value: str, before: str) -> bool:
     if before[-1:] in (":", "=") and (HEX.match(value) or before.strip("\"'([{<:=").lower() in SECRET_LABELS):
         return True
@@ -119,21 +115,32 @@ def _secret_seed(value: str, before: str) -> bool:
 
 
 class Slots:
-    """The slots of one text: its words, and which of them hold a seed, an unknown identifier or a rejected value."""
+    """The slots of one text: its words, and which of them hold a seed, an unknown identifier or a rejected value.
+
+    A word that ends with a colon or an equals sign may be a pattern by itself (a label).
+    """
 
-    def __init__(self, text: str, hashes: ContextHashes):
-        self.spans, failed = base_spans(text)
-        at = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b] for a, b in at]
+    def __init__(self, text: str, hashes: ContextHashes, base: tuple[list[tuple[str, int, int]], set[int]] | None = None):
+        self.spans, failed = base or base_spans(text)
+        #: ``first word, word after the last, instance, role, start, end``
+        self.found: list[tuple[int, int, str, str, int, int]] = []
+        bare = not (self.spans or failed or DIGIT.search(text))  # then no word is an identifier, and places aren't needed
+        if bare and "=" not in text:
+            words, at = text.split(), []
+        else:
+            at = [m.span() for m in WORD.finditer(text)]
+            words = [text[a:b] for a, b in at]
         n = len(words)
         h = np.zeros(n + 3, np.uint64)  # two places before the text, one after it
         h[2 : n + 2] = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         self.hashes, self.n = h, n
-        self.label = np.fromiter((w[-1] in ":=" and len(w) > 2 for w in words), bool, n)
-        starts, ends = [a for a, _ in at], [b for _, b in at]
+        self.label = np.zeros(n, bool)
+        if ":" in text or "=" in text:
+            self.label = np.fromiter((w[-1] in ":=" and len(w) > 2 for w in words), bool, n)
         self.taken = np.zeros(n, bool)
-        #: ``first word, word after the last, instance, role, start, end``
-        self.found: list[tuple[int, int, str, str, int, int]] = []
+        if bare:
+            return
+        starts, ends = [a for a, _ in at], [b for _, b in at]
         for kind, a, b in self.spans:
             i, j = bisect_right(ends, a), bisect_left(starts, b)
             self.taken[i:j] = True
@@ -144,7 +151,7 @@ class Slots:
                 self.taken[i] = True
                 self.found.append((i, i + 1, "", "-", 0, 0))
         for i, word in enumerate(words):
-            if not self.taken[i]:
+            if DIGIT.search(word) and not self.taken[i]:
                 value = word.lstrip(OPENING)
                 a = starts[i] + len(word) - len(value)
                 value = value.rstrip(CLOSING)
@@ -179,6 +186,7 @@ def _key(instance: str) -> str:
     return instance if len(instance) <= 64 else "#" + hashlib.sha256(instance.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 FOUND = "found array<struct<patterns:array<bigint>,instance:string,role:string,a:bigint,b:bigint>>"
 
 
@@ -192,9 +200,13 @@ def _marked(rows: DataFrame) -> DataFrame:
         hashes = ContextHashes()
 
         def function(doc_id, text_hash, text):
-            slots = Slots(text or "", hashes)
-            n = [sum(k == kind for k, _, _ in slots.spans) for kind in KINDS[:4]]
-            told = _told(slots.spans)
+            text = text or ""
+            base = base_spans(text)
+            n = [sum(k == kind for k, _, _ in base[0]) for kind in KINDS[:4]]
+            told = _told(base[0])
+            if not (base[0] or base[1] or DIGIT.search(text)):
+                return doc_id, text_hash, *n, EMPTY_SHA256, told, []
+            slots = Slots(text, hashes, base)
             found = [(p, _key(value), role, a, b) for p, (_, _, value, role, a, b) in zip(slots.patterns(), slots.found)]
             return doc_id, text_hash, *n, hashlib.sha256(told.encode()).hexdigest(), told, found
 
