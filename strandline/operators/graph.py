@@ -52,10 +52,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Label every node of an undirected graph with the smallest node it can reach.
 
-    Each round every node moves to the neighbour (or itself) with the smallest round-specific hash and the
-    graph is rewritten on those labels; the expected number of nodes falls by a constant factor a round, so
-    rounds grow with the logarithm of the graph and later rounds are cheap.  A round groups and joins on
-    nodes only: no neighbour list is collected, so a hub costs as many rows as it has edges.
+    Each task first joins what its own edges join and sends on stars.  Then every round each node moves to the
+    smallest of its neighbours and itself, by value and by a round-specific hash in turn, and the graph is rewritten on
+    those labels; under hashes the expected number of nodes falls by a constant factor, so rounds grow with the logarithm
+    of the graph and later rounds are cheap.  A round groups and joins on nodes only: no neighbour list is collected,
+    so a hub costs as many rows as it has edges.
 
     Edges with a null end are ignored; self loops keep their node as a component of one; repeated edges
     don't matter.  Returns ``node, component`` for nodes that occur in an edge; empty edges give an empty frame.
@@ -70,7 +71,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for round_no in range(max_rounds):
         if live.isEmpty():
             break
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(round_no)).alias("r"), c.alias("v"))
+        # Forests are stars around small nodes, which every other round draws together; hashes shorten any other shape.
+        order = (lambda c: c) if round_no % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(round_no)))
+        rank = lambda c: F.struct(order(c).alias("r"), c.alias("v"))
         both = live.union(live.select("b", "a"))
         moves = cut(
             both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("near"))
@@ -81,7 +84,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         to_b = moves.select(F.col("a").alias("b"), F.col("to").alias("nb"))
         live = cut(
             live.join(to_a, "a").join(to_b, "b").where("na <> nb")
-            .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+            .select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).mapInArrow(_forest, f"a {kind}, b {kind}").distinct()
         )
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -92,7 +95,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             final = moves.select("a", F.col("to").alias("rep"))
         else:
             after = final.select(F.col("a").alias("to"), F.col("rep").alias("then"))
-            final = moves.join(after, "to", "left").select("a", F.coalesce("then", "to").alias("rep"))
+            final = cut(moves.join(after, "to", "left").select("a", F.coalesce("then", "to").alias("rep")))
     if final is None:
         return nodes.select("node", F.col("node").alias("component"))
     labels = cut(nodes.join(final.select(F.col("a").alias("node"), "rep"), "node", "left").select("node", F.coalesce("rep", "node").alias("rep")))
