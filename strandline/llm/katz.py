@@ -241,7 +241,7 @@ def _block_pairs(tokens, lengths, numbers, counts, tokens_in_all, parts):
 
 
 PAIR_ASK = "part int, block bigint, u binary, v binary, n binary, c binary, hot binary"
-PAIR_ANSWER = "block bigint, part int, counts binary, sums binary, mass binary, histogram array<bigint>, hot_u bigint"
+PAIR_ANSWER = "block bigint, part int, counts binary, sums binary, mass binary, histogram array<bigint>, hot_u bigint, hot_sums array<bigint>, hot_mass double"
 
 
 def _pair_table(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, parts: int) -> DataFrame:
@@ -285,11 +285,11 @@ def _pair_table(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, parts:
         rows, end = [], np.cumsum(lengths)
         for block, a, b in zip(table["block"].to_pylist(), (end - lengths).tolist(), end.tolist()):
             own = np.unique(back_context[a:b])
-            rows.append((block, part, _pack(back_count[a:b]), _pack(sums[:, own]), _pack(mass[own]), None, None))
-        rows.append((-1, part, None, None, None, histogram, None))
+            rows.append((block, part, _pack(back_count[a:b]), _pack(sums[:, own]), _pack(mass[own]), None, None, None, None))
+        rows.append((-1, part, None, None, None, histogram, None, None, None))
         is_hot = np.zeros(len(contexts), bool)
         is_hot[context[pair[np.flatnonzero(hot[order])]]] = True
-        rows += [(-2, part, None, _pack(sums[:, i]), _pack(mass[i : i + 1]), None, int(contexts[i])) for i in np.flatnonzero(is_hot).tolist()]
+        rows += [(-2, part, None, None, None, None, int(contexts[i]), sums[:, i].tolist(), float(mass[i])) for i in np.flatnonzero(is_hot).tolist()]
         return pa.Table.from_batches([_rows(answers, rows)])
 
     fed = blocks.select("block", "held", "lengths", "tokens").join(_gathered(words, "places", "counts", "numbers"), "block")
@@ -327,10 +327,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with _shuffles_freed(spark):
         pairs = _pair_table(blocks, words, unigrams, parts)
     second = Discounts.of(_sum_histograms(pairs, HISTOGRAM))
-    hot: dict[int, tuple[np.ndarray, float]] = {}
-    for r in pairs.where("block = -2").select("hot_u", "sums", "mass").toLocalIterator():  # at most 4 contexts a partition are hot
-        sums, mass = hot.get(r.hot_u, (np.zeros(MOST_DISCOUNTED), 0.0))
-        hot[r.hot_u] = sums + _unpack(r.sums, np.int32), mass + float(_unpack(r.mass, np.float64)[0])
+    # A hot context has over a (4 * parts)th of all tokens, so Spark's sums are 4 * parts rows at most, of six numbers.
+    in_all = [F.sum(F.get("hot_sums", F.lit(i))).alias(f"n{i}") for i in range(MOST_DISCOUNTED)]
+    summed = pairs.where("block = -2").groupBy("hot_u").agg(*in_all, F.sum("hot_mass").alias("mass")).collect()
+    hot = {r.hot_u: (np.array(r[1 : 1 + MOST_DISCOUNTED], np.float64), r.mass) for r in summed}
     sent = spark.sparkContext.broadcast(hot)
     lost = np.array([r * (1 - second.d[r]) for r in range(1, MOST_DISCOUNTED + 1)])
     begins = rows.where("NOT held").count()
