@@ -113,10 +113,10 @@ def agg02_hotspot_grid(spark, sf):
     return feed.hotspot_grid(points).withColumns({c: R6(F.col(c)) for c in ("lat", "lng", "frp_sum")})
 
 
-@query(f"""WITH {TRACKS_SQL}, c AS (SELECT floor(lat / 2e0) * 2 AS cell_lat, floor(lng / 2e0) * 2 AS cell_lng, count(*) AS n, avg(ord % 9) AS mean_nac FROM tracks WHERE ord % 9 <= 4 AND NOT on_ground GROUP BY 1, 2)
+@query(f"""WITH {TRACKS_SQL}, c AS (SELECT floor(lat / 1e1 / 2e0) * 2 AS cell_lat, floor(lng / 1e1 / 2e0) * 2 AS cell_lng, count(*) AS n, avg(ord % 9) AS mean_nac FROM tracks WHERE ord % 9 <= 4 AND NOT on_ground GROUP BY 1, 2)
   SELECT cell_lat, cell_lng, n, {r6('mean_nac')} AS mean_nac, CAST(floor((1 - mean_nac / 4) * 100 + 0.5) AS INTEGER) AS severity FROM c WHERE n >= 3""")
 def agg03_jamming_grid(spark, sf):
-    return feed.jamming_grid(tracks(spark, sf).withColumn("nac_p", F.col("ord") % 9)).withColumns({"mean_nac": R6(F.col("mean_nac"))})
+    return feed.jamming_grid(tracks(spark, sf).withColumns({"nac_p": F.col("ord") % 9, "lat": F.col("lat") / 10, "lng": F.col("lng") / 10})).withColumns({"mean_nac": R6(F.col("mean_nac"))})
 
 
 @query("SELECT user_id, count(*) AS n, max_by(event_type, event_id) AS newest, min_by(event_type, event_id) AS oldest FROM events GROUP BY user_id")

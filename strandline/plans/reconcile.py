@@ -136,11 +136,11 @@ def idr02_split_plan(spark, sf):
     return ops.split_plan(*_links(spark, sf))
 
 
-@query(f"""WITH {SIGNALS_SQL}, m AS (SELECT ord AS member, category, occurred_ms AS at_ms, lat / 20 AS lat, lng / 20 AS lng FROM signals WHERE category IN ('earthquake', 'wildfire')),
+@query(f"""WITH {SIGNALS_SQL}, m AS (SELECT ord AS member, category, occurred_ms AS at_ms, lat / 200 AS lat, lng / 200 AS lng FROM signals WHERE category IN ('earthquake', 'wildfire')),
   p AS (SELECT a.member AS "left", b.member AS "right", {HAV.format(a='a.', b='b.')} AS km, abs(a.at_ms - b.at_ms) / 1e3 AS seconds FROM m a JOIN m b ON a.category = b.category AND a.member < b.member AND abs(a.at_ms - b.at_ms) <= CASE a.category WHEN 'earthquake' THEN 900000 ELSE 86400000 END)
   SELECT "left", "right", {r6('km')} AS km, seconds FROM p WHERE km <= 25""")
 def idr03_pair_review(spark, sf):
-    m = signals(spark, sf).where("category IN ('earthquake', 'wildfire')").select(F.col("ord").alias("member"), "category", F.col("occurred_ms").alias("at_ms"), (F.col("lat") / 20).alias("lat"), (F.col("lng") / 20).alias("lng"))
+    m = signals(spark, sf).where("category IN ('earthquake', 'wildfire')").select(F.col("ord").alias("member"), "category", F.col("occurred_ms").alias("at_ms"), (F.col("lat") / 200).alias("lat"), (F.col("lng") / 200).alias("lng"))
     return ops.nearby_members(m).withColumn("km", R6(F.col("km")))
 
 

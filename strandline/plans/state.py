@@ -170,9 +170,9 @@ def set03_new_since(spark, sf):
     return table(spark, sf, "events").where("event_id > 9000").select("event_id", "event_type")
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990)")
 def set06_watchlist_missing(spark, sf):
-    rich = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    rich = table(spark, sf, "customer").where("c_acctbal > 9990").select(F.col("c_nationkey").alias("n_nationkey"))
     return table(spark, sf, "nation").join(rich, "n_nationkey", "left_anti").select("n_name")
 
 
@@ -226,7 +226,9 @@ def str10_last_known(spark, sf):
     return state.last_known(s, "user_id", "occurred_ms", top, 43_200_000)
 
 
-@query(f"WITH {SIGNALS_SQL} SELECT ord, row_number() OVER (PARTITION BY source, occurred_ms // 3600000 ORDER BY occurred_ms, ord) <= 2 AS allowed FROM signals")
+@query(f"""WITH RECURSIVE {SIGNALS_SQL}, w AS (SELECT source, min(occurred_ms) AS start FROM signals GROUP BY source
+    UNION ALL SELECT w.source, min(s.occurred_ms) FROM w JOIN signals s ON s.source = w.source AND s.occurred_ms > w.start + 3600000 GROUP BY w.source)
+  SELECT s.ord, row_number() OVER (PARTITION BY s.source, w.start ORDER BY s.occurred_ms, s.ord) <= 2 AS allowed FROM signals s ASOF JOIN w ON s.source = w.source AND s.occurred_ms >= w.start""")
 def str12_rate_limit(spark, sf):
     return state.rate_limit(signals(spark, sf), "source", "occurred_ms", "ord", 2, 3_600_000).select("ord", "allowed")
 

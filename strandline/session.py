@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is empty (a local test session) a temporary folder takes its place.
+    Where neither the setting nor the context names a folder, a local session gets a temporary one; on a cluster that
+    would be lost with its machine, and a RuntimeError asks for the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return named or context.getCheckpointDir()
 

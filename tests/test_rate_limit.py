@@ -1,4 +1,4 @@
-"""The rate limit against the rule of src/lib/ssrf-guard.ts:221-233, request by request."""
+"""The rate limit against its rule, request by request."""
 
 import os
 import random
