@@ -14,7 +14,11 @@ ORACLE_SQL: str | None = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail the line rules go from every text, and documents that the rules reject go whole."""
+    """Lines that fail the line rules go from every text, and documents that the rules reject go whole.
+
+    A null or empty text is rejected; repeated rows stay repeated; a null id stays null; an empty table stays empty; other
+    columns stay, whatever their names.
+    """
     # The row travels in a struct, so that no column of its own can clash with a measure.
     kept = quality.quality_columns(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where("kept")
     clean_text = F.col("clean_text")
@@ -25,23 +29,38 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: that with the smallest doc_id."""
+    """One document of each near-duplicate class stays: that with the smallest doc_id (nulls last), then the smallest text hash.
+
+    Five-word shingles, similarity 0.8.  Texts without a word are one class; a repeated row stays once; an empty table
+    stays empty; other columns stay, whatever their names.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words a twentieth or more stand in benchmark windows go."""
+    """Documents of whose words a twentieth or more stand in benchmark windows go.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table or benchmark takes nothing; other columns
+    stay, whatever their names.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text gives way to its kind in brackets; ``n_chars`` follows."""
+    """Personal data in the text gives way to its kind in brackets; ``n_chars`` follows.
+
+    Null and empty texts, repeated rows, null ids and empty tables stay as they are; so do other columns, whatever their names.
+    """
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how often."""
+    """The documents that the mix takes, and how often.
+
+    Null and empty texts have no words and are not taken; a null source is a source; repeated rows stay once, with the
+    copies of all; an empty table stays empty; of other columns only those named as the results give way.
+    """
     return mixing.mix_documents(docs)
 
 
