@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.geo import round_half_up
+from strandline.functions.text import canonical_url
 
 NEW_HOURS = 48
 
@@ -30,11 +31,19 @@ def feed_rollup(signals: DataFrame) -> DataFrame:
     )
 
 
-def current_reports(signals: DataFrame, key: str, supersedes: str, at: str) -> DataFrame:
-    """Rows whose key no later or simultaneous row supersedes: a grouped maximum and one left join."""
-    retired = signals.where(F.col(supersedes).isNotNull()).groupBy(F.col(supersedes).alias("retired_key")).agg(F.max(at).alias("retired_at"))
-    joined = signals.join(retired, F.col(key) == F.col("retired_key"), "left")
-    return joined.where(F.col("retired_at").isNull() | (F.col("retired_at") < F.col(at))).drop("retired_key", "retired_at")
+def current_reports(signals: DataFrame, now_ms: int, key: str = "id", at: str = "occurred_ms") -> DataFrame:
+    """Rows of ``key, at, urls, supersedes, nws, nws_only, withdrawn, expires_ms`` that are still in force.
+
+    Withdrawn rows go.  Of rows whose evidence is the weather service's alone (``nws_only``), those go that have expired by
+    ``now_ms``, and those of which a URL is superseded by a weather-service row (``nws``) that is not older.  ``key`` names
+    a row.  Nulls: a null flag is false, null arrays are empty, a null time is never retired and retires nothing.
+    """
+    no, plain = F.lit(False), lambda c: canonical_url(F.col(c))
+    rows = signals.where(~F.coalesce("withdrawn", no) & ~F.coalesce(F.col("nws_only") & (F.col("expires_ms") <= now_ms), no))
+    retired = signals.where("nws").select(F.explode("supersedes").alias("u"), F.col(at).alias("t")).groupBy(plain("u").alias("u")).agg(F.max("t").alias("retired_at"))
+    alerts = rows.where("nws_only").select(F.col(key).alias("gone_key"), F.col(at).alias("t"), F.explode("urls").alias("u")).withColumn("u", plain("u"))
+    gone = alerts.join(retired, "u").where("retired_at >= t").select("gone_key")
+    return rows.join(gone, F.col(key) == F.col("gone_key"), "left_anti")
 
 
 def hotspot_grid(points: DataFrame, cell: float = 0.75, most: int = 120) -> DataFrame:

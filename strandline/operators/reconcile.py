@@ -209,8 +209,14 @@ def review_holds(plan: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def snapshot_checksum(rows: DataFrame) -> DataFrame:
-    """One row with the count and an order-free checksum of all rows: the sum of their 64-bit hashes."""
-    return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    """One row with the count and an order-free SHA-256 of all rows, repeats counted.
+
+    Each row's digest is cut into eight 32-bit numbers, which are summed over all rows; the checksum is the digest of the
+    sums.  Rows enter as JSON of their columns in order of name, nulls included.  No rows: the digest of eight zeros.
+    """
+    digest = rows.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256).alias("h"))
+    words = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(30,0)") for i in range(8)]
+    return digest.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *[w.cast("string") for w in words]), 256).alias("checksum"))
 
 
 # What a risk at a chokepoint means for prices (fixed values).

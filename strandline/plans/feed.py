@@ -45,13 +45,20 @@ def flt02_mappable(spark, sf):
     return s.select("id", feed.mappable(F.col("lat"), F.col("lng"), F.col("location_confidence")).alias("strict"), (F.col("location_confidence") >= 0.75).alias("simple"))
 
 
-@query(f"""WITH {SIGNALS_SQL}, s AS (SELECT *, source || '/' || url_key AS key, CASE WHEN category = 'weather' THEN source || '/' || (url_key + 1) END AS old FROM signals),
-  r AS (SELECT old, max(occurred_ms) AS at FROM s WHERE old IS NOT NULL GROUP BY old)
-  SELECT id, key FROM s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.old = s.key AND r.at >= s.occurred_ms)""")
+@query(f"""WITH {SIGNALS_SQL}, s AS (SELECT *, user_id % 3 < 2 AS nws, user_id % 3 = 0 AS nws_only, ord % 37 = 0 AS withdrawn, CASE WHEN ord % 4 = 0 THEN occurred_ms + 172800000 END AS expires_ms,
+    ['https://x/' || source || '/' || url_key, 'https://x/' || source || '/' || (url_key + 2)] AS urls,
+    CASE WHEN user_id % 3 < 2 AND category = 'weather' THEN ['https://x/' || source || '/' || (url_key + 1), 'https://x/' || source || '/' || (url_key + 5)] END AS old FROM signals),
+  r AS (SELECT u, max(occurred_ms) AS retired_at FROM (SELECT unnest(old) AS u, occurred_ms FROM s WHERE nws) GROUP BY u),
+  g AS (SELECT DISTINCT ord FROM (SELECT ord, occurred_ms, unnest(urls) AS u FROM s WHERE nws_only) JOIN r USING (u) WHERE retired_at >= occurred_ms)
+  SELECT ord, id FROM s WHERE NOT withdrawn AND NOT (nws_only AND coalesce(expires_ms <= {NOW_MS}, false)) AND ord NOT IN (SELECT ord FROM g)""")
 def flt04_current_reports(spark, sf):
-    name = lambda k: F.concat_ws("/", "source", k.cast("string"))
-    s = signals(spark, sf).withColumn("key", name(F.col("url_key"))).withColumn("old", F.when(F.col("category") == "weather", name(F.col("url_key") + 1)))
-    return feed.current_reports(s, "key", "old", "occurred_ms").select("id", "key")
+    url = lambda k: F.concat(F.lit("https://x/"), "source", F.lit("/"), (F.col("url_key") + k).cast("string"))
+    n = F.col("user_id") % 3
+    s = signals(spark, sf).select(
+        "ord", "id", "occurred_ms", F.array(F.concat(url(0), F.lit("#top")), url(2)).alias("urls"), F.when((n < 2) & (F.col("category") == "weather"), F.array(url(1), url(5))).alias("supersedes"),
+        (n < 2).alias("nws"), (n == 0).alias("nws_only"), (F.col("ord") % 37 == 0).alias("withdrawn"), F.when(F.col("ord") % 4 == 0, F.col("occurred_ms") + 172_800_000).alias("expires_ms"),
+    )
+    return feed.current_reports(s, NOW_MS, "ord").select("ord", "id")
 
 
 @query(f"WITH {SIGNALS_SQL} SELECT id, occurred_ms FROM signals WHERE occurred_ms > {NOW_MS} - 86400000 * 3 AND occurred_ms <= {NOW_MS} + 300000")

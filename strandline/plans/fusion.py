@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import text
-from strandline.operators import fusion
+from strandline.operators import continuity, fusion
 from strandline.plans.feed import HAV, R6, r6
 from strandline.sources.adapters import ARTICLES_SQL, NOW_MS, SIGNALS_SQL, articles, signals, table
 
@@ -73,6 +73,25 @@ def fus16_fused_events(spark, sf):
     return fusion.fuse(fusion_signals(spark, sf), NOW_MS)
 
 
+def continuity_events(spark, sf):
+    """The fusion signals as events with arrays of categories, reports and URLs."""
+    listed = lambda c: F.when(c.isNotNull(), F.array(c))
+    return fusion_signals(spark, sf).select(
+        "ord", "id", "title", "description", "category", F.array("category", F.lit("weather")).alias("categories"), "at_ms", "lat", "lng",
+        listed(F.concat("source_id", F.lit("|"), F.col("upstream_id"))).alias("reports"), listed(F.col("url")).alias("urls"),
+        (F.col("source_id") == "noaa-nws").alias("nws"), F.concat_ws("|", "title", F.col("severity") > 50, "url", "upstream_id").alias("content"),
+    )
+
+
+@query()
+def str01_continuity(spark, sf):
+    """All signals in two refreshes, every other row 90 seconds after the rest; events of both."""
+    s = continuity_events(spark, sf)
+    events, stored, cursor = continuity.apply_ledger(None, s.where("ord % 2 = 0"), NOW_MS)
+    later, _, _ = continuity.apply_ledger(stored, s.where("ord % 2 <> 0"), NOW_MS + 90_000, cursor)
+    return events.unionByName(later)
+
+
 _EXACT = f"""{FUSION_SQL}, x AS (SELECT fs.*, source_id || '|' || coalesce(url_key || '/' || (fs.ord // 900), '') AS k, severity, fs.source_id AS sid, 0.4e0 + s.user_id % 7 * 0.2e0 AS weight, s.user_id % 7 AS n FROM fs JOIN signals s USING (ord)),
   e AS (SELECT id AS cid, ek, max(sid) AS sid, arg_max(n, weight) AS n, max(weight) AS w FROM (SELECT *, sid || '|' || coalesce(CASE WHEN n = 3 THEN url_key || '/' || (ord // 900) END, CASE WHEN n IN (4, 5) THEN 'https://x/' || url_key || '/' || (ord // 900) END, 'src' || n) AS ek FROM (SELECT x.*, s.url_key FROM x JOIN signals s USING (ord))) GROUP BY id, ek)"""
 
@@ -143,7 +162,9 @@ def fus04_family(spark, sf):
 
 @query()
 def fus18_news_clusters(spark, sf):
-    return fusion.news_clusters(articles(spark, sf))
+    a = articles(spark, sf).withColumn("weight", 0.2 + F.col("doc_id") % 5 * 0.2)
+    clusters = fusion.news_clusters(a, NOW_MS)
+    return clusters.join(fusion.news_primaries(a, clusters, None), "leader").select("doc_id", "leader", "primary", "articles", "sources")
 
 
 @query(f"""WITH {ARTICLES_SQL}, a AS (SELECT doc_id % 97 AS topic, source, 0.2e0 + doc_id % 5 * 0.2e0 AS weight, doc_id % 2 = 0 AS independent, doc_id % 3 = 0 AS editorial FROM articles),

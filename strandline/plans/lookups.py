@@ -177,9 +177,13 @@ def idr07_review_holds(spark, sf):
     return reconcile.review_holds(plan, c.where(k % 30 == 0).select(k.alias("left"), (k + 1).alias("right")))
 
 
-@query()
+_PARTS = "concat_ws(',', " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + ")"
+
+
+@query(f"""WITH r AS (SELECT sha256('{{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}}') AS h FROM customer)
+  SELECT count(*) AS n, sha256({_PARTS}) AS checksum FROM r""")
 def idr08_snapshot_checksum(spark, sf):
-    return reconcile.snapshot_checksum(table(spark, sf, "orders"))
+    return reconcile.snapshot_checksum(table(spark, sf, "customer"))
 
 
 @query("SELECT name, risk, alert FROM (VALUES ('Suez Canal', 'HIGH', 'European supply delays'), ('Panama Canal', 'CRITICAL', 'LNG and agriculture delays')) v(name, risk, alert)")
