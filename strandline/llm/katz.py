@@ -216,12 +216,14 @@ def _placed(got: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
     return counts, numbers
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context of every token (place ``n_words`` before the first) and context * (n_words + 1) + token."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(lengths) - lengths] = n_words
-    return before, before * (n_words + 1) + tokens
+def _pairs(tokens: np.ndarray, lengths: np.ndarray, n_words: int) -> np.ndarray:
+    """context * (n_words + 1) + token of every token; the context before the first one has place ``n_words``."""
+    local = np.empty(len(tokens), np.int64)
+    local[1:] = tokens[:-1]
+    local[np.cumsum(lengths) - lengths] = n_words
+    local *= n_words + 1
+    local += tokens
+    return local
 
 
 def _pair_part(u: np.ndarray, v: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
@@ -231,13 +233,13 @@ def _pair_part(u: np.ndarray, v: np.ndarray, hot: np.ndarray, parts: int) -> np.
 
 
 def _block_pairs(tokens, lengths, numbers, counts, tokens_in_all, parts):
-    """The distinct pairs of a block: (local key, inverse, context, word, hot, partition)."""
-    before, local = _pairs(tokens, lengths, len(numbers))
-    distinct, inverse = np.unique(local, return_inverse=True)
-    u_at, v_at = distinct // (len(numbers) + 1), distinct % (len(numbers) + 1)
-    u = np.append(numbers, BEGIN)[u_at]
+    """The distinct pairs of a block: (inverse, context, word, context's place, word's place, hot, partition)."""
+    distinct, inverse = np.unique(_pairs(tokens, lengths, len(numbers)), return_inverse=True)
+    inverse = inverse.astype(np.int32)
+    u_at, v_at = (distinct // (len(numbers) + 1)).astype(np.int32), (distinct % (len(numbers) + 1)).astype(np.int32)
+    u, v = np.append(numbers, BEGIN)[u_at], numbers[v_at]
     hot = (u == BEGIN) | (np.append(counts, 0)[u_at] * 4 * parts > tokens_in_all)
-    return before, inverse, u, numbers[v_at], v_at, hot, _pair_part(u, numbers[v_at], hot, parts)
+    return inverse, u, v, u_at, v_at, hot, _pair_part(u, v, hot, parts)
 
 
 PAIR_ASK = "part int, block bigint, u binary, v binary, n binary, c binary, hot binary"
@@ -258,7 +260,7 @@ def _pair_table(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, parts:
             for block, held, lengths, tokens, got in zip(*(c.to_pylist() for c in batch.columns)):
                 lengths, tokens = _unpack(lengths, np.int32), _unpack(tokens, np.int32)
                 counts, numbers = _placed(got, parts)
-                _, inverse, u, v, v_at, hot, part = _block_pairs(tokens, lengths, numbers, counts, unigrams.tokens, parts)
+                inverse, u, v, _, v_at, hot, part = _block_pairs(tokens, lengths, numbers, counts, unigrams.tokens, parts)
                 train = np.repeat(_unpack(held, np.uint8) == 0, lengths)
                 n = np.bincount(inverse, train, len(u)).astype(np.int32)
                 c = counts[v_at].astype(np.int32)
@@ -342,7 +344,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for ids, is_held, lengths, local, got, got_pairs in zip(*(c.to_pylist() for c in batch.columns)):
                 is_held, lengths, local = _unpack(is_held, np.uint8), _unpack(lengths, np.int32), _unpack(local, np.int32)
                 counts, numbers = _placed(got, parts)
-                before, inverse, u, _, v_at, is_hot, part = _block_pairs(local, lengths, numbers, counts, tokens, parts)
+                inverse, u, _, u_at, v_at, is_hot, part = _block_pairs(local, lengths, numbers, counts, tokens, parts)
                 at_part = {g["part"]: g for g in got_pairs}
                 pair, gone, mass = np.zeros(len(u), np.int64), np.zeros(len(u)), np.zeros(len(u))
                 for p, at in _by_part(part, parts):
@@ -354,13 +356,12 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i in np.flatnonzero(is_hot).tolist():
                     sums, m = sent.value[int(u[i])]
                     gone[i], mass[i] = lost @ sums, m
-                context = np.append(counts, begins)[_context_places(local, lengths, len(numbers), inverse, before)]
-                low = unigrams.p(counts)[v_at]
-                logs = _pair_logs(pair, context, gone, mass, low, second)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                known = counts[local] > 0
-                base = np.log10((counts[local] + 0.5) / (tokens + 0.5 * (types + 1)))
-                sums = [np.bincount(owner, x, len(lengths)) for x in (known, base, logs[inverse])]
+                logs = _pair_logs(pair, np.append(counts, begins)[u_at], gone, mass, unigrams.p(counts)[v_at], second)
+                # Looked up a token at a time only when summed; every text has a token, its end.
+                starts = np.cumsum(lengths) - lengths
+                known = np.add.reduceat((counts > 0)[local], starts, dtype=np.int64)
+                base = np.add.reduceat(np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))[local], starts)
+                sums = known, base, np.add.reduceat(logs[inverse], starts)
                 yield _rows(out, [(i, bool(h), int(n), int(k), tokens, float(b), float(s)) for i, h, n, k, b, s in zip(ids, is_held, lengths, *sums)])
 
     fed = (
@@ -371,13 +372,6 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return fed.select("docs", "held", "lengths", "tokens", "got", "got_pairs").mapInArrow(score, schema)
 
 
-def _context_places(local, lengths, n_words, inverse, before) -> np.ndarray:
-    """The place of each distinct pair's context among the block's words."""
-    out = np.empty(int(inverse.max()) + 1 if len(inverse) else 0, np.int64)
-    out[inverse] = before
-    return out
-
-
 def _pair_logs(pair, context, gone, mass, low, discounts: Discounts) -> np.ndarray:
     """log10 P(v|u) from the counts of pair and context, the context's discount and seen unigram mass, and P(v)."""
     whole = np.where(gone > 1e-12, context, context + 1.0)  # without a discount one more leaves mass for the unseen
