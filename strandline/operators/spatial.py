@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.geo import KM_PER_DEGREE, flat_km, haversine_km, in_box, point_in_ring
+from strandline.session import cut
 
 #: A side of up to so many rows is sent to every task; a larger one is joined by cell alone.
 BROADCAST_ROWS = 50_000
@@ -44,21 +45,90 @@ def nearest(points: DataFrame, key: str, centres: DataFrame, centre_key: str, km
     return pairs.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("km", centre_key))).where(F.col("nth") <= most)
 
 
+#: Sizes of grid cells in degrees: a box takes the smallest that is as large as itself, and so touches four cells at most.
+CELL_SIZES = [2.0**n for n in range(-6, 10)]
+#: Areas with up to so many rows and ring points in all are sent to every task.
+BROADCAST_POINTS = 1_000_000
+#: Up to so many different aliases are looked for in every text; more are joined by their first letters.
+SEARCHED_ALIASES = 2_000
+LETTERS = 3
+
+
+def _box_join(points: DataFrame, boxes: DataFrame, small: bool) -> DataFrame:
+    """Pairs of points and boxes (``south, north, west, east``) around them, by an equi-join on cells of each box's own size."""
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    size = F.coalesce(*[F.when(side <= s, F.lit(s)) for s in CELL_SIZES])
+    span = lambda low, high: F.sequence(F.floor(F.col(low) / F.col("size")), F.floor(F.col(high) / F.col("size")))
+    right = (
+        boxes.withColumn("size", size).where("size IS NOT NULL AND south <= north AND west <= east")
+        .withColumn("cell_y", F.explode(span("south", "north"))).withColumn("cell_x", F.explode(span("west", "east")))
+    )
+    sizes = sorted(r[0] for r in right.select("size").distinct().collect())  # sixteen rows at most
+    left = points.withColumn("at_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<double>")))
+    same = (
+        (F.col("at_size") == F.col("size")) & (F.floor(F.col("lat") / F.col("at_size")) == F.col("cell_y"))
+        & (F.floor(F.col("lng") / F.col("at_size")) == F.col("cell_x"))
+    )
+    inside = in_box(F.col("lat"), F.col("lng"), F.col("south"), F.col("north"), F.col("west"), F.col("east"))
+    return left.join(F.broadcast(right) if small else right, same & inside).drop("at_size", "size", "cell_y", "cell_x")
+
+
 def polygon_join(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """Points inside the rings of ``areas`` (``ring`` of ``struct<lng, lat>``): boxes first, then the even-odd rule."""
+    """Points inside the rings of ``areas`` (``ring`` of ``struct<lng, lat>``): cells, then boxes, then the even-odd rule.
+
+    A null or empty ring holds nothing; a point without coordinates is nowhere; repeated rows stay repeated.
+    """
     ring = F.col("ring")
-    boxed = areas.withColumns({
+    boxed = areas.where(F.size(ring) >= 3).withColumns({
         "south": F.array_min(F.transform(ring, lambda p: p["lat"])), "north": F.array_max(F.transform(ring, lambda p: p["lat"])),
         "west": F.array_min(F.transform(ring, lambda p: p["lng"])), "east": F.array_max(F.transform(ring, lambda p: p["lng"])),
     })
-    side = F.broadcast(boxed) if boxed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else boxed
-    inside = in_box(F.col("lat"), F.col("lng"), F.col("south"), F.col("north"), F.col("west"), F.col("east"))
-    return points.join(side, inside).where(point_in_ring(F.col("lat"), F.col("lng"), ring)).drop("south", "north", "west", "east")
+    held = boxed.agg(F.count("*").alias("areas"), F.coalesce(F.sum(F.size(ring)), F.lit(0)).alias("points")).first()
+    pairs = _box_join(points, boxed, held["areas"] <= BROADCAST_ROWS and held["points"] <= BROADCAST_POINTS)
+    return pairs.where(point_in_ring(F.col("lat"), F.col("lng"), ring)).drop("south", "north", "west", "east")
+
+
+def _first_letters(text: Column, lengths: list[int]) -> Column:
+    """All different runs of letters of these lengths in a text."""
+    def runs(letters: Column) -> Column:
+        # Spark reads a single letter in constant time; slices of a long array would each copy it.
+        run = lambda n: lambda _, i: F.concat(*[F.get(letters, i + k) for k in range(n)])
+        return F.array_distinct(F.flatten(F.array(*[F.array_compact(F.transform(letters, run(n))) for n in lengths])))
+
+    # The outer transform has the letters split once, not for every run.
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))), runs))
 
 
 def zone_join(events: DataFrame, zones: DataFrame, text: str) -> DataFrame:
-    """Events inside a zone's box, or whose text names one of its aliases; an event may be in several zones."""
-    side = F.broadcast(zones) if zones.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else zones
-    boxed = F.coalesce(in_box(F.col("lat"), F.col("lng"), F.col("min_lat"), F.col("max_lat"), F.col("min_lng"), F.col("max_lng")), F.lit(False))
-    named = F.exists("aliases", lambda a: F.lower(text).contains(a))
-    return events.join(side, boxed | F.coalesce(named, F.lit(False)))
+    """Events inside a zone's box, or whose text names one of its aliases; an event may be in several zones.
+
+    Boxes are joined by cell and aliases by themselves, or by their first letters once there are too many to look for
+    each in every text.  A null or empty alias names nothing; repeated events and zones stay repeated.
+    """
+    box = ("min_lat", "max_lat", "min_lng", "max_lng")
+    edges = {"south": "min_lat", "north": "max_lat", "west": "min_lng", "east": "max_lng"}
+    aliases = F.array_distinct(F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.length(a) > 0))
+    small = zones.agg(F.count("*").alias("zones"), F.coalesce(F.sum(F.size(aliases)), F.lit(0)).alias("aliases")).first()
+    few = small["zones"] <= BROADCAST_ROWS and small["aliases"] <= BROADCAST_POINTS
+    columns = [*events.columns, *zones.columns]
+    boxed = _box_join(events, zones.withColumns({k: F.col(v) for k, v in edges.items()}), few).select(*columns)
+
+    named = zones.withColumn("alias", F.explode(aliases))
+    known = [r[0] for r in named.select("alias").distinct().limit(SEARCHED_ALIASES + 1).collect()]
+    lower = F.lower(F.col(text))
+    if len(known) <= SEARCHED_ALIASES:
+        all_known = F.array(*map(F.lit, known)).cast("array<string>")
+        # The outer transform has the text lower-cased once, not for every alias.
+        found = F.flatten(F.transform(F.array(lower), lambda t: F.filter(all_known, lambda a: t.contains(a))))
+        pairs = events.withColumn("alias", F.explode(found)).join(F.broadcast(named) if few else named, "alias")
+    else:
+        keyed = cut(events.withColumn("row_number_", F.monotonically_increasing_id()))
+        start = named.withColumn("start", F.substring("alias", 1, LETTERS))
+        lengths = sorted(r[0] for r in start.select(F.length("start")).distinct().collect())
+        texts = keyed.select("row_number_", F.explode(_first_letters(lower, lengths)).alias("start"))
+        hits = texts.join(start, "start").drop("start")
+        pairs = keyed.join(hits, "row_number_").where(lower.contains(F.col("alias")))
+    # An event is named once by a zone: by the first of the zone's aliases in its text, and only outside of its box.
+    first = F.get(F.filter(aliases, lambda a: lower.contains(a)), F.lit(0)) == F.col("alias")
+    outside = ~F.coalesce(in_box(F.col("lat"), F.col("lng"), *map(F.col, box)), F.lit(False))
+    return boxed.unionByName(pairs.where(first & outside).select(*columns))

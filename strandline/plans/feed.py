@@ -345,5 +345,7 @@ def jn06_zone_join(spark, sf):
   SELECT zone, count(*) AS matches, list_slice(list(doc_id ORDER BY doc_id), 1, 20) AS first_ids, max(doc_id) AS latest FROM m GROUP BY zone""")
 def agg12_zone_rollup(spark, sf):
     m = jn06_zone_join(spark, sf)
-    nth = m.withColumn("n", F.row_number().over(Window.partitionBy("zone").orderBy("doc_id")))
-    return nth.groupBy("zone").agg(F.count("*").alias("matches"), F.array_sort(F.collect_list(F.when(F.col("n") <= 20, F.col("doc_id")))).alias("first_ids"), F.max("doc_id").alias("latest"))
+    # Each partition keeps its own first twenty of a zone before they meet.
+    nth = m.withColumn("n", F.row_number().over(Window.partitionBy("zone").orderBy("doc_id"))).where("n <= 20")
+    first = nth.groupBy("zone").agg(F.array_sort(F.collect_list("doc_id")).alias("first_ids"))
+    return m.groupBy("zone").agg(F.count("*").alias("matches"), F.max("doc_id").alias("latest")).join(first, "zone")
