@@ -193,7 +193,7 @@ def _word_table(blocks: DataFrame, parts: int) -> DataFrame:
         return pa.Table.from_batches([_rows(answers, [*rows, (-1, part, None, None, None, histogram)])])
 
     asked = blocks.select("block", "words", "train").mapInArrow(ask, WORD_ASK)
-    return cut(asked.groupBy("part").applyInArrow(answer, WORD_ANSWER))
+    return cut(asked.repartition(_tasks(parts), "part").groupBy("part").applyInArrow(answer, WORD_ANSWER))
 
 
 def _sum_histograms(answers: DataFrame, width: int) -> list[int]:
@@ -201,8 +201,15 @@ def _sum_histograms(answers: DataFrame, width: int) -> list[int]:
     return [int(x) for x in sums.first()]
 
 
-def _gathered(answers: DataFrame, *columns: str) -> DataFrame:
-    return answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", *columns)).alias("got"))
+def _tasks(parts: int) -> int:
+    """Tasks of a shuffle: two partitions of the count tables or half a block each, whatever the size of the corpus."""
+    return max(1, parts // 2)
+
+
+def _gathered(answers: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """One row a block with its answers: at most one a partition of the tables and no more than the block has n-grams."""
+    own = answers.where("block >= 0").select("block", F.struct("part", *columns).alias("row")).repartition(tasks, "block")
+    return own.groupBy("block").agg(F.collect_list("row").alias("got"))
 
 
 def _placed(got: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,9 +301,11 @@ def _pair_table(blocks: DataFrame, words: DataFrame, unigrams: Unigrams, parts:
         rows += [(-2, part, None, None, None, None, int(contexts[i]), sums[:, i].tolist(), float(mass[i])) for i in np.flatnonzero(is_hot).tolist()]
         return pa.Table.from_batches([_rows(answers, rows)])
 
-    fed = blocks.select("block", "held", "lengths", "tokens").join(_gathered(words, "places", "counts", "numbers"), "block")
+    tasks = _tasks(parts)
+    own = blocks.select("block", "held", "lengths", "tokens").repartition(tasks, "block")
+    fed = own.join(_gathered(words, tasks, "places", "counts", "numbers"), "block")
     asked = fed.select("block", "held", "lengths", "tokens", "got").mapInArrow(ask, PAIR_ASK)
-    return cut(asked.groupBy("part").applyInArrow(answer, PAIR_ANSWER))
+    return cut(asked.repartition(_tasks(parts), "part").groupBy("part").applyInArrow(answer, PAIR_ANSWER))
 
 
 SCORE = "doc_id {id}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -364,10 +373,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sums = known, base, np.add.reduceat(logs[inverse], starts)
                 yield _rows(out, [(i, bool(h), int(n), int(k), tokens, float(b), float(s)) for i, h, n, k, b, s in zip(ids, is_held, lengths, *sums)])
 
+    tasks = _tasks(parts)
     fed = (
-        blocks.select("block", "docs", "held", "lengths", "tokens")
-        .join(_gathered(words, "places", "counts", "numbers"), "block")
-        .join(_gathered(pairs, "counts", "sums", "mass").withColumnRenamed("got", "got_pairs"), "block")
+        blocks.select("block", "docs", "held", "lengths", "tokens").repartition(tasks, "block")
+        .join(_gathered(words, tasks, "places", "counts", "numbers"), "block")
+        .join(_gathered(pairs, tasks, "counts", "sums", "mass").withColumnRenamed("got", "got_pairs"), "block")
     )
     return fed.select("docs", "held", "lengths", "tokens", "got", "got_pairs").mapInArrow(score, schema)
 
