@@ -14,13 +14,47 @@ def mappable(lat: Column, lng: Column, confidence: Column, least: float = 0.75)
     return F.coalesce(lat.between(-90, 90) & lng.between(-180, 180) & (confidence >= least), F.lit(False))
 
 
-def feed_filter(signals: DataFrame, min_severity: int, categories: list[str] | None = None, only_mappable: bool = False) -> DataFrame:
-    out = signals.where(F.col("severity") >= min_severity)
+#: Fixed values of the feed's states.
+LIFECYCLES = ("new", "updated", "ongoing")
+CONFIDENCES = ("confirmed", "corroborating", "unconfirmed")
+
+
+def feed_filter(
+    signals: DataFrame, min_severity: float = 0, categories: list[str] | None = None, only_mappable: bool = False, lifecycle: str | None = None, since: float | None = None
+) -> DataFrame:
+    """Rows of at least a severity (clamped to 0 to 100), by category, by lifecycle, mappable, changed after ``since``.
+
+    An unknown lifecycle filters nothing; ``since`` counts from 0 in whole numbers; a null severity or sequence fails.
+    """
+    out = signals.where(F.col("severity") >= max(0, min(100, min_severity)))
     if categories:
         out = out.where(F.col("category").isin(categories))
+    if lifecycle in LIFECYCLES:
+        out = out.where(F.col("lifecycle") == lifecycle)
+    if since is not None:
+        out = out.where(F.col("change_sequence") > max(0, int(since // 1)))
     return out.where(mappable(F.col("lat"), F.col("lng"), F.col("location_confidence"))) if only_mappable else out
 
 
+def delta_page(signals: DataFrame, since: float, limit: int = 200, **filters) -> DataFrame:
+    """The first rows changed after ``since`` in order of ``change_sequence``; the limit is clamped to 1 to 300."""
+    return feed_filter(signals, since=since, **filters).orderBy("change_sequence").limit(max(1, min(300, limit)))
+
+
+def feed_totals(events: DataFrame) -> DataFrame:
+    """One row: all events, mappable ones, those of each confidence and lifecycle, sources and those that are ``healthy``.
+
+    An empty frame gives zeros; null states are in the total alone.
+    """
+    at = mappable(F.col("lat"), F.col("lng"), F.col("location_confidence"))
+    return events.agg(
+        F.count("*").alias("total"), F.count_if(at).alias("mappable"),
+        *[F.count_if(F.col("confidence") == c).alias(c) for c in CONFIDENCES],
+        *[F.count_if(F.col("lifecycle") == c).alias(f"{c}_events") for c in LIFECYCLES],
+        F.count_distinct("source").alias("source_count"), F.count_distinct(F.when(F.col("healthy"), F.col("source"))).alias("healthy_sources"),
+    )
+
+
 def feed_rollup(signals: DataFrame) -> DataFrame:
     """Per category: rows, mappable rows, severity bands, users and sources."""
     at = mappable(F.col("lat"), F.col("lng"), F.col("location_confidence"))

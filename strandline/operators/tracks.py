@@ -119,6 +119,23 @@ def failure_streaks(attempts: DataFrame, key: str, order: str) -> DataFrame:
     return t.withColumn("cooldown_ms", F.when(F.col("streak") >= 2, wait).otherwise(0)).drop("wins")
 
 
+def content_streaks(notes: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds the running ``empty_streak`` and ``stale_streak`` of notes with ``ok``, ``items`` and ``fresh``.
+
+    A success without items lengthens the empty streak, one with items ends it and a failure leaves it; a note without
+    fresh items lengthens the stale streak, one with some ends it.  Null items are none; a null ``fresh`` or ``ok`` notes nothing.
+    """
+    own = _own(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    for name, longer, ends in (
+        ("empty_streak", F.col("ok") & (F.coalesce("items", F.lit(0)) <= 0), F.col("ok") & (F.coalesce("items", F.lit(0)) > 0)),
+        ("stale_streak", F.col("fresh") <= 0, F.col("fresh") > 0),
+    ):
+        notes = notes.withColumn("ended", F.count_if(ends).over(own))
+        since = Window.partitionBy(key, "ended").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        notes = notes.withColumn(name, F.count_if(longer).over(since)).drop("ended")
+    return notes
+
+
 def health_multiplier(success_rate: Column, empty: Column, stale: Column, failures: Column, cooling: Column) -> Column:
     """Product of the penalties for a source's record, within 0.35 and 1.05."""
     m = F.lit(1.0)

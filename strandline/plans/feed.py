@@ -33,6 +33,35 @@ def flt01_feed_filter(spark, sf):
     return rows.orderBy(F.desc("severity"), "id").limit(200).select("id", "category", "severity", "source")
 
 
+def _states(spark, sf):
+    """Signals with a lifecycle, a confidence and a healthy flag."""
+    pick = lambda values, c: F.get(F.array(*map(F.lit, values)), (F.col(c) % 3).cast("int"))
+    return signals(spark, sf).withColumns({
+        "lifecycle": pick(feed.LIFECYCLES, "ord"), "confidence": pick(feed.CONFIDENCES, "user_id"), "change_sequence": F.col("ord"),
+        "healthy": F.length("source") % 2 == 0,
+    })
+
+
+STATES = f"""{SIGNALS_SQL}, states AS (SELECT *, ['new', 'updated', 'ongoing'][ord % 3 + 1] AS lifecycle,
+  ['confirmed', 'corroborating', 'unconfirmed'][user_id % 3 + 1] AS confidence, ord AS change_sequence, length(source) % 2 = 0 AS healthy FROM signals)"""
+
+
+@query(f"""WITH {STATES} SELECT id, change_sequence, lifecycle, severity FROM states
+  WHERE lifecycle = 'updated' AND severity >= 20 AND change_sequence > 100 AND {MAP} ORDER BY change_sequence LIMIT 300""")
+def flt01_delta_page(spark, sf):
+    page = feed.delta_page(_states(spark, sf), 100.7, 5_000, min_severity=20, lifecycle="updated", only_mappable=True)
+    return page.select("id", "change_sequence", "lifecycle", "severity")
+
+
+@query(f"""WITH {STATES} SELECT count(*) AS total, count(*) FILTER ({MAP}) AS mappable,
+  count(*) FILTER (confidence = 'confirmed') AS confirmed, count(*) FILTER (confidence = 'corroborating') AS corroborating,
+  count(*) FILTER (confidence = 'unconfirmed') AS unconfirmed, count(*) FILTER (lifecycle = 'new') AS new_events,
+  count(*) FILTER (lifecycle = 'updated') AS updated_events, count(*) FILTER (lifecycle = 'ongoing') AS ongoing_events,
+  count(DISTINCT source) AS source_count, count(DISTINCT source) FILTER (healthy) AS healthy_sources FROM states""")
+def agg01_feed_totals(spark, sf):
+    return feed.feed_totals(_states(spark, sf))
+
+
 @query(f"""WITH {SIGNALS_SQL} SELECT category, count(*) AS total, count(*) FILTER ({MAP}) AS mappable, count(*) FILTER (severity >= 70) AS high,
   count(*) FILTER (severity BETWEEN 35 AND 69) AS medium, count(*) FILTER (severity < 35) AS low, count(DISTINCT source) AS sources FROM signals GROUP BY category""")
 def agg01_feed_rollup(spark, sf):

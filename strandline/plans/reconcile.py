@@ -97,12 +97,17 @@ def sca07_great_circle(spark, sf):
     return g.select("event_id", R6(geo.haversine_km(*p)).alias("km"), R6(geo.haversine_km(p[0], p[1], F.col("mid.lat"), F.col("mid.lng"))).alias("half_km"))
 
 
-@query("""WITH o AS (SELECT user_id, max(event_id) AS e, max(event_id) % 3 AS content FROM events WHERE event_id < 7000 GROUP BY 1), n AS (SELECT user_id, max(event_id) AS e, max(event_id) % 3 AS content FROM events WHERE event_id >= 5000 GROUP BY 1)
-  SELECT user_id, CASE WHEN o.e IS NULL THEN 'insert' WHEN o.content = n.content THEN 'refresh' ELSE 'revise' END AS action, greatest(o.e, n.e) AS seen_ms FROM n LEFT JOIN o USING (user_id)""")
+# Stored: what views and clicks show of every four events; read anew: what all four show.
+@query("""WITH o AS (SELECT event_id // 4 AS block, max(event_id) AS e, max(event_id) % 3 AS content FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
+  n AS (SELECT event_id // 4 AS block, max(event_id) AS e, max(event_id) % 3 AS content FROM events GROUP BY 1)
+  SELECT block, CASE WHEN o.e IS NULL THEN 'insert' WHEN o.content = n.content THEN 'refresh' ELSE 'revise' END AS action, greatest(o.e, n.e) AS seen_ms
+  FROM n LEFT JOIN o USING (block)""")
 def snk04_unchanged_refresh(spark, sf):
-    part = lambda e: e.groupBy("user_id").agg(F.max("event_id").alias("seen_ms"), (F.max("event_id") % 3).alias("content"))
+    def part(e):
+        return e.groupBy(F.floor(F.col("event_id") / 4).alias("block")).agg(F.max("event_id").alias("seen_ms"), (F.max("event_id") % 3).alias("content"))
+
     e = table(spark, sf, "events")
-    return ops.unchanged_refresh(part(e.where("event_id < 7000")), part(e.where("event_id >= 5000")), "user_id")
+    return ops.unchanged_refresh(part(e.where(F.col("event_type").isin("view", "click"))), part(e), "block")
 
 
 @query(f"""SELECT '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || s_suppkey % 180 || ',' || s_suppkey % 90 || ']}},"properties":{{"s_name":"' || s_name || '"}}}}' AS feature FROM supplier""")
@@ -192,6 +197,14 @@ def rsk04_control_samples(spark, sf):
     return ops.control_verified(e.where("event_type = 'view'"), e.where("event_type = 'error'"), "user_id").select("user_id", "event_id")
 
 
+# Every user of the tables has some error, so that the query above finds hits in other tables only.
+@query("""SELECT user_id, event_id FROM events WHERE event_type = 'view'
+  AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 200)""")
+def rsk04_large_errors(spark, sf):
+    e = table(spark, sf, "events")
+    return ops.control_verified(e.where("event_type = 'view'"), e.where("event_type = 'error' AND value > 200"), "user_id").select("user_id", "event_id")
+
+
 @query("SELECT event_id, CASE WHEN value > 150 THEN 'Hazardous' WHEN value > 100 THEN 'Unhealthy' WHEN value > 55 THEN 'Unhealthy (Sensitive)' WHEN value > 35 THEN 'Moderate' ELSE 'Good' END AS band, CASE WHEN event_id % 7 = 0 THEN 'HIGH' WHEN event_id % 3 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM events")
 def src24_bands(spark, sf):
     e = F.col("event_id")

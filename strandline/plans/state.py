@@ -117,6 +117,23 @@ def win12_streaks(spark, sf):
     return ops.failure_streaks(a, "user_id", "event_id").select("user_id", "event_id", "streak", "cooldown_ms")
 
 
+NOTES = """n0 AS (SELECT user_id, event_id, event_type <> 'error' AS ok, CASE WHEN event_id % 7 < 5 THEN event_id % 3 END AS items,
+    CASE WHEN event_id % 5 < 4 THEN event_id % 2 END AS fresh FROM events),
+  n1 AS (SELECT *, ok AND coalesce(items, 0) = 0 AS e, ok AND coalesce(items, 0) > 0 AS filled, coalesce(fresh = 0, false) AS s, coalesce(fresh > 0, false) AS lively FROM n0),
+  n2 AS (SELECT *, count(*) FILTER (e) OVER w AS es, count(*) FILTER (s) OVER w AS ss FROM n1 WINDOW w AS (PARTITION BY user_id ORDER BY event_id))"""
+
+
+# A streak is the running count less what it was at the last row that ended one.
+@query(f"""WITH {NOTES} SELECT user_id, event_id, es - coalesce(max(CASE WHEN filled THEN es END) OVER w, 0) AS empty_streak,
+  ss - coalesce(max(CASE WHEN lively THEN ss END) OVER w, 0) AS stale_streak FROM n2 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def win12_content_streaks(spark, sf):
+    e = F.col("event_id")
+    notes = table(spark, sf, "events").select(
+        "user_id", "event_id", (F.col("event_type") != "error").alias("ok"), F.when(e % 7 < 5, e % 3).alias("items"), F.when(e % 5 < 4, e % 2).alias("fresh"),
+    )
+    return ops.content_streaks(notes, "user_id", "event_id").select("user_id", "event_id", "empty_streak", "stale_streak")
+
+
 @query(f"""WITH h AS (SELECT user_id, avg((event_type <> 'error')::INTEGER) AS rate, count(*) % 6 AS empty, count(*) % 8 AS stale, count(*) % 4 AS fails FROM events GROUP BY user_id)
   SELECT user_id, {r6("greatest(0.35e0, least(1.05e0, CASE WHEN rate < 0.95 THEN 0.92e0 ELSE 1 END * CASE WHEN rate < 0.8 THEN 0.82e0 ELSE 1 END * CASE WHEN rate < 0.6 THEN 0.72e0 ELSE 1 END * CASE WHEN empty >= 2 THEN 0.88e0 ELSE 1 END * CASE WHEN empty >= 4 THEN 0.75e0 ELSE 1 END * CASE WHEN stale >= 3 THEN 0.9e0 ELSE 1 END * CASE WHEN stale >= 6 THEN 0.75e0 ELSE 1 END * CASE WHEN fails > 0 THEN greatest(0.55e0, 1 - fails * 0.12e0) ELSE 1 END * CASE WHEN fails >= 2 THEN 0.5e0 ELSE 1 END))")} AS multiplier FROM h""")
 def win13_health(spark, sf):
