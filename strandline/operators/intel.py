@@ -132,3 +132,22 @@ def failure_kind(message: Column) -> Column:
         F.when(m.rlike("timeout|timed out|abort"), "timeout").when(m.rlike("429|rate limit"), "rate_limited").when(m.rlike("401|403|forbidden|unauthor"), "denied")
         .when(m.rlike("404|not found"), "missing").when(m.rlike("http 5|50[0-9]"), "upstream").when(m.rlike("json|parse|invalid"), "malformed").otherwise("network")
     )
+
+
+def certificate_names(certs: DataFrame, order: list[str], most: int = 200) -> DataFrame:
+    """Per ``domain``: all certificates, those different by ``cn, serial`` among the first ``most``, their names under the domain.
+
+    ``names`` has a name a line; blanks and a leading ``*.`` go, and names that don't end with the domain.  Names are sorted
+    and stand once.  Null names are none; a null domain is a domain without names; nulls in ``cn`` or ``serial`` are values.
+    """
+    nth = F.row_number().over(Window.partitionBy("domain").orderBy(*order))
+    first = certs.select("domain", "cn", "serial", "names", *[c for c in order if c not in ("domain", "cn", "serial", "names")])
+    first = first.withColumn("nth", nth).where(F.col("nth") <= most)  # each partition keeps its own first ones before they meet
+    clean = F.transform(F.split(F.coalesce("names", F.lit("")), "\n"), lambda n: F.regexp_replace(F.trim(n), "^\\*\\.", ""))
+    under = F.filter(clean, lambda n: n.endswith(F.col("domain")))
+    unique = first.groupBy("domain", "cn", "serial").agg(F.min_by("names", "nth").alias("names"))
+    subdomains = F.array_sort(F.array_distinct(F.flatten(F.collect_list(under))))
+    found = unique.groupBy("domain").agg(F.count("*").alias("unique_certs"), subdomains.alias("subdomains")).withColumnRenamed("domain", "of")
+    total = certs.groupBy("domain").agg(F.count("*").alias("total_certs"))
+    same = F.col("domain").eqNullSafe(F.col("of"))
+    return total.join(found, same).select("domain", "total_certs", "unique_certs", F.array_join("subdomains", ",").alias("subdomains"))

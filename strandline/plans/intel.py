@@ -128,6 +128,25 @@ def agg19_subdomains(spark, sf):
     return p.dropDuplicates(["host", "serial"]).groupBy("host").agg(F.count("*").alias("pages"))
 
 
+@query("""WITH l AS (SELECT 'd' || l_suppkey || '.org' AS domain, l_partkey % 50 AS cn, l_linenumber AS serial, l_orderkey,
+    '*.a' || l_partkey % 23 || '.d' || l_suppkey || '.org' || chr(10) || '  b' || l_partkey % 7 || '.d' || l_suppkey || '.org ' || chr(10) || 'else.net' AS names FROM lineitem),
+  n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY l_orderkey, serial, cn, names) AS nth FROM l),
+  u AS (SELECT domain, cn, serial, arg_min(names, nth) AS names FROM n WHERE nth <= 200 GROUP BY ALL),
+  s AS (SELECT DISTINCT domain, regexp_replace(trim(unnest(string_split(names, chr(10)))), '^[*][.]', '') AS name FROM u),
+  g AS (SELECT domain, string_agg(name, ',' ORDER BY name) AS subdomains FROM s WHERE ends_with(name, domain) GROUP BY domain),
+  t AS (SELECT domain, count(*) AS total_certs FROM l GROUP BY domain), c AS (SELECT domain, count(*) AS unique_certs FROM u GROUP BY domain)
+  SELECT domain, total_certs, unique_certs, subdomains FROM t JOIN c USING (domain) JOIN g USING (domain)""")
+def agg19_certificates(spark, sf):
+    text = lambda c: F.col(c).cast("string")
+    domain = F.concat(F.lit("d"), text("l_suppkey"), F.lit(".org"))
+    names = F.concat(
+        F.lit("*.a"), (F.col("l_partkey") % 23).cast("string"), F.lit("."), domain, F.lit("\n  b"), (F.col("l_partkey") % 7).cast("string"),
+        F.lit("."), domain, F.lit(" \nelse.net"),
+    )
+    certs = table(spark, sf, "lineitem").select(domain.alias("domain"), (F.col("l_partkey") % 50).alias("cn"), F.col("l_linenumber").alias("serial"), "l_orderkey", names.alias("names"))
+    return intel.certificate_names(certs, ["l_orderkey", "serial", "cn", "names"])
+
+
 @query("SELECT r_name, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def agg22_listing(spark, sf):
     j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

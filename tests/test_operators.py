@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strandline.operators import reconcile, spatial, state, tracks
+from strandline.operators import intel, reconcile, spatial, state, tracks
 from strandline.functions import geo
 
 
@@ -55,3 +55,13 @@ def test_ledger_keeps_identities_over_many_batches(spark):
     assert got["b", 9].lifecycle == "new" and got["b", 9].first_seen == 9 and got["a", 29].change_sequence == got["a", 10].change_sequence
     changes = sorted(r.change_sequence for r in got.values() if r.lifecycle != "ongoing")
     assert changes == list(range(1, len(changes) + 1))
+
+
+def test_certificate_names_with_nulls_repeats_and_a_limit(spark):
+    rows = [(i, "x.org", "c", i % 2, f"*.a{i}.x.org\n x.org ") for i in range(6)] + [(9, "x.org", None, None, None), (9, "x.org", None, None, None)]
+    rows += [(1, None, "c", 1, "a.x.org"), (1, "y.org", "c", 1, "")]
+    certs = spark.createDataFrame(rows, "n long, domain string, cn string, serial long, names string")
+    got = {r.domain: tuple(r)[1:] for r in intel.certificate_names(certs, ["n"]).collect()}
+    assert got == {"x.org": (8, 3, "a0.x.org,a1.x.org,x.org"), None: (1, 1, ""), "y.org": (1, 1, "")}
+    assert {r.domain: r.subdomains for r in intel.certificate_names(certs, ["n"], 1).collect()}["x.org"] == "a0.x.org,x.org"
+    assert intel.certificate_names(certs.limit(0), ["n"]).count() == 0
