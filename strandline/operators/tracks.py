@@ -99,6 +99,20 @@ def change_percent(bars: DataFrame, order: str) -> DataFrame:
     return bars.withColumn("previous", before).withColumn("change_pct", F.when(before != 0, (F.col("close") - before) / before * 100))
 
 
+def quote_changes(closes: DataFrame, quotes: DataFrame, key: str, order: str) -> DataFrame:
+    """Each quote's ``price`` against its previous close, in percent: the last but one ``close``, else ``fallback``.
+
+    Null and NaN closes are passed over; a previous close that is null or 0 gives a null change; a quote without closes
+    has its fallback; closes without a quote give nothing; equal orders are told apart by the close.
+    """
+    known = closes.where(F.col("close").isNotNull() & ~F.isnan("close")).select(key, order, "close")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc("close")))
+    last = known.withColumn("nth", nth).where("nth <= 2").groupBy(key).agg(F.max(F.when(F.col("nth") == 2, F.col("close"))).alias("before"))
+    previous = F.coalesce("before", "fallback")
+    change = F.when(previous != 0, (F.col("price") - previous) / previous * 100)
+    return quotes.join(last, key, "left").select(key, "price", previous.alias("previous"), change.alias("change_pct"))
+
+
 def ewma(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.25) -> DataFrame:
     """Exponential moving average of each key's values in order, the first one as seed.
 

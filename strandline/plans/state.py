@@ -100,6 +100,20 @@ def win10_change_pct(spark, sf):
     return ops.change_percent(_bars(spark, sf), "bucket").select("bucket", "close", "previous", R6(F.col("change_pct")).alias("change_pct"))
 
 
+@query(f"""WITH c AS (SELECT event_id // 3 AS quote, event_id, CASE WHEN event_type NOT IN ('error', 'click') THEN value END AS close FROM events),
+  q AS (SELECT DISTINCT event_id // 3 AS quote FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY quote ORDER BY event_id DESC) AS nth FROM c WHERE close IS NOT NULL),
+  p AS (SELECT quote, quote % 90 + 0.5e0 AS price, coalesce(close, quote % 4 + 0e0) AS previous FROM q LEFT JOIN (SELECT quote, close FROM n WHERE nth = 2) USING (quote))
+  SELECT quote, price, previous, {r6('CASE WHEN previous <> 0 THEN (price - previous) / previous * 100 END')} AS change_pct FROM p""")
+def win10_quote_changes(spark, sf):
+    quote = F.floor(F.col("event_id") / 3).alias("quote")
+    e = table(spark, sf, "events")
+    closes = e.select(quote, "event_id", F.when(~F.col("event_type").isin("error", "click"), F.col("value")).alias("close"))
+    number = F.col("quote")
+    quotes = e.select(quote).distinct().select("quote", (number % 90 + 0.5).cast("double").alias("price"), (number % 4).cast("double").alias("fallback"))
+    return ops.quote_changes(closes, quotes, "quote", "event_id").withColumn("change_pct", R6(F.col("change_pct")))
+
+
 @query(f"""WITH RECURSIVE v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
   r AS (SELECT user_id, n, value AS e FROM v WHERE n = 1 UNION ALL SELECT v.user_id, v.n, r.e * 0.75e0 + v.value * 0.25e0 FROM r JOIN v ON v.user_id = r.user_id AND v.n = r.n + 1)
   SELECT user_id, {r6('arg_max(e, n)')} AS ewma FROM r GROUP BY user_id""")

@@ -65,3 +65,11 @@ def test_certificate_names_with_nulls_repeats_and_a_limit(spark):
     assert got == {"x.org": (8, 3, "a0.x.org,a1.x.org,x.org"), None: (1, 1, ""), "y.org": (1, 1, "")}
     assert {r.domain: r.subdomains for r in intel.certificate_names(certs, ["n"], 1).collect()}["x.org"] == "a0.x.org,x.org"
     assert intel.certificate_names(certs.limit(0), ["n"]).count() == 0
+
+
+def test_quote_changes_fall_back_and_pass_over_gaps(spark):
+    closes = spark.createDataFrame([("a", 1, 10.0), ("a", 2, None), ("a", 3, 20.0), ("b", 1, 5.0), ("c", 1, 0.0), ("c", 2, float("nan")), ("c", 3, 1.0), ("x", 1, 1.0)], "q string, n long, close double")
+    quotes = spark.createDataFrame([("a", 12.0, 99.0), ("b", 12.0, 8.0), ("c", 12.0, 8.0), ("d", 12.0, None)], "q string, price double, fallback double")
+    got = {r.q: (r.previous, r.change_pct) for r in tracks.quote_changes(closes, quotes, "q", "n").collect()}
+    assert got == {"a": (10.0, 20.0), "b": (8.0, 50.0), "c": (0.0, None), "d": (None, None)}
+    assert tracks.quote_changes(closes, quotes.limit(0), "q", "n").count() == 0
