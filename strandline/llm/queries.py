@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import chat, decontam, katz, licenses, mixing, pii, quality, simhash, toxicity, warc
+from strandline.llm import chat, decontam, katz, licenses, lines, mixing, pii, prefixes, quality, simhash, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(_table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_lines": op11_lines,
+    "op12_spelling": op12_spelling,
+    "op13_prefixes": op13_prefixes,
 }
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -152,4 +167,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN base USING (rid) LEFT JOIN labels USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op10_licenses": OP10_SQL}
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT rid, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+k AS (SELECT *, {_LOWER.format(x="trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM x),
+s AS (SELECT key, min(doc_id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+f AS (SELECT rid, k.doc_id, line, i, s.key IS NOT NULL AND k.doc_id <> owner AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY rid, doc_id
+"""
+
+# crc32 of a list of bytes {x}, by a table of 256 numbers that follows from the polynomial.
+_CRC_TABLE = "(SELECT list(c ORDER BY n) AS crc_of FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, {x}), lambda c, b: xor(c >> 8, crc_of[1 + (xor(c, b) & 255)])), 4294967295)"
+
+OP12_SQL = f"""
+WITH t AS MATERIALIZED {_CRC_TABLE},
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '[a-z\u00c0-\u00ff]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes FROM r),
+h AS (SELECT run, n, {_CRC.format(x="bytes")} AS h FROM b, t),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+c AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word AS a, b.word AS b FROM c a JOIN c b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM c JOIN w ON c.rest = w.word UNION SELECT w.word, c.word FROM c JOIN w ON c.rest = w.word),
+f AS (SELECT p.a AS word, count(*) AS n_near, arg_min(struct_pack(b := p.b, n := w.n), struct_pack(less := -w.n, b := p.b)) AS best FROM p JOIN w ON w.word = p.b GROUP BY p.a),
+g AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * w.n THEN best.b END AS form, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n FROM w LEFT JOIN f USING (word)),
+roots AS (WITH RECURSIVE up(word, root, next) AS (SELECT word, word, form FROM g UNION ALL SELECT up.word, g.word, g.form FROM up JOIN g ON g.word = up.next) SELECT word, root FROM up WHERE next IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM g JOIN roots USING (word)
+"""
+
+OP13_SQL = f"""
+WITH t AS MATERIALIZED {_CRC_TABLE},
+k AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, list(struct_pack(key := key, words := words) ORDER BY turn NULLS FIRST, key) AS turns, {_CRC.format(x="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))")} % 4 AS h FROM k, t GROUP BY conv_id, crc_of),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.turns, [])[:o.h], o.turns[o.h + 1:]) AS turns FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+m AS (SELECT conv_id, d, d = len(turns) AS last, array_to_string(list_transform(turns[:d], lambda x: x.key), '') AS node, CASE WHEN d > 0 THEN turns[d].words ELSE 0 END AS words FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM r)),
+v AS MATERIALIZED (SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM m GROUP BY node, d),
+c AS (SELECT node[:32 * (depth - 1)] AS node, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+a AS (SELECT above AS node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT n_convs, words, n_children, node[:32 * unnest(range(depth + 1))] AS above FROM v LEFT JOIN c USING (node)) GROUP BY above)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN a USING (node) LEFT JOIN c USING (node) LEFT JOIN v p ON v.depth > 0 AND p.node = v.node[:32 * (v.depth - 1)]
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_warc": OP6_SQL, "op10_licenses": OP10_SQL, "op11_lines": OP11_SQL, "op12_spelling": OP12_SQL, "op13_prefixes": OP13_SQL,
+}
