@@ -63,6 +63,75 @@ def fus05_pairs(spark, sf):
     return pairs.groupBy("rule").agg(F.count("*").alias("pairs"), F.sum(F.col("src") * 31 + F.col("dst")).alias("checksum"))
 
 
+def evidence_signals(spark, sf):
+    """The fusion signals with up to three pieces of evidence each, hints and times of discovery."""
+    e, n = F.col("ord"), F.col("user_id") % 7
+    named = dict(source_id=F.col("source_id"), source=F.col("source"), kind=F.col("kind"), independent=F.col("independent"), weight=F.col("weight"), upstream_id=F.col("upstream_id"), url=F.col("url"))
+    piece = lambda **fields: F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in fields.items()])
+    no = F.lit(None).cast("string")
+    mirror = piece(source_id="mirror", source=F.concat(F.lit("mirror"), (e % 3).cast("string")), kind="editorial", independent=True, weight=0.3 + e % 7 * 0.1, upstream_id=no, url=F.concat(F.lit("https://y/"), F.floor(e / 5).cast("string")))
+    wire = piece(source_id="wire", source="Wire", kind="aggregator", independent=False, weight=0.2 + e % 9 * 0.1, upstream_id=F.floor(e / 20).cast("string"), url=no)
+    parts = [F.array(piece(**named)), F.when(e % 4 == 0, F.array(mirror)), F.when(e % 10 == 0, F.array(wire))]
+    evidence = F.concat(*[F.coalesce(x, F.array().cast("array<struct<source_id:string,source:string,kind:string,independent:boolean,weight:double,upstream_id:string,url:string>>")) for x in parts])
+    flat = fusion_signals(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("ord"), "user_id"), "ord")
+    return flat.withColumns({
+        "evidence": evidence, "discovered_ms": F.when(e % 3 == 0, F.col("at_ms") + 600_000), "source_count_hint": F.when(e % 17 == 0, 4).cast("long"),
+        "independent_sources_hint": F.when(e % 19 == 0, 3).cast("long"), "evidence_weight_hint": F.when(e % 23 == 0, 2.5),
+    }).drop("user_id", *fusion.EVIDENCE)
+
+
+EVIDENCE_SQL = f"""{FUSION_SQL}, ev AS (
+  SELECT fs.ord, 0 AS nth, fs.source_id, s.source, CASE s.user_id % 7 WHEN 1 THEN 'official' WHEN 2 THEN 'sensor' ELSE 'media' END AS kind, s.user_id % 7 % 2 = 0 AS independent, 0.4e0 + s.user_id % 7 * 0.2e0 AS weight,
+    CASE WHEN s.user_id % 7 = 3 THEN s.url_key || '/' || (fs.ord // 900) END AS upstream_id, CASE WHEN s.user_id % 7 IN (4, 5) THEN 'https://x/' || s.url_key || '/' || (fs.ord // 900) END AS url FROM fs JOIN signals s USING (ord)
+  UNION ALL SELECT ord, 1, 'mirror', 'mirror' || (ord % 3), 'editorial', true, 0.3e0 + ord % 7 * 0.1e0, NULL, 'https://y/' || (ord // 5) FROM fs WHERE ord % 4 = 0
+  UNION ALL SELECT ord, 2, 'wire', 'Wire', 'aggregator', false, 0.2e0 + ord % 9 * 0.1e0, CAST(ord // 20 AS VARCHAR), NULL FROM fs WHERE ord % 10 = 0),
+idk AS (SELECT ord, list(DISTINCT source_id || '|' || upstream_id) FILTER (upstream_id IS NOT NULL) AS reports, list(DISTINCT url) FILTER (url IS NOT NULL) AS urls FROM ev GROUP BY ord),
+es AS (SELECT fs.* EXCLUDE (report, url), coalesce(reports, []) AS reports, coalesce(urls, []) AS urls FROM fs JOIN idk USING (ord))"""
+_KEYS_SQL = """kk AS (SELECT ord, 'i' || id AS k FROM es UNION ALL SELECT ord, 'r' || unnest(reports) FROM es UNION ALL SELECT ord, 'u' || unnest(urls) FROM es),
+  cand AS (SELECT a.ord AS src, b.ord AS dst FROM kk a JOIN kk b ON a.k = b.k AND a.ord < b.ord UNION
+    SELECT a.ord, b.ord FROM es a JOIN es b ON a.at_ms // 28800000 = b.at_ms // 28800000 AND a.ord < b.ord UNION
+    SELECT least(a.ord, b.ord), greatest(a.ord, b.ord) FROM es a JOIN es b ON a.at_ms // 28800000 + 1 = b.at_ms // 28800000 AND b.at_ms - a.at_ms <= 28800000)"""
+_EVIDENCE_PAIRS = (
+    PAIRS_SQL.replace("a.report IS NOT NULL OR b.report IS NOT NULL", "len(a.reports) + len(b.reports) > 0").replace("a.report = b.report AS", "list_has_any(a.reports, b.reports) AS").replace("a.url = b.url AS", "list_has_any(a.urls, b.urls) AS")
+    .replace("FROM fs a JOIN fs b ON a.ord < b.ord AND (abs(a.at_ms - b.at_ms) <= 28800000 OR a.id = b.id OR a.report = b.report OR a.url = b.url)", "FROM cand JOIN es a ON a.ord = cand.src JOIN es b ON b.ord = cand.dst")
+)
+
+
+@query(f"WITH {EVIDENCE_SQL}, {_KEYS_SQL}, {_EVIDENCE_PAIRS} SELECT rule, count(*) AS pairs, CAST(sum(src * 31 + dst) AS BIGINT) AS checksum FROM d WHERE rule IS NOT NULL GROUP BY rule")
+def fus05_evidence_pairs(spark, sf):
+    """Pairs of signals with several reports and URLs each: any common one counts, and any report at all rules out URLs and titles."""
+    pairs = fusion.true_pairs(fusion.prepare(evidence_signals(spark, sf)))
+    return pairs.groupBy("rule").agg(F.count("*").alias("pairs"), F.sum(F.col("src") * 31 + F.col("dst")).alias("checksum"))
+
+
+@query(f"""WITH {EVIDENCE_SQL}, x AS (SELECT es.ord, es.ord // 40 AS cluster, es.id, es.at_ms, es.lat, es.lng, s.location_confidence AS sure, s.severity, CASE WHEN es.ord % 3 = 0 THEN es.at_ms + 600000 ELSE es.at_ms END AS seen,
+    CASE WHEN es.ord % 17 = 0 THEN 4 ELSE 0 END AS hs, CASE WHEN es.ord % 19 = 0 THEN 3 ELSE 0 END AS hi, CASE WHEN es.ord % 23 = 0 THEN 2.5e0 ELSE 0e0 END AS hw, s.category FROM es JOIN signals s USING (ord)),
+  k AS (SELECT cluster, at_ms, ev.*, source_id || '|' || coalesce(upstream_id, url, source) AS ek FROM ev JOIN x USING (ord)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY cluster, ek ORDER BY weight DESC, at_ms DESC, ord, nth) AS rank, first_value({{'t': -at_ms, 'o': ord, 'n': nth}}) OVER (PARTITION BY cluster, ek ORDER BY at_ms DESC, ord, nth) AS place FROM k),
+  m AS (SELECT cluster, count(*) AS evidence_count, count(DISTINCT source_id) AS n_sources, count(*) FILTER (independent) AS n_independent, sum(weight) AS w, bool_or(kind IN ('official', 'sensor')) AS auth FROM r WHERE rank = 1 GROUP BY cluster),
+  n AS (SELECT cluster, string_agg(source, ',' ORDER BY place) AS sources FROM (SELECT cluster, source, min(place) AS place FROM r WHERE rank = 1 GROUP BY ALL) GROUP BY cluster),
+  l AS (SELECT cluster, lat, lng FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sure DESC, at_ms DESC, ord) AS rank FROM x WHERE lat IS NOT NULL) WHERE rank = 1),
+  own AS (SELECT ord, sum(weight) AS w FROM ev GROUP BY ord),
+  pr AS (SELECT cluster, category FROM (SELECT x.*, row_number() OVER (PARTITION BY cluster ORDER BY greatest(own.w, hw) * 10 + severity + sure * 5 DESC, at_ms DESC, ord) AS rank FROM x JOIN own USING (ord)) WHERE rank = 1),
+  g AS (SELECT cluster, count(*) AS signals, min(seen) AS first_seen_ms, max(seen) AS last_seen_ms, max(hs) AS hs, max(hi) AS hi, max(hw) AS hw, string_agg(id, '|' ORDER BY id) AS ids FROM x GROUP BY cluster)
+  SELECT cluster, signals, category, evidence_count, sources, greatest(n_sources, hs) AS source_count, greatest(n_independent, hi) AS independent_sources, floor(greatest(w, hw) * 100 + 0.5) / 100 AS evidence_weight,
+    CASE WHEN auth OR (greatest(n_independent, hi) >= 2 AND greatest(w, hw) >= 1.7) THEN 'confirmed' WHEN greatest(n_sources, hs) >= 2 OR greatest(w, hw) >= 1.5 THEN 'corroborating' ELSE 'unconfirmed' END AS confidence,
+    first_seen_ms, last_seen_ms, lat, lng, list_reduce(list_prepend(2166136261::HUGEINT, [ascii(c)::HUGEINT for c in string_split(ids, '')]), lambda a, c: (xor(a, c) * 16777619) % 4294967296)::BIGINT AS id_hash
+  FROM g JOIN m USING (cluster) JOIN n USING (cluster) JOIN pr USING (cluster) LEFT JOIN l USING (cluster)""")
+def fus09_evidence_merge(spark, sf):
+    """Forty signals an event: merged evidence with the first's place and the heaviest's weight, hints, times, place, and the hash of all sorted ids."""
+    prepared = fusion.prepare(evidence_signals(spark, sf)).withColumn("cluster", F.floor(F.col("ord") / 40))
+    return fusion.summarise(prepared, "cluster", NOW_MS).select(
+        "cluster", "signals", "category", "evidence_count", F.array_join("sources", ",").alias("sources"), "source_count", "independent_sources", "evidence_weight", "confidence",
+        "first_seen_ms", "last_seen_ms", "lat", "lng", F.conv(F.substring("fused_id", 5, 20), 36, 10).cast("long").alias("id_hash"))
+
+
+@query()
+def fus16_evidence_events(spark, sf):
+    """Fused events of the signals with several pieces of evidence, all of them."""
+    return fusion.fuse(evidence_signals(spark, sf), NOW_MS, None)
+
+
 @query()
 def fus08_clusters(spark, sf):
     return fusion.cluster(fusion.prepare(fusion_signals(spark, sf)))
