@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,9 +20,15 @@ from strandline.session import cut, shared_folder
 #: Payloads of fewer bytes are always written whole.
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PREFIX = "urn:page:"
+PREFIX, NO_ID = "urn:page:", "urn:nil:page"
 VERSION, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
-CHUNK = 1 << 16
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
+#: More digits than any length has are damage, as are digits of other scripts.
+LENGTH = re.compile(r"[0-9]{1,18}", re.ASCII)
+DIGEST = re.compile(r"sha1:(?:([A-Z2-7]{32})|([0-9a-f]{40}))", re.ASCII | re.IGNORECASE)
+CHUNK, WINDOW = 1 << 16, 1 << 20
+#: Longest header of a record, and longest name or comment of a gzip member.
+MOST_HEADER, MOST_NAME = 1 << 16, 1 << 12
 BATCH_BYTES = 8 << 20
 RECORD = (
     "archive string, offset bigint, length bigint, kind string, record_type string, record_id string, target_uri string, "
@@ -32,8 +40,16 @@ def _wire_digest(hex_digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def _hex_digest(wire: str) -> str:
-    return base64.b32decode(wire.removeprefix("sha1:")).hex()
+def _hex_digest(wire: str) -> str | None:
+    """Lower-case hex of a SHA-1 that is written in base32 or in hex; null if it is neither."""
+    found = DIGEST.fullmatch(wire.strip())
+    if found is None:
+        return None
+    return base64.b32decode(found[1].upper()).hex() if found[1] else found[2].lower()
+
+
+def _urn(page_id) -> str:
+    return NO_ID if page_id is None else PREFIX + quote(str(page_id), safe="")
 
 
 def render(page_id, url, payload: bytes, record_type: str, refers_to, digest: str, date: str = "2024-01-01T00:00:00Z") -> bytes:
@@ -41,14 +57,14 @@ def render(page_id, url, payload: bytes, record_type: str, refers_to, digest: st
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if record_type == "response" else http
     head = {
-        "WARC-Type": record_type, "WARC-Record-ID": f"<{PREFIX}{page_id}>", "WARC-Date": date,
+        "WARC-Type": record_type, "WARC-Record-ID": f"<{_urn(page_id)}>", "WARC-Date": date,
         "WARC-Target-URI": None if url is None else "".join(url.split()) or None,
         "WARC-Payload-Digest": _wire_digest(digest),
         "WARC-Block-Digest": "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode(),
         "Content-Type": "application/http; msgtype=response",
     }
     if record_type == "revisit":
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{PREFIX}{refers_to}>"}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<{_urn(refers_to)}>"}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
@@ -57,76 +73,144 @@ class Broken(ValueError):
     """A record that fails its checks."""
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the whole record that ``data`` begins with."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(VERSION) or end < 0:
-        raise Broken("no header")
+def headers(data: bytes) -> tuple[dict[str, str], int]:
+    """Fields of a record's header, without the line ends that close it, and the length of its block."""
+    if not VERSION_LINE.match(data + b"\r\n"):
+        raise Broken("no version line")
     head = {}
-    for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Broken("bad header line")
         head[name.strip().lower()] = value.strip()
-    if not head.get("content-length", "").isdigit():
+    if not LENGTH.fullmatch(head.get("content-length", "")):
         raise Broken("no content length")
-    stop = end + 4 + int(head["content-length"])
+    return head, int(head["content-length"])
+
+
+def check_block(head: dict[str, str], block: bytes) -> None:
+    told = head.get("warc-block-digest", "")
+    if told.lower().startswith("sha1:") and _hex_digest(told) != hashlib.sha1(block).hexdigest():
+        raise Broken("block digest differs")
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
+    """Headers, block and length of the whole record that ``data`` begins with."""
+    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    if end < 0:
+        raise Broken("no header")
+    head, length = headers(data[:end])
+    stop = end + 4 + length
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Broken("content length doesn't lead to the end of a record")
     block = data[end + 4 : stop]
-    if (own := head.get("warc-block-digest", "")).startswith("sha1:") and own != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
-        raise Broken("block digest differs")
+    check_block(head, block)
     return head, block, stop + 4
 
 
-def _member(file, offset: int) -> tuple[bytes, int]:
+class Window:
+    """A file read through one buffered window that moves forward, so that a search over many false starts reads each byte once or twice."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.start, self.data = file, size, 0, b""
+        #: The first blank line found at or after the offset it was looked for from.
+        self.blank_from, self.blank_at = 0, -1
+        #: Where the next version line and the next gzip member are.
+        self.ahead = [-1, -1]
+
+    def read(self, offset: int, n: int) -> bytes:
+        n = min(n, self.size - offset)
+        if n <= 0:
+            return b""
+        if offset < self.start or offset + n > self.start + len(self.data):
+            self.file.seek(offset)
+            self.start, self.data = offset, bytes(self.file.read(max(n, WINDOW)))
+        at = offset - self.start
+        return self.data[at : at + n]
+
+    def find(self, pattern: bytes, offset: int, stop: int) -> int:
+        """Where the pattern begins first, at or after an offset and within bytes before ``stop``; -1 if nowhere.  Nothing is copied."""
+        stop = min(stop, self.size)
+        while offset + len(pattern) <= stop:
+            self.read(offset, len(pattern))  # moves the window if need be
+            held = self.start + len(self.data)
+            at = self.data.find(pattern, offset - self.start, min(stop, held) - self.start)
+            if at >= 0:
+                return self.start + at
+            if held >= stop:
+                break
+            offset = max(held - len(pattern) + 1, offset + 1)
+        return -1
+
+    def blank(self, offset: int) -> int:
+        """Where the first blank line at or after an offset begins, within the longest header; -1 if there is none."""
+        if not self.blank_from <= offset <= self.blank_at:
+            found = self.find(b"\r\n\r\n", offset, offset + MOST_HEADER)
+            if found < 0:
+                return -1
+            self.blank_from, self.blank_at = offset, found
+        return self.blank_at if self.blank_at - offset <= MOST_HEADER else -1
+
+    def next_start(self, offset: int) -> int:
+        """Where the next gzip member or version line begins, from an offset on."""
+        for i, pattern in enumerate((VERSION, GZIP)):
+            # Places already found stay good until the search has passed them.
+            if self.ahead[i] < offset:
+                found = self.find(pattern, offset, self.size)
+                self.ahead[i] = self.size if found < 0 else found
+        return min(self.ahead)
+
+
+def _member_header(file: Window, offset: int) -> None:
+    """Fail soon where gzip's magic bytes begin no header: reserved flags, or a name or comment without an end."""
+    head = file.read(offset, 12)
+    if len(head) < 12 or head[3] & 0xE0:
+        raise Broken("no header of a member")
+    at = offset + 10
+    if head[3] & 4:
+        at += 2 + int.from_bytes(head[10:12], "little")
+    for flag in (8, 16):
+        if head[3] & flag:
+            end = file.read(at, MOST_NAME).find(b"\0")
+            if end < 0:
+                raise Broken("no header of a member")
+            at += end + 1
+
+
+def _member(file: Window, offset: int) -> tuple[bytes, int]:
     """The content of the gzip member at an offset, and its length."""
-    file.seek(offset)
-    unzip, parts, taken = zlib.decompressobj(31), [], 0
+    _member_header(file, offset)
+    unzip, parts, at, step = zlib.decompressobj(31), [], offset, 1 << 10
     while not unzip.eof:
-        chunk = file.read(CHUNK)
+        chunk = file.read(at, step)
         if not chunk:
             raise Broken("member is cut off")
         try:
             parts.append(unzip.decompress(chunk))
         except zlib.error as error:
             raise Broken(f"member is damaged: {str(error)[:80]}") from error
-        taken += len(chunk)
-    return b"".join(parts), taken - len(unzip.unused_data)
-
-
-def _plain(file, offset: int, size: int) -> tuple[dict[str, str], bytes, int]:
-    """The uncompressed record at an offset; only as many bytes are read as its header asks for."""
-    file.seek(offset)
-    data = file.read(CHUNK)
-    while b"\r\n\r\n" not in data and len(data) < 1 << 20 and (more := file.read(CHUNK)):
-        data += more
-    end = data.find(b"\r\n\r\n")
-    head = data[: max(end, 0)].lower()
-    at = head.find(b"\r\ncontent-length:")
-    if at >= 0:
-        number = head[at + 17 :].split(b"\r\n")[0].strip()
-        need = end + 8 + int(number) if number.isdigit() else 0
-        if need > size - offset:
-            raise Broken("content length goes beyond the archive")
-        if need > len(data):
-            data += file.read(need - len(data))
-    return parse(data)
-
-
-def _next_start(file, offset: int, size: int) -> int:
-    """Where the next gzip member or version line begins, from an offset on."""
-    back = max(len(VERSION), len(GZIP)) - 1
-    while offset < size:
-        file.seek(offset)
-        data = file.read(1 << 20)
-        found = [i for i in (data.find(VERSION), data.find(GZIP)) if i >= 0]
-        if found:
-            return offset + min(found)
-        if offset + len(data) >= size:
-            break
-        offset += max(len(data) - back, 1)
-    return size
+        at, step = at + len(chunk), CHUNK
+    return b"".join(parts), at - len(unzip.unused_data) - offset
+
+
+def _plain(file: Window, offset: int) -> tuple[dict[str, str], bytes, int]:
+    """The uncompressed record at an offset; its block is read only if its length leads to the end of a record."""
+    end = file.blank(offset) if VERSION_LINE.match(file.read(offset, 16)) else -1
+    if end < 0:
+        raise Broken("no header")
+    if file.find(b"\r\n" + VERSION, offset, end) >= 0:
+        raise Broken("another record begins in the header")
+    head, length = headers(file.read(offset, end - offset))
+    stop = end + 4 + length
+    if stop + 4 > file.size:
+        raise Broken("content length goes beyond the archive")
+    file.file.seek(stop)
+    if bytes(file.file.read(4)) != b"\r\n\r\n":
+        raise Broken("content length doesn't lead to the end of a record")
+    file.file.seek(end + 4)
+    block = bytes(file.file.read(length))
+    check_block(head, block)
+    return head, block, stop + 4 - offset
 
 
 def salvage(file, size: int) -> Iterator[tuple]:
@@ -134,25 +218,27 @@ def salvage(file, size: int) -> Iterator[tuple]:
 
     Yields ``("record", offset, length, headers, block)`` or ``("gap", offset, length, reason, None)``.  After a failed
     check the search goes on at the next byte that begins a gzip member or a version line; gaps that touch are one.
+
+    No damage raises: wrong digests, lengths and headers all make a gap.  Digests may be base32 or hex.  What no check covers
+    is taken as it stands: the header of an uncompressed record has no digest, so a changed id or date there isn't seen.
     """
-    offset, gap, reason = 0, None, ""
+    offset, gap, reason, window = 0, None, "", Window(file, size)
     while offset < size:
-        file.seek(offset)
-        start = bytes(file.read(len(VERSION)))
+        start = window.read(offset, len(VERSION))
         try:
             if start.startswith(GZIP):
-                data, length = _member(file, offset)
+                data, length = _member(window, offset)
                 head, block, used = parse(data)
                 if used != len(data):
                     raise Broken("more than one record in a member")
             elif start.startswith(VERSION):
-                head, block, length = _plain(file, offset, size)
+                head, block, length = _plain(window, offset)
             else:
                 raise Broken("no member or version line")
         except Broken as error:
             if gap is None:
                 gap, reason = offset, str(error)
-            offset = _next_start(file, offset + 1, size)
+            offset = window.next_start(offset + 1)
             continue
         if gap is not None:
             yield "gap", gap, offset - gap, reason, None
@@ -217,9 +303,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                             revisit = head.get("warc-type") == "revisit"
                             n, digest = len(body), hashlib.sha1(body).hexdigest()
                             if revisit:
-                                digest = _hex_digest(told) if told.startswith("sha1:") else None
+                                digest = _hex_digest(told)
                                 http = [x.partition(b":") for x in block.partition(b"\r\n\r\n")[0].lower().split(b"\r\n")]
-                                n = next((int(v) for k, _, v in http if k == b"content-length" and v.strip().isdigit()), None)
+                                n = next((int(v) for k, _, v in http if k == b"content-length" and LENGTH.fullmatch(v.strip().decode("latin-1"))), None)
                             row = dict(
                                 kind=kind, record_type=head.get("warc-type"), record_id=head.get("warc-record-id", "").strip("<>"),
                                 target_uri=head.get("warc-target-uri"), refers_to=head.get("warc-refers-to", "").strip("<>") or None,
@@ -255,7 +341,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def archive_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write every page as a WARC record in the shared folder and read all archives back: a row for each record.
 
-    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``.  Empty pages write nothing.
+    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``; ids keep their type (text is quoted in the
+    record id), a null id stays null, a null payload is empty, repeated rows are records of their own, of equal payloads
+    the largest id is the response, an empty table writes nothing, and other columns are ignored.
 
     Byte gaps that the reader quarantines are logged as Parquet in ``quarantine`` below the folder; a gap, or another
     number of records than the manifest has, raises a RuntimeError that names the log.  Without ``folder`` the archives
@@ -274,7 +362,6 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, folder: str | None
     if own and written:
         store, path = fs.FileSystem.from_uri(folder)
         store.delete_dir(path)
-    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
-    return records.select(
-        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to")
-    )
+    kind = pages.schema["page_id"].dataType
+    named = lambda c: F.when(F.col(c).startswith(PREFIX), F.url_decode(F.substring(c, len(PREFIX) + 1, 1 << 30))).cast(kind)
+    return records.select(named("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", named("refers_to").alias("refers_to"))

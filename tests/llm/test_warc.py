@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,55 @@ def test_damage_in_a_round_trip_is_logged_and_reported(spark, tmp_path, monkeypa
         warc.archive_round_trip(spark, pages, folder)
     gaps = spark.read.parquet(f"{folder}/quarantine").collect()
     assert gaps and all(r.length > 0 and r.reason for r in gaps)
+
+
+def test_damaged_headers_and_digests_are_gaps():
+    good = record(1, b"kept")
+    for old, new in ((b"Content-Length: ", b"Content-Length: \xc2\xb2"), (b"Content-Length: ", b"Content-Length: " + b"9" * 5000), (b"Block-Digest: sha1:", b"Block-Digest: sha1:!"), (b"WARC-Type:", b"WARC-Type;")):
+        bad = record(0, b"lost" * 50).replace(old, new, 2)
+        for pack in (bytes, gzip.compress):
+            found = read(pack(bad) + pack(good) + pack(good))
+            assert [x[3]["warc-record-id"] for x in found if x[0] == "record"] == ["<urn:page:1>"] * 2 and found[0][0] == "gap"
+    hexed = good.replace(warc._wire_digest(hashlib.sha1(b"kept").hexdigest()).encode(), b"sha1:" + hashlib.sha1(b"kept").hexdigest().upper().encode())
+    assert [x[0] for x in read(hexed)] == ["record"]
+    assert warc._hex_digest("sha1:" + "z" * 40) is None and warc._hex_digest("sha1:\xb2") is None and warc._hex_digest("md5:00") is None
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_fuzzed_archives_never_raise_and_keep_intact_records(packed):
+    rng = random.Random(4)
+    pack = gzip.compress if packed else bytes
+    records = [pack(record(i, rng.randbytes(rng.randrange(400)) + f" body {i}".encode())) for i in range(12)]
+    for _ in range(150):
+        data, k = list(records), rng.randrange(12)
+        broken, at = bytearray(data[k]), rng.randrange(len(data[k]))
+        how = rng.randrange(3)
+        if how == 0:
+            broken[at] ^= 1 << rng.randrange(8)
+        elif how == 1:
+            del broken[at : at + rng.randrange(1, 30)]
+        else:
+            broken[at:at] = rng.choice([b"\x1f\x8b\x08\x00", b"WARC/1.1\r\n", rng.randbytes(9), b"\xc2\xb2"])
+        data[k] = bytes(broken)
+        found = read(b"".join(data))
+        assert sum(x[2] for x in found) == len(b"".join(data))
+        starts = {x[1] for x in found if x[0] == "record"}
+        at = 0
+        for i, part in enumerate(data):
+            assert i == k or at in starts
+            at += len(part)
+
+
+@pytest.mark.parametrize("junk", [b"\x1f\x8b\x08", b"WARC/1.", b"WARC/1.1\r\n", b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x00\x00"])
+def test_long_damage_takes_time_in_proportion(junk):
+    data = junk * (2_000_000 // len(junk)) + record(7, b"after")
+    begun = time.time()
+    found = read(data)
+    assert [x[0] for x in found][-1] == "record" and found[-1][3]["warc-record-id"] == "<urn:page:7>"
+    assert time.time() - begun < 30
+
+
+def test_text_ids_are_kept(spark):
+    rows = [("a b+c/é%", "u", "x" * 1200), ("<z>", "u", "x" * 1200), (None, "u", "short"), ("", "u", "other")]
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(spark, spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {("a b+c/é%", "response", None), ("<z>", "revisit", "a b+c/é%"), (None, "response", None), ("", "response", None)}
