@@ -43,7 +43,8 @@ class Index:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         hashes = WordHashes()
-        self.items: dict[bytes, list[str]] = {}
+        #: Owners of a window are the keys of a dict, so that any number of items may have it.
+        self.items: dict[bytes, dict[str, None]] = {}
         prints: dict[int, set[int]] = {}
         for item, text in items:
             words = alnum_words(text)
@@ -51,9 +52,9 @@ class Index:
             if span:
                 prints.setdefault(span, set()).update(winnow(hashes.of(words), span).tolist())
                 for p in range(len(words) - span + 1):
-                    owners = self.items.setdefault(b" ".join(words[p : p + span]), [])
-                    if item is not None and item not in owners:
-                        owners.append(item)
+                    owners = self.items.setdefault(b" ".join(words[p : p + span]), {})
+                    if item is not None:
+                        owners[item] = None
         self.prints = {span: np.sort(np.fromiter(x, np.uint64, len(x))) for span, x in prints.items()}
 
 
@@ -63,12 +64,14 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ordered[at] == values)
 
 
-def _measure(words: list[bytes], found: list[tuple[int, int, list[str]]]) -> tuple[int, int, list[str]]:
+def _measure(words: list[bytes], found: list[tuple[int, int, dict[str, None]]]) -> tuple[int, int, list[str]]:
     hit = np.zeros(len(words) + 1, np.int64)
     items: set[str] = set()
-    for place, span, owners in found:
+    for place, span, _ in found:
         hit[place] += 1
         hit[place + span] -= 1
+    # A window's owners are added once, however many places it has.
+    for owners in {id(owners): owners for *_, owners in found}.values():
         items.update(owners)
     return len(words), int((np.cumsum(hit)[:-1] > 0).sum()), sorted(items)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +50,11 @@ def test_equals_brute_force(spark, bound, monkeypatch):
     assert decontam.contamination_digest(docs.where("false"), bench).count() == 0
     kept = decontam.decontaminate(docs, bench, broadcast_chars=bound).count()
     assert kept == sum(not r.contaminated for r in got)
+
+
+def test_very_many_items_with_one_window(spark):
+    items = [(f"i{n}", "same") for n in range(60_000)]
+    begun = time.time()
+    index = decontam.Index(items)
+    found = decontam._measure([b"same"] * 20_000, [(p, 1, index.items[b"same"]) for p in range(20_000)])
+    assert found[:2] == (20_000, 20_000) and len(found[2]) == 60_000 and time.time() - begun < 20
