@@ -148,17 +148,18 @@ FROM m
 """
 
 _PHRASES = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
-_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{text}', '{telling}', '{other}')" for i, (label, text, telling, other) in enumerate(licenses.TEMPLATES))
 _BLANK_LINES = r"\n([\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+"
 OP10_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {_alnum_words('text')} AS w FROM documents),
 p AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {_PHRASES}) v(phrase, label)),
 places AS (SELECT rid, label, i - 1 AS place FROM (SELECT rid, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM d, p) WHERE w[i:i + len(p) - 1] = p),
 base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM places GROUP BY rid),
-t AS (SELECT id, label, list_distinct({_alnum_words('text')}) AS t FROM (VALUES {_TEMPLATES}) v(id, label, text)),
+t AS (SELECT id, label, list_distinct({_alnum_words('text')}) AS t, list_filter(string_split(telling, ' '), lambda x: x <> '') AS telling, list_filter(string_split(other, ' '), lambda x: x <> '') AS other
+  FROM (VALUES {_TEMPLATES}) v(id, label, text, telling, other)),
 l AS (SELECT rid, list_distinct({_alnum_words('block')}) AS l FROM (SELECT rid, unnest(string_split_regex(text, '{_BLANK_LINES}')) AS block FROM d)),
 m AS (SELECT rid, label, max(len(list_intersect(t, l)) / CAST(len(t) AS DOUBLE)) AS share FROM l, t
-  WHERE len(list_intersect(t, l)) >= ceil({licenses.THRESHOLD}e0 * len(t) - 1e-9) GROUP BY rid, label),
+  WHERE len(list_intersect(t, l)) >= ceil({licenses.THRESHOLD}e0 * len(t) - 1e-9) AND len(list_intersect(telling, l)) = len(telling) AND len(list_intersect(other, l)) = 0 GROUP BY rid, label),
 labels AS (SELECT rid, string_agg(label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(label, ',' ORDER BY label) AS labels, max(share) AS score
   FROM (SELECT rid, label, bool_or(base) AS base, max(share) AS share FROM
     (SELECT rid, label, true AS base, 1e0 AS share FROM places UNION ALL SELECT rid, label, false, share FROM m) GROUP BY rid, label) GROUP BY rid)
