@@ -107,6 +107,9 @@ def near_links(prints: DataFrame, fp: str = "fp") -> DataFrame:
 
 #: Near-duplicate classes take shingles of five words and this similarity.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Independent prints of a text; texts are linked by any of them.  In one print half of the pairs at the similarity itself differ in
+#: more bits than the mean, so one alone would lose half; the slack is in all 128 bits, which only confirm what the first 64 find.
+PRINTS, SLACK = 3, 3
 #: Fingerprints of a key that one task compares; keys with more are split into blocks that meet in pairs.
 HOT_KEY = 4096
 #: Comparisons held at a time.
@@ -121,23 +124,37 @@ def expected_bits(similarity: float, width: int) -> int:
     return math.floor(width * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
-    """128 majority bits over the XXH3 hashes of a text's different shingles; zero bytes without words."""
+def _mixed(lanes: np.ndarray, k: int) -> np.ndarray:
+    """Lanes of 64 bits turned into those of another, independent print."""
+    if k == 0:
+        return lanes
+    x = lanes.astype(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * k) & ((1 << 64) - 1))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, prints: int = 1) -> bytes:
+    """128 majority bits for each of several independent prints, over the XXH3 hashes of a text's different shingles; zero bytes without words."""
     words = spaced_words(text)
     if not words:
-        return bytes(16)
-    joined = b" ".join(words)
+        return bytes(16 * prints)
+    joined, digest = b" ".join(words), xxhash.xxh3_128_digest
     if len(words) <= shingle:
-        return xxhash.xxh3_128_digest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh3_128_digest
-    raw = {digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[shingle - 1 :].tolist())}
-    rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 16)
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(rows), 1 << 14):
-        ones += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(rows)).tobytes()
+        raw = {digest(joined, SEED)}
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        raw = {digest(joined[i:j], SEED) for i, j in zip(starts.tolist(), ends[shingle - 1 :].tolist())}
+    lanes = np.frombuffer(b"".join(raw), ">u8").reshape(-1, 2)
+    out = []
+    for k in range(prints):
+        rows = _mixed(lanes, k).astype(">u8").view(np.uint8).reshape(-1, 16)
+        ones = np.zeros(128, np.int64)
+        for at in range(0, len(rows), 1 << 14):
+            ones += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(rows)).tobytes())
+    return b"".join(out)
 
 
 class Ring:
@@ -299,26 +316,39 @@ def ring_links(prints: DataFrame, bits: int, wide_bits: int, chain: int | None =
     return met.distinct()
 
 
-def _wide_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, text_hash, a, b``: the two halves of each row's fingerprint."""
+def _wide_rows(docs: DataFrame, id_col: str, text_col: str, shingle: int, prints: int = PRINTS) -> DataFrame:
+    """``doc_id, text_hash, a0, b0, a1, b1, ...``: the two halves of each of a row's prints."""
     text = F.col(text_col).cast("string")
     kept = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text.isNull(), text).alias("text_hash"), text.alias("text"))
     id_type = kept.schema["doc_id"].dataType.simpleString()
+    names = [f"{half}{k}" for k in range(prints) for half in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves = np.frombuffer(b"".join(wide_fingerprint(t, shingle) for t in batch.column(2).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "text_hash", "a", "b"])
+            halves = np.frombuffer(b"".join(wide_fingerprint(t, shingle, prints) for t in batch.column(2).to_pylist()), ">i8").astype(np.int64).reshape(-1, 2 * prints)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(halves[:, i])) for i in range(2 * prints))], ["doc_id", "text_hash", *names])
+
+    return kept.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names))
 
-    return kept.mapInArrow(run, f"doc_id {id_type}, text_hash bigint, a bigint, b bigint")
 
+def _wide_labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, prints: int = PRINTS) -> DataFrame:
+    """``doc_id, text_hash, label``: label is the smallest first print of the row's class.
 
-def _wide_labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, text_hash, label``: label is the smallest fingerprint of the row's class."""
-    rows = cut(_wide_rows(docs, id_col, text_col, shingle))
-    linked = connected_components(ring_links(rows, expected_bits(similarity, 64), expected_bits(similarity, 128)))
-    name = F.lower(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")))
-    named = rows.select("doc_id", "text_hash", name.alias("node"))
+    Links of further prints are told in first prints: texts of one further print stand for it by the smallest of these.
+    """
+    rows = cut(_wide_rows(docs, id_col, text_col, shingle, prints))
+    bits, wide_bits = expected_bits(similarity, 64), expected_bits(similarity, 128) + SLACK
+    name = lambda k: F.lower(F.concat(F.lpad(F.hex(f"a{k}"), 16, "0"), F.lpad(F.hex(f"b{k}"), 16, "0")))
+    links = cut(ring_links(rows.select(F.col("a0").alias("a"), F.col("b0").alias("b")), bits, wide_bits))
+    for k in range(1, prints):
+        own = cut(ring_links(rows.select(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")), bits, wide_bits))
+        told = rows.select(name(0).alias("node"), name(k).alias("own")).distinct()
+        stands = cut(told.groupBy("own").agg(F.min("node").alias("node"), F.max("node").alias("other")))
+        same = told.join(stands.where("node <> other").select("own", F.col("node").alias("src")), "own").where("src <> node").select("src", F.col("node").alias("dst"))
+        src, dst = stands.select(F.col("own").alias("src"), F.col("node").alias("s")), stands.select(F.col("own").alias("dst"), F.col("node").alias("d"))
+        links = links.union(cut(own.join(src, "src").join(dst, "dst").where("s <> d").select("s", "d").union(same)))
+    linked = connected_components(links)
+    named = rows.select("doc_id", "text_hash", name(0).alias("node"))
     return named.join(linked, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("label"))
 
 
@@ -350,9 +380,9 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """Keep one row of each class: the one with the smallest doc_id (nulls last), then the smallest text hash.
 
-    Texts are linked if their fingerprints, over shingles of ``shingle`` words, differ in no more bits than those of
-    texts with the Jaccard ``similarity`` differ on average: in the first 64 bits, which pigeonring keys search, and in
-    all 128.  A class is what links reach.
+    Texts are linked if any of three independent fingerprints, over shingles of ``shingle`` words, differ in no more bits than
+    those of texts with the Jaccard ``similarity`` differ on average in the first 64, which pigeonring keys search, and in
+    no more than ``SLACK`` bits above that average in all 128.  A class is what links reach.
 
     All columns stay as they are.  A repeated row stays once.  Texts without a word (null too) are one class; an empty
     table gives an empty frame.  Documents are joined with the rows that go, which are told by doc_id and text hash.

@@ -167,3 +167,40 @@ def test_wide_fingerprints_and_near_copies(spark):
     assert sum(c not in kept for c in copies) >= 22 and all(c in kept for c in copies.values())
     assert 48 in kept and 49 not in kept and 50 in kept and 51 not in kept and 52 in kept
     assert simhash.expected_bits(0.8, 64) == 9 and simhash.expected_bits(0.8, 128) == 19 and simhash.expected_bits(1.0, 64) == 0
+
+
+def test_isolated_pairs_at_the_similarity_are_linked():
+    """Of pairs with Jaccard similarity 0.8 or more nine in ten are linked in each band; unrelated texts never."""
+    rng, vocabulary, bands = random.Random(5), [f"w{i}" for i in range(20_000)], {}
+    bits, wide = simhash.expected_bits(0.8, 64), simhash.expected_bits(0.8, 128) + simhash.SLACK
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def linked(x, y):
+        p, q = (simhash.wide_fingerprint(" ".join(t), 5, simhash.PRINTS) for t in (x, y))
+        differ = [int.from_bytes(p[i : i + 16], "big") ^ int.from_bytes(q[i : i + 16], "big") for i in range(0, len(p), 16)]
+        return any((d >> 64).bit_count() <= bits and d.bit_count() <= wide for d in differ)
+
+    for _ in range(700):
+        x = rng.choices(vocabulary, k=rng.randint(200, 800))
+        y = x[:]
+        for at in rng.sample(range(len(x)), rng.randint(1, max(1, len(x) // 45))):
+            y[at] = rng.choice(vocabulary)
+        a, b = shingles(x), shingles(y)
+        if (j := len(a & b) / len(a | b)) >= 0.8:
+            bands.setdefault(int(j * 20), []).append(linked(x, y))
+    assert set(bands) == {16, 17, 18, 19} and all(sum(v) >= 0.9 * len(v) for v in bands.values())
+    assert not any(linked(rng.choices(vocabulary, k=300), rng.choices(vocabulary, k=300)) for _ in range(200))
+
+
+def test_links_of_any_print_join_texts(spark):
+    rng = random.Random(6)
+    words, texts = [f"word{i}" for i in range(5000)], []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(250, 500))
+        changed = base[:]
+        for at in rng.sample(range(len(base)), len(base) // 60):
+            changed[at] = "other"
+        texts += [" ".join(base), " ".join(changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert {i for i in range(0, 120, 2)} <= kept and len(kept) <= 66
