@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandline.functions import net
-from strandline.operators import state, tracks as ops
+from strandline.operators import commits, state, tracks as ops
 from strandline.plans.feed import HAV, R6, r6
+from strandline.session import shared_folder
 from strandline.sources.adapters import SIGNALS_SQL, TRACKS_SQL, signals, table, tracks
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -226,6 +229,26 @@ def snk01_revisions(spark, sf):
     return state.revisions(e, "user_id", "day", "content").select("user_id", "day", "content", "revision", "cursor")
 
 
+@query("""WITH a AS (SELECT 'user:' || user_id AS identity, max(event_id) % 5 AS c FROM events WHERE day(ts) <= 15 GROUP BY 1), b AS (SELECT 'user:' || user_id AS identity, max(event_id) % 5 AS c FROM events GROUP BY 1),
+  n AS (SELECT *, row_number() OVER (ORDER BY identity) AS cursor FROM a),
+  m AS (SELECT b.identity, a.c IS NULL AS added, b.c AS content, a.c IS DISTINCT FROM b.c AS changed, n.cursor AS was FROM b LEFT JOIN a USING (identity) LEFT JOIN n USING (identity)),
+  k AS (SELECT identity, row_number() OVER (ORDER BY identity) + (SELECT count(*) FROM a) AS cursor FROM m WHERE changed)
+  SELECT identity, 'content ' || content AS payload, CASE WHEN changed AND NOT added THEN 2 ELSE 1 END AS revision, coalesce(k.cursor, was) AS cursor, changed FROM m LEFT JOIN k USING (identity)""")
+def snk01_commit_log(spark, sf):
+    """Every user's content of half a month, then of the whole, as two batches of one log; the second is sent twice."""
+    folder = f"{shared_folder(spark).rstrip('/')}/commits-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events")
+    content = lambda rows: rows.groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("identity")).agg(F.concat(F.lit("content "), (F.max("event_id") % 5).cast("string")).alias("payload"))
+    as_writes = lambda rows, expected: rows.select(F.array("identity").alias("identities"), "payload", expected.alias("expected_revision"))
+    half, whole = content(e.where(F.dayofmonth("ts") <= 15)), content(e)
+    first = commits.commit(spark, folder, "half", as_writes(half, F.lit(None).cast("long")))
+    known = first.select("identity", F.col("revision").alias("known"))
+    second = as_writes(whole.join(known, "identity", "left"), F.col("known"))
+    commits.commit(spark, folder, "whole", second)
+    again = commits.commit(spark, folder, "whole", second)
+    return again.join(commits.current_events(spark, folder).select("event_id", "payload"), "event_id").select("identity", "payload", "revision", "cursor", "changed")
+
+
 @query(f"""WITH {SIGNALS_SQL}, m AS (SELECT max(occurred_ms) AS top FROM signals), l AS (SELECT source, url_key, max(occurred_ms) AS occurred_ms FROM signals GROUP BY 1, 2) SELECT l.* FROM l, m WHERE occurred_ms > top - 172800000""")
 def snk02_signal_upsert(spark, sf):
     s = signals(spark, sf).select("source", "url_key", "occurred_ms")
