@@ -151,3 +151,15 @@ def certificate_names(certs: DataFrame, order: list[str], most: int = 200) -> Da
     total = certs.groupBy("domain").agg(F.count("*").alias("total_certs"))
     same = F.col("domain").eqNullSafe(F.col("of"))
     return total.join(found, same).select("domain", "total_certs", "unique_certs", F.array_join("subdomains", ",").alias("subdomains"))
+
+
+def daily_totals(exploits: DataFrame, vulnerabilities: DataFrame, critical: float = 9.0) -> DataFrame:
+    """``day, exploit_count, exploit_losses, cve_count, critical_cves`` of every day with an exploit (``day, loss``) or a vulnerability (``day, score``).
+
+    A null loss counts as none and a null score is not critical; a null day is a day of its own.  Both sides are summed
+    in the tasks first and then once more together, so a busy day is a row a task.
+    """
+    no = F.lit(0).cast("long")
+    sides = exploits.groupBy("day").agg(F.count("*").alias("exploit_count"), F.sum(F.coalesce(F.col("loss").cast("double"), F.lit(0.0))).alias("exploit_losses")).select("day", "exploit_count", "exploit_losses", no.alias("cve_count"), no.alias("critical_cves"))
+    other = vulnerabilities.groupBy("day").agg(F.count("*").alias("cve_count"), F.count_if(F.coalesce("score", F.lit(0.0)) >= critical).alias("critical_cves")).select("day", no.alias("exploit_count"), F.lit(0.0).alias("exploit_losses"), "cve_count", "critical_cves")
+    return sides.unionByName(other).groupBy("day").agg(*[F.sum(c).alias(c) for c in ("exploit_count", "exploit_losses", "cve_count", "critical_cves")])

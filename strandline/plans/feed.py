@@ -340,13 +340,22 @@ def agg09_port_congestion(spark, sf):
     return _centres(spark, sf).join(near, "s_suppkey", "left").select("s_suppkey", zero("nearby").alias("nearby"), zero("waiting").alias("waiting"), status.alias("status"))
 
 
-@query(f"""WITH n AS (SELECT s_suppkey, count(*) AS n FROM {CENTRES} c JOIN {E_SQL} e ON {FLAT} <= 600 GROUP BY s_suppkey) SELECT s_suppkey, CASE WHEN n > 50 THEN 'critical' WHEN n > 20 THEN 'high' WHEN n > 5 THEN 'elevated' ELSE 'low' END AS risk FROM {CENTRES} c LEFT JOIN n USING (s_suppkey)""")
-def agg10_chokepoint_risk(spark, sf):
-    n = spatial.radius_join(_points(spark, sf), _centres(spark, sf), 600.0, flat=True).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+def chokepoint_risk_sql(km: int) -> str:
+    return f"""WITH n AS (SELECT s_suppkey, count(*) AS n FROM {CENTRES} c JOIN {E_SQL} e ON {FLAT} <= {km} GROUP BY s_suppkey)
+  SELECT s_suppkey, CASE WHEN n > 50 THEN 'critical' WHEN n > 20 THEN 'high' WHEN n > 5 THEN 'elevated' ELSE 'low' END AS risk FROM {CENTRES} c LEFT JOIN n USING (s_suppkey)"""
+
+
+def chokepoint_risk(spark, sf, km):
+    n = spatial.radius_join(_points(spark, sf), _centres(spark, sf), float(km), flat=True).groupBy("s_suppkey").agg(F.count("*").alias("n"))
     risk = F.when(F.col("n") > 50, "critical").when(F.col("n") > 20, "high").when(F.col("n") > 5, "elevated").otherwise("low")
     return _centres(spark, sf).join(n, "s_suppkey", "left").select("s_suppkey", risk.alias("risk"))
 
 
+@query(chokepoint_risk_sql(600))
+def agg10_chokepoint_risk(spark, sf):
+    return chokepoint_risk(spark, sf, 600)
+
+
 AREAS = {"ell": [(-40, -30), (40, -30), (40, 0), (0, 0), (0, 40), (-40, 40)], "tri": [(60, 0), (150, 10), (100, 70)], "box": [(-170, -80), (-100, -80), (-100, -20), (-170, -20)]}
 _EDGES = ", ".join(f"('{n}', {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for n, r in AREAS.items() for a, b in zip(r, r[1:] + r[:1]))
 

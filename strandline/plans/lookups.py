@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import geo, lookups, text
 from strandline.operators import feed, reconcile
-from strandline.plans.feed import R6, r6
+from strandline.plans.feed import R6, chokepoint_risk, chokepoint_risk_sql, r6
 from strandline.plans.reconcile import _LEGS, _hav, _legs
 from strandline.sources import parsers
 from strandline.sources.adapters import SIGNALS_SQL, places, places_sql, signals, table
@@ -186,10 +186,18 @@ def idr08_snapshot_checksum(spark, sf):
     return reconcile.snapshot_checksum(table(spark, sf, "customer"))
 
 
-@query("SELECT name, risk, alert FROM (VALUES ('Suez Canal', 'HIGH', 'European supply delays'), ('Panama Canal', 'CRITICAL', 'LNG and agriculture delays')) v(name, risk, alert)")
+_STRAITS = ("Strait of Hormuz", "Suez Canal", "Panama Canal", "Bosporus", "Strait of Malacca")
+_STRAIT_SQL = "CASE s_suppkey % 5 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_STRAITS)) + " END"
+_ALERT_SQL = "CASE name " + " ".join(f"WHEN '{n}' THEN '{said}'" for n, said in reconcile.CHOKEPOINTS.items()) + " END"
+
+
+@query(f"""WITH risks AS ({chokepoint_risk_sql(800)}), c AS (SELECT s_suppkey, {_STRAIT_SQL} AS name, upper(risk) AS risk FROM risks), a AS (SELECT *, {_ALERT_SQL} AS alert FROM c)
+  SELECT s_suppkey, name, risk, alert FROM a WHERE risk IN ('HIGH', 'CRITICAL') AND alert IS NOT NULL""")
 def rsk05_supply_alerts(spark, sf):
-    c = spark.createDataFrame([("Strait of Hormuz", "LOW"), ("Suez Canal", "HIGH"), ("Panama Canal", "CRITICAL"), ("Bosporus", "HIGH")], "name string, risk string")
-    return reconcile.supply_alerts(c)
+    """Alerts of the chokepoints whose risk, as the events around them give it, is high or critical."""
+    name = F.element_at(F.array(*map(F.lit, _STRAITS)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    risks = chokepoint_risk(spark, sf, 800).select("s_suppkey", name.alias("name"), F.upper("risk").alias("risk"))
+    return reconcile.supply_alerts(risks)
 
 
 @query()

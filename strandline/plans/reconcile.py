@@ -292,6 +292,16 @@ def agg13_daily_losses(spark, sf):
     return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "loss", so_far.alias("so_far"))
 
 
+@query("""WITH e AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n, sum(floor(o_totalprice)) AS loss FROM orders GROUP BY 1),
+  v AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (l_quantity / 5 >= 9) AS critical FROM lineitem GROUP BY 1)
+  SELECT coalesce(e.day, v.day) AS day, coalesce(e.n, 0) AS exploit_count, CAST(coalesce(loss, 0) AS DOUBLE) AS exploit_losses, coalesce(v.n, 0) AS cve_count, coalesce(critical, 0) AS critical_cves FROM e FULL JOIN v USING (day)""")
+def agg13_daily_totals(spark, sf):
+    """The daily brief of every day: orders as exploits with their losses, lines as vulnerabilities scored by quantity."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    exploits = table(spark, sf, "orders").select(day("o_orderdate"), F.floor("o_totalprice").alias("loss"))
+    return intel.daily_totals(exploits, table(spark, sf, "lineitem").select(day("l_shipdate"), (F.col("l_quantity") / 5).cast("double").alias("score")))
+
+
 @query("SELECT CASE c_custkey % 3 WHEN 0 THEN 'navigation' WHEN 1 THEN 'communications' ELSE 'other' END AS mission, count(*) AS n FROM customer GROUP BY 1")
 def agg21_mission_counts(spark, sf):
     k = F.col("c_custkey")
