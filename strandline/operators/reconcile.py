@@ -219,6 +219,30 @@ def snapshot_checksum(rows: DataFrame) -> DataFrame:
     return digest.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *[w.cast("string") for w in words]), 256).alias("checksum"))
 
 
+#: Degrees within which two places of one name are the same, score from which a secondary one is prominent, and places a request gets.
+SAME_DEGREES, PROMINENT, MOST_PLACES = 0.001, 0.5, 8
+
+
+def merged_places(candidates: DataFrame, request: str = "request", most: int = MOST_PLACES) -> DataFrame:
+    """``request, nth, name, lat, lng`` of the places that a request for a place gets from two providers.
+
+    Candidates have ``request, secondary`` (of the second provider), ``rank`` (the provider's order), ``score, name, lat, lng``.
+    Prominent secondary ones come first, by falling score, then primary ones, then the other secondary ones in their order; a
+    place within 0.001 degrees both ways of a kept one of the same name, whatever its case, is left out; then the first ones
+    stay.  A request's candidates are the few that two providers return, so its fold is one short list; requests are spread.
+
+    Null names are equal to the empty one; a candidate without a place is left out; a null score is not prominent; ties go by
+    rank, then by name; a null request is a request of its own.
+    """
+    prominent = F.col("secondary") & (F.coalesce("score", F.lit(0.0)) >= PROMINENT)
+    group = F.when(prominent, 0).when(~F.col("secondary"), 1).otherwise(2)
+    row = F.struct(group.alias("group"), F.when(prominent, -F.col("score")).otherwise(F.lit(0.0)).alias("less"), "rank", F.coalesce("name", F.lit("")).alias("name"), "lat", "lng")
+    same = lambda x, y: (F.lower(x.getField("name")) == F.lower(y.getField("name"))) & (F.abs(x.getField("lat") - y.getField("lat")) < SAME_DEGREES) & (F.abs(x.getField("lng") - y.getField("lng")) < SAME_DEGREES)
+    listed = candidates.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy(request).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    fold = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return listed.select(request, F.posexplode(F.slice(fold, 1, most)).alias("nth", "p")).select(request, "nth", "p.name", "p.lat", "p.lng")
+
+
 # What a risk at a chokepoint means for prices (fixed values).
 CHOKEPOINTS = {"Strait of Hormuz": "crude price spike", "Suez Canal": "European supply delays", "Panama Canal": "LNG and agriculture delays"}
 

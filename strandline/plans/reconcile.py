@@ -302,6 +302,22 @@ def agg13_daily_totals(spark, sf):
     return intel.daily_totals(exploits, table(spark, sf, "lineitem").select(day("l_shipdate"), (F.col("l_quantity") / 5).cast("double").alias("score")))
 
 
+@query("""WITH c AS (SELECT c_custkey // 15 AS request, c_custkey % 2 = 1 AS secondary, c_custkey % 15 AS rank, c_custkey % 10 / 1e1 AS score, CASE WHEN c_custkey % 4 < 2 THEN c_mktsegment ELSE lower(c_mktsegment) END AS name,
+    (c_custkey // 3) % 2 + c_custkey % 5 * 0.0004e0 AS lat, c_custkey // 15 % 90 + c_custkey % 3 * 0.0004e0 AS lng FROM customer),
+  l AS (SELECT request, list({'name': name, 'lat': lat, 'lng': lng} ORDER BY CASE WHEN secondary AND score >= 0.5 THEN 0 WHEN NOT secondary THEN 1 ELSE 2 END, CASE WHEN secondary AND score >= 0.5 THEN -score ELSE 0 END, rank) AS a FROM c GROUP BY request),
+  f AS (SELECT request, list_reduce(list_transform(a, lambda x: [x]), lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: lower(y.name) = lower(x[1].name) AND abs(y.lat - x[1].lat) < 0.001 AND abs(y.lng - x[1].lng) < 0.001)) > 0 THEN kept ELSE list_concat(kept, x) END)[:8] AS k FROM l)
+  SELECT request, CAST(generate_subscripts(k, 1) - 1 AS INTEGER) AS nth, unnest(k).name AS name, unnest(k).lat AS lat, unnest(k).lng AS lng FROM f""")
+def jn17_merged_places(spark, sf):
+    """Fifteen customers as the candidates of a request, every other one from the second provider."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(
+        F.floor(k / 15).alias("request"), (k % 2 == 1).alias("secondary"), (k % 15).alias("rank"), (k % 10 / 1e1).alias("score"),
+        F.when(k % 4 < 2, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("name"),
+        (F.floor(k / 3) % 2 + k % 5 * 0.0004).alias("lat"), (F.floor(k / 15) % 90 + k % 3 * 0.0004).alias("lng"),
+    )
+    return ops.merged_places(c)
+
+
 @query("SELECT CASE c_custkey % 3 WHEN 0 THEN 'navigation' WHEN 1 THEN 'communications' ELSE 'other' END AS mission, count(*) AS n FROM customer GROUP BY 1")
 def agg21_mission_counts(spark, sf):
     k = F.col("c_custkey")
