@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandline.functions import text
 from strandline.operators import continuity, fusion
 from strandline.plans.feed import HAV, R6, r6
+from strandline.session import shared_folder
 from strandline.sources.adapters import ARTICLES_SQL, NOW_MS, SIGNALS_SQL, articles, signals, table
+from strandline.streaming.continuity import continuity_stream, told_events
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -161,6 +165,19 @@ def str01_continuity(spark, sf):
     return events.unionByName(later)
 
 
+@query()
+def str04_continuity_stream(spark, sf):
+    """The refreshes of ``str01_continuity`` as a stream that is stopped and started again between them; the same rows."""
+    folder = f"{shared_folder(spark).rstrip('/')}/continuity-{uuid.uuid4().hex}"
+    s = continuity_events(spark, sf)
+    for rest, seen_ms in ((0, NOW_MS), (1, NOW_MS + 90_000)):
+        refresh = s.where(F.col("ord") % 2 == rest).withColumn("seen_ms", F.lit(seen_ms))
+        refresh.write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(refresh.schema).parquet(f"{folder}/in")
+        continuity_stream(arriving, f"{folder}/ledger", f"{folder}/checkpoint").awaitTermination()
+    return told_events(spark, f"{folder}/ledger").drop("batch")
+
+
 _EXACT = f"""{FUSION_SQL}, x AS (SELECT fs.*, source_id || '|' || coalesce(url_key || '/' || (fs.ord // 900), '') AS k, severity, fs.source_id AS sid, 0.4e0 + s.user_id % 7 * 0.2e0 AS weight, s.user_id % 7 AS n FROM fs JOIN signals s USING (ord)),
   e AS (SELECT id AS cid, ek, max(sid) AS sid, arg_max(n, weight) AS n, max(weight) AS w FROM (SELECT *, sid || '|' || coalesce(CASE WHEN n = 3 THEN url_key || '/' || (ord // 900) END, CASE WHEN n IN (4, 5) THEN 'https://x/' || url_key || '/' || (ord // 900) END, 'src' || n) AS ek FROM (SELECT x.*, s.url_key FROM x JOIN signals s USING (ord))) GROUP BY id, ek)"""
 
