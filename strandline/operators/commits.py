@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandline.session import cut
 
-CHANGES = "event_id string, revision bigint, cursor bigint, content_hash string, payload string"
-IDENTITIES = "identity string, event_id string"
+CHANGES = "event_id string, revision bigint, cursor bigint, content_hash string, payload string, replaced_by array<string>"
+IDENTITIES = "identity string, event_id string, version bigint"
 RESULT = "identity string, event_id string, revision bigint, cursor bigint, changed boolean"
 
 
@@ -78,13 +78,13 @@ def _all(spark: SparkSession, log: list[dict], part: str, schema: str) -> DataFr
 
 
 def current_events(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """``event_id, revision, cursor, content_hash, payload`` of every event as of a version, by default the last."""
+    """``event_id, revision, cursor, content_hash, payload, replaced_by`` of every event as of a version, by default the last."""
     log = [e for e in versions(spark, folder) if version is None or e["version"] <= version]
     return _latest(_all(spark, log, "changes", CHANGES))
 
 
 def _latest(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("event_id").agg(F.max(F.struct("revision", "cursor", "content_hash", "payload")).alias("v")).select("event_id", "v.*")
+    return changes.groupBy("event_id").agg(F.max_by(F.struct("revision", "cursor", "content_hash", "payload", "replaced_by"), "revision").alias("v")).select("event_id", "v.*")
 
 
 def changes_after(spark: SparkSession, folder: str, cursor: int) -> DataFrame:
@@ -92,6 +92,15 @@ def changes_after(spark: SparkSession, folder: str, cursor: int) -> DataFrame:
     return _all(spark, [e for e in versions(spark, folder) if e["cursor"] > cursor], "changes", CHANGES).where(F.col("cursor") > cursor)
 
 
+def current_identities(spark: SparkSession, folder: str) -> DataFrame:
+    """``identity, event_id``: the event that each identity belongs to after the last version."""
+    return _owners(spark, versions(spark, folder))
+
+
+def _owners(spark: SparkSession, log: list[dict]) -> DataFrame:
+    return _all(spark, log, "identities", IDENTITIES).groupBy("identity").agg(F.max_by("event_id", "version").alias("event_id"))
+
+
 def input_hash(writes: DataFrame) -> str:
     """The same for the same rows in any order: their number and the sums of two hashes."""
     row = F.to_json(F.struct(*sorted(writes.columns)), {"ignoreNullFields": "false"})
@@ -139,7 +148,7 @@ def commit(spark: SparkSession, folder: str, batch_id: str, writes: DataFrame, t
                     raise ReusedBatch(f"batch {batch_id} was committed with other input")
                 return spark.read.schema(RESULT).parquet(f"{e['data']}/result")
         cursor = log[-1]["cursor"] if log else 0
-        known = named.join(_all(spark, log, "identities", IDENTITIES), "identity").groupBy("first").agg(F.min("event_id").alias("known"), F.max("event_id").alias("other"))
+        known = named.join(_owners(spark, log), "identity").groupBy("first").agg(F.min("event_id").alias("known"), F.max("event_id").alias("other"))
         known = cut(known)
         if not known.where("known <> other").isEmpty():
             raise IdentityConflict("the identities of a write belong to several events")
@@ -153,8 +162,8 @@ def commit(spark: SparkSession, folder: str, batch_id: str, writes: DataFrame, t
         met = met.withColumn("event_id", F.coalesce("known", fresh)).withColumn("next", F.coalesce("revision", F.lit(0)) + F.col("changed").cast("long"))
         changes = cut(_numbered(met.where("changed"), "first", cursor))
         data = f"{folder}/data/{uuid.uuid4().hex}"
-        changes.select("event_id", F.col("next").alias("revision"), "cursor", F.col("hash").alias("content_hash"), "payload").write.parquet(f"{data}/changes")
-        found = named.join(met.select("first", "event_id"), "first").select("identity", "event_id")
+        changes.select("event_id", F.col("next").alias("revision"), "cursor", F.col("hash").alias("content_hash"), "payload", F.lit(None).cast("array<string>").alias("replaced_by")).write.parquet(f"{data}/changes")
+        found = named.join(met.select("first", "event_id"), "first").select("identity", "event_id", F.lit(len(log) + 1).cast("long").alias("version"))
         found.join(_all(spark, log, "identities", IDENTITIES).select("identity"), "identity", "left_anti").write.parquet(f"{data}/identities")
         same = met.where("NOT changed").select(F.col("first").alias("identity"), "event_id", F.col("next").alias("revision"), F.col("was_at").alias("cursor"), "changed")
         changes.select(F.col("first").alias("identity"), "event_id", F.col("next").alias("revision"), "cursor", "changed").unionByName(same).write.parquet(f"{data}/result")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from strandline.functions import geo, text
-from strandline.operators import feed, intel, reconcile as ops
+from strandline.operators import aliases, commits, feed, intel, reconcile as ops, splits
 from strandline.plans.feed import HAV, R6, r6
+from strandline.session import shared_folder
 from strandline.sources.adapters import ARTICLES_SQL, SIGNALS_SQL, articles, places, places_sql, signals, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -167,6 +170,59 @@ def idr06_observation_coverage(spark, sf):
     return spark.range(150).withColumnRenamed("id", "url_key").join(seen, "url_key", "left").select("url_key", F.when(F.col("at").isNull(), "not_found").when(F.col("at") >= top - 86_400_000, "in_window").otherwise("outside").alias("coverage"))
 
 
+def _order_events(spark, sf):
+    """A log with an event a customer, its orders as identities, and the orders by parity."""
+    folder = f"{shared_folder(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("identity"), (F.col("o_orderkey") % 2).alias("child"))
+    writes = o.groupBy("k").agg(F.collect_list("identity").alias("identities")).select("identities", F.concat(F.lit("orders of "), F.col("k").cast("string")).alias("payload"), F.lit(None).cast("long").alias("expected_revision"))
+    cursor = commits.commit(spark, folder, "orders", writes).count()
+    return folder, o.join(commits.current_identities(spark, folder), "identity").withColumnRenamed("event_id", "parent_id"), cursor
+
+
+def _split_plan_of(o):
+    """A child a parity, with all its orders."""
+    children = o.groupBy("parent_id", "k", "child").agg(F.collect_list("identity").alias("identities"))
+    both = o.groupBy("parent_id").agg(F.count_distinct("child").alias("n")).where("n = 2").select("parent_id")
+    payload = F.concat(F.lit("orders of "), F.col("k").cast("string"), F.lit(" by parity "), F.col("child").cast("string"))
+    return children.join(both, "parent_id", "left_semi").select("parent_id", "k", F.lit(1).alias("parent_revision"), "child", "identities", payload.alias("payload"))
+
+
+_ORDER_EVENTS = """o AS (SELECT o_custkey AS k, 'order:' || o_orderkey AS i, o_orderkey % 2 AS child FROM orders),
+  e AS (SELECT k, min(i) AS first, count(*) AS n, count(DISTINCT child) AS parts FROM o GROUP BY k),
+  n AS (SELECT *, 'event-' || substr(sha256('orders|' || first), 1, 32) AS id, row_number() OVER (ORDER BY first) AS cursor FROM e)"""
+
+
+@query(f"""WITH {_ORDER_EVENTS}, s AS (SELECT * FROM n WHERE k % 10 = 0 AND parts = 2),
+  c AS (SELECT s.id AS parent, k, o.child, count(*) AS n, 'event-' || substr(sha256('review|' || s.id || '|' || o.child), 1, 32) AS id FROM s JOIN o USING (k) GROUP BY s.id, k, o.child),
+  r AS (SELECT parent, k, child, id, n FROM c UNION ALL SELECT id, k, NULL, id, 0 FROM s),
+  q AS (SELECT *, row_number() OVER (ORDER BY parent, child NULLS LAST) + (SELECT count(*) FROM n) AS cursor FROM r)
+  SELECT id AS event_id, CAST(1 AS BIGINT) AS revision, CAST(cursor AS BIGINT) AS cursor, 'orders of ' || k AS payload, 0 AS replaced, CAST(n AS BIGINT) AS identities FROM n WHERE NOT (k % 10 = 0 AND parts = 2)
+  UNION ALL SELECT id, CAST(CASE WHEN child IS NULL THEN 2 ELSE 1 END AS BIGINT), CAST(cursor AS BIGINT), 'orders of ' || k || coalesce(' by parity ' || child, ''), CASE WHEN child IS NULL THEN 2 ELSE 0 END, CAST(n AS BIGINT) FROM q""")
+def idr10_split_log(spark, sf):
+    """Every tenth customer's event is split by the parity of its orders, in one version; all events as they are then."""
+    folder, o, cursor = _order_events(spark, sf)
+    splits.apply_splits(spark, folder, "review", _split_plan_of(o).where("k % 10 = 0"), cursor)
+    held = commits.current_identities(spark, folder).groupBy("event_id").agg(F.count("*").alias("identities"))
+    now = commits.current_events(spark, folder).join(held, "event_id", "left")
+    return now.select("event_id", "revision", "cursor", "payload", F.coalesce(F.size("replaced_by"), F.lit(0)).alias("replaced"), F.coalesce("identities", F.lit(0)).alias("identities"))
+
+
+@query(f"""WITH {_ORDER_EVENTS}, p AS (SELECT n.id, n.k, o.child FROM n JOIN o USING (k) WHERE parts = 2 AND NOT (n.k % 4 = 1 AND o.i = n.first)),
+  g AS (SELECT id, k, count(DISTINCT child) AS children FROM p GROUP BY ALL),
+  b AS (SELECT id, children, list_filter([CASE WHEN k % 4 = 3 THEN 'identities_changed' END, CASE WHEN k % 4 = 1 THEN 'incomplete_partitions' END, CASE WHEN children < 2 THEN 'invalid_split_size' END, CASE WHEN k % 4 = 2 THEN 'parent_changed' END], lambda x: x IS NOT NULL) AS bl FROM g)
+  SELECT id AS parent_id, children, array_to_string(bl, ',') AS blockers FROM b""")
+def idr09_preflight(spark, sf):
+    """Splits of all customers' events by parity, of each four one whole, one that leaves out an order, one of a stale revision and one with a foreign order."""
+    folder, o, _ = _order_events(spark, sf)
+    least = o.groupBy("parent_id").agg(F.min("identity").alias("least"))
+    both = o.groupBy("parent_id").agg(F.count_distinct("child").alias("n")).where("n = 2").select("parent_id")
+    kept = o.join(least, "parent_id").where("NOT (k % 4 = 1 AND identity = least)").join(both, "parent_id", "left_semi")
+    plan = kept.groupBy("parent_id", "k", "child").agg(F.collect_list("identity").alias("identities"))
+    foreign = F.when((F.col("k") % 4 == 3) & (F.col("child") == 0), F.concat("identities", F.array(F.lit("order:none")))).otherwise(F.col("identities"))
+    plan = plan.select("parent_id", F.when(F.col("k") % 4 == 2, 5).otherwise(1).alias("parent_revision"), "child", foreign.alias("identities"), F.lit("part").alias("payload"))
+    return splits.preflight(spark, folder, plan).select("parent_id", "children", F.array_join("blockers", ",").alias("blockers"))
+
+
 @query("""WITH i AS (SELECT o_orderkey AS key, o_orderkey % 100 AS event_id FROM orders), t AS (SELECT key, 1000 + key // 100 % 2 AS event_id FROM i WHERE event_id = 7) SELECT i.key, coalesce(t.event_id, i.event_id) AS event_id, true AS covered FROM i LEFT JOIN t USING (key)""")
 def idr10_apply_split(spark, sf):
     i = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 100).alias("event_id"))
@@ -270,11 +326,51 @@ def set05_snapshot_merge(spark, sf):
     return now.select("id").unionByName(before.join(now.select("url_key", "source"), ["url_key", "source"], "left_anti").select("id"))
 
 
-@query("""WITH e AS (SELECT c_custkey AS entity, p_partkey AS hit, p_name FROM customer JOIN part ON p_partkey % 1000 = c_custkey % 1000) SELECT entity, hit FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p_name, hit) AS n FROM e) WHERE n <= 5""")
+def _alias_list(spark, sf):
+    """The suppliers as a list of entities, each with two aliases."""
+    k = F.col("s_suppkey")
+    other = F.array(F.concat(F.lit("Customer#"), F.lpad((k * 3).cast("string"), 9, "0")), F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string"), F.lit(" (Holding) "), k.cast("string")))
+    return table(spark, sf, "supplier").select(k.alias("ord"), F.concat(F.lit("s"), k.cast("string")).alias("id"), F.when(k % 3 == 0, "Person").otherwise("Company").alias("schema"), F.col("s_name").alias("name"), other.alias("aliases"))
+
+
+def _alias_queries(spark, sf):
+    """Customers with a text each: their name, its last digits, their nation, or a holding."""
+    k = F.col("c_custkey")
+    text = F.when(k % 4 == 0, F.col("c_name")).when(k % 4 == 1, F.substring("c_name", -4, 4)).when(k % 4 == 2, F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))).otherwise(F.concat(F.lit("HOLDING  "), (k % 200).cast("string")))
+    return table(spark, sf, "customer").select(k.alias("entity"), text.alias("text"))
+
+
+_NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_ALIASES = f"""l AS (SELECT s_suppkey AS ord, 's' || s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'Person' ELSE 'Company' END AS schema, unnest([s_name, 'Customer#' || lpad(CAST(s_suppkey * 3 AS VARCHAR), 9, '0'), 'NATION_' || s_nationkey || ' (Holding) ' || s_suppkey]) AS text, unnest([true, false, false]) AS named FROM supplier),
+  k AS (SELECT ord, id, schema, {_NORMAL.format("text")} AS key, named FROM l),
+  a AS (SELECT c_custkey AS entity, {_NORMAL.format("CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN right(c_name, 4) WHEN 2 THEN 'Nation ' || c_nationkey ELSE 'HOLDING  ' || (c_custkey % 200) END")} AS q FROM customer), d AS (SELECT DISTINCT q FROM a)"""
+
+
+@query(f"""WITH {_ALIASES}, x AS (SELECT DISTINCT q, id, ord FROM d JOIN k ON key = q), y AS (SELECT DISTINCT q, id, ord FROM d JOIN k ON contains(key, q) WHERE q NOT IN (SELECT q FROM x)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ord, id) AS n FROM (SELECT * FROM x UNION ALL SELECT * FROM y)) SELECT entity, id AS hit, CAST(n AS INTEGER) AS place FROM a JOIN r USING (q) WHERE n <= 5""")
 def set09_match_edges(spark, sf):
-    e = table(spark, sf, "customer").join(table(spark, sf, "part"), F.col("p_partkey") % 1000 == F.col("c_custkey") % 1000).select(F.col("c_custkey").alias("entity"), F.col("p_partkey").alias("hit"), "p_name")
-    nth = F.row_number().over(Window.partitionBy("entity").orderBy("p_name", "hit"))
-    return e.withColumn("n", nth).where("n <= 5").select("entity", "hit")
+    found = aliases.match_edges(_alias_queries(spark, sf), aliases.alias_keys(_alias_list(spark, sf)))
+    return found.select("entity", F.col("id").alias("hit"), "place")
+
+
+@query(f"""WITH {_ALIASES}, h AS (SELECT q, id, min(ord) AS ord, min(CASE WHEN key = q THEN 0 ELSE 2 END + CASE WHEN named THEN 0 ELSE 1 END) AS rank FROM d JOIN k ON contains(key, q) WHERE schema = 'Company' AND length(q) >= 4 GROUP BY q, id)
+  SELECT q, id, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, ord, id) AS place FROM h) WHERE place <= 10""")
+def jn14_alias_search(spark, sf):
+    """The first ten companies for every customer's text."""
+    return aliases.search(_alias_queries(spark, sf), aliases.alias_keys(_alias_list(spark, sf)), 10, "Company")
+
+
+@query(f"""WITH k AS (SELECT s_suppkey AS n, unnest([{_NORMAL.format("s_name || chr(10) || 'of " + '"Nation, ' + "' || s_nationkey || '" + '"' + "'")}, {_NORMAL.format("'Alias; '")}, 'no ' || s_suppkey]) AS key FROM supplier)
+  SELECT 's' || n AS id, CASE WHEN n % 3 = 0 THEN 'LegalEntity' ELSE 'Company' END AS schema, key FROM k WHERE n % 5 <> 0""")
+def src16_alias_keys(spark, sf):
+    """The suppliers written as quoted CSV, with commas, quotes and line breaks in names, and the index of what is read; every fifth has no name."""
+    folder = f"{shared_folder(spark).rstrip('/')}/entities-{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    name = F.concat("s_name", F.lit('\nof "Nation, '), F.col("s_nationkey").cast("string"), F.lit('"'))
+    rows = table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), F.when(k % 3 != 0, "Company").alias("schema"), F.when(k % 5 != 0, name).alias("name"), F.concat(F.lit(" Alias ;; no "), k.cast("string"), F.lit(";")).alias("aliases"), F.lit("x").alias("other"))
+    rows.write.csv(folder, header=True, quoteAll=True, escape='"')
+    return aliases.alias_keys(aliases.read_entities(spark, folder)).select("id", "schema", "key")
 
 
 @query(f"""WITH {ARTICLES_SQL}, a AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'News roundup: ' ELSE '' END || title AS title, CASE WHEN doc_id % 4 = 0 THEN '• a' || chr(10) || '• b' ELSE 'plain' END AS body FROM articles)
