@@ -157,3 +157,26 @@ def match_components(links: DataFrame, left: str, right: str) -> DataFrame:
 def same_multiset(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames hold the same rows equally often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def presence(rows: DataFrame, key: str, at: str, content: str, hit_ms: int, miss_ms: int) -> DataFrame:
+    """``key, at, kind, n``: arrivals, updates and retirements of keys that are reported again and again (``at`` in ms).
+
+    A report is an arrival if its key is not present, an update if the content differs from that of the report before,
+    else nothing.  A key retires ``hit_ms`` after its last report, or ``miss_ms`` after one without content, unless there
+    is one before or then; a time that the latest report of all hasn't passed is open still.  ``n`` counts the reports that
+    arrived or changed since the arrival.  Equal times are taken in order of content, nulls first; repeated reports are
+    one; a null key is a key, reports without a time are left out.
+    """
+    k, t, c = F.col(key), F.col(at), F.col(content)
+    r = rows.where(t.isNotNull()).select(k.alias("key"), t.cast("long").alias("at"), c.cast("string").alias("content")).distinct()
+    w = Window.partitionBy("key").orderBy("at", F.col("content").asc_nulls_first())
+    r = r.withColumn("ends", F.col("at") + F.when(F.col("content").isNull(), miss_ms).otherwise(hit_ms))
+    r = r.withColumns({"fresh": F.coalesce(F.col("at") > F.lag("ends").over(w), F.lit(True)), "next": F.lead("at").over(w)})
+    kind = F.when(F.col("fresh"), "arrival").when(~F.col("content").eqNullSafe(F.lag("content").over(w)), "update")
+    r = r.withColumn("kind", kind).withColumn("life", F.sum(F.col("fresh").cast("int")).over(w))
+    so_far = Window.partitionBy("key", "life").orderBy("at", F.col("content").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("n", F.count("kind").over(so_far))
+    top = rows.agg(F.max(t.cast("long"))).first()[0]
+    gone = r.where(F.coalesce(F.col("next") > F.col("ends"), F.col("ends") < F.lit(top)))
+    return r.where("kind IS NOT NULL").select("key", "at", "kind", "n").unionByName(gone.select("key", F.col("ends").alias("at"), F.lit("retirement").alias("kind"), "n"))

@@ -222,6 +222,18 @@ def set08_edge_dedup(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first_line"))
 
 
+@query("""WITH r AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS "at", CASE WHEN event_type <> 'error' THEN event_type END AS content FROM events),
+  e AS (SELECT *, "at" + CASE WHEN content IS NULL THEN 600000 ELSE 21600000 END AS ends FROM r),
+  g AS (SELECT *, coalesce("at" > lag(ends) OVER w, true) AS fresh, lead("at") OVER w AS next, lag(content) OVER w AS said FROM e WINDOW w AS (PARTITION BY key ORDER BY "at", content NULLS FIRST)),
+  k AS (SELECT *, CASE WHEN fresh THEN 'arrival' WHEN content IS DISTINCT FROM said THEN 'update' END AS kind, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY "at", content NULLS FIRST ROWS UNBOUNDED PRECEDING) AS life FROM g),
+  c AS (SELECT *, count(kind) OVER (PARTITION BY key, life ORDER BY "at", content NULLS FIRST ROWS UNBOUNDED PRECEDING) AS n FROM k)
+  SELECT key, "at", kind, n FROM c WHERE kind IS NOT NULL UNION ALL SELECT key, ends, 'retirement', n FROM c WHERE coalesce(next > ends, ends < (SELECT max("at") FROM r))""")
+def str08_presence(spark, sf):
+    """Users as they come, change what they do and go: present for six hours after an event, ten minutes after an error."""
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user"), F.unix_millis("ts").alias("at_ms"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("what"))
+    return state.presence(e, "user", "at_ms", "what", 6 * 3_600_000, 600_000)
+
+
 @query(f"""WITH e AS (SELECT user_id, {DAY} AS day, CAST(max(event_id) % 3 AS VARCHAR) AS content FROM events GROUP BY 1, 2), c AS (SELECT *, lag(content) OVER w AS b, row_number() OVER w AS nth FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day)),
   d AS (SELECT * FROM c WHERE nth = 1 OR content IS DISTINCT FROM b) SELECT user_id, day, content, row_number() OVER (PARTITION BY user_id ORDER BY day) AS revision, row_number() OVER (ORDER BY day, user_id) AS cursor FROM d""")
 def snk01_revisions(spark, sf):
