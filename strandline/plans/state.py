@@ -230,7 +230,7 @@ def set08_edge_dedup(spark, sf):
   SELECT key, "at", kind, n FROM c WHERE kind IS NOT NULL UNION ALL SELECT key, ends, 'retirement', n FROM c WHERE coalesce(next > ends, ends < (SELECT max("at") FROM r))""")
 def str08_presence(spark, sf):
     """Users as they come, change what they do and go: present for six hours after an event, ten minutes after an error."""
-    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user"), F.unix_millis("ts").alias("at_ms"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("what"))
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("what"))
     return state.presence(e, "user", "at_ms", "what", 6 * 3_600_000, 600_000)
 
 
