@@ -80,6 +80,49 @@ def coverage(rows: DataFrame, watchlist: DataFrame) -> DataFrame:
     return t.select("region", "rows", "countries", band.alias("band"), "watched", "missing", "weak", F.when(F.col("missing") + F.col("weak") == 0, 0).otherwise(gap).alias("gap_score"))
 
 
+def coverage_regions(rows: DataFrame, watchlist: DataFrame, providers: list[str], feeds: list[str]) -> DataFrame:
+    """Coverage of each region of a watchlist (``region, country, tier``; a null country lists a region alone), by ``region, country, provider, feed`` rows.
+
+    ``region, rows, countries, band``; ``provider_<name>`` and ``feed_<name>`` counts, zero where there is none (others count
+    in no such column); ``watched, seen, missing, weak`` (the two as sorted arrays: no row, under five), ``tier``, the
+    lowest of those missing or weak; ``gap_score``; and ``place``, where the region stands among those with a gap: by tier,
+    score from above, rows and name; null without a gap.
+
+    A null country counts as a row of its region but as no country; rows of a region that the watchlist doesn't name are
+    left out.  Rows are counted by their four fields before anything moves; what is ordered is a row a region.
+    """
+    n = rows.groupBy("region", "country", "provider", "feed").agg(F.count("*").alias("n"))
+    count = lambda field, name: F.sum(F.when(F.col(field) == name, F.col("n")).otherwise(0)).alias(f"{field}_{name}")
+    per = n.groupBy("region").agg(F.sum("n").alias("rows"), F.count_distinct("country").alias("countries"), *[count("provider", p) for p in providers], *[count("feed", f) for f in feeds])
+    w = watchlist.where("country IS NOT NULL").join(n.groupBy("region", "country").agg(F.sum("n").alias("n")), ["region", "country"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lacks = F.col("n") < 5
+    w = w.groupBy("region").agg(
+        F.count("*").alias("watched"), F.count_if(F.col("n") > 0).alias("seen"), F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("country")))).alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.col("n").between(1, 4), F.col("country")))).alias("weak"), F.min(F.when(lacks, F.col("tier"))).alias("tier"), F.sum("n").alias("target"))
+    none = F.array().cast("array<string>")
+    t = watchlist.select("region").distinct().join(w, "region", "left").join(per, "region", "left").fillna(0).withColumns({"missing": F.coalesce("missing", none), "weak": F.coalesce("weak", none)})
+    t = t.withColumn("tier", F.when(F.size("missing") + F.size("weak") > 0, F.col("tier")))
+    density = F.when(F.col("target") == 0, 40).when(F.col("target") < 10, 30).when(F.col("target") < 50, 15).when(F.col("target") < 100, 5).otherwise(0)
+    gap = F.least(F.lit(100), round_half_up(density + F.size("missing") / F.col("watched") * 50 + F.size("weak") / F.col("watched") * 10)).cast("int")
+    band = F.when(F.col("rows") == 0, "gap").when(F.col("rows") < 10, "sparse").when(F.col("rows") < 100, "covered").otherwise("dense")
+    t = t.withColumns({"gap_score": F.when(F.size("missing") + F.size("weak") == 0, 0).otherwise(gap), "band": band})
+    order = Window.partitionBy(F.col("gap_score") > 0).orderBy(F.coalesce("tier", F.lit(99)), F.desc("gap_score"), "rows", "region")
+    t = t.withColumn("place", F.when(F.col("gap_score") > 0, F.row_number().over(order)))
+    return t.select("region", "rows", "countries", "band", *[f"provider_{p}" for p in providers], *[f"feed_{f}" for f in feeds], "watched", "seen", "missing", "weak", "tier", "gap_score", "place")
+
+
+def coverage_countries(rows: DataFrame, tiers: DataFrame) -> DataFrame:
+    """``country, tier, rows, status, place`` of the countries of a list (``country, tier``): missing, weak (under five) or covered.
+
+    In order of tier, status, rows and name.  A country listed twice stands with its lowest tier.
+    """
+    n = rows.where("country IS NOT NULL").groupBy("country").agg(F.count("*").alias("rows"))
+    t = tiers.groupBy("country").agg(F.min("tier").alias("tier")).join(n, "country", "left").fillna(0, ["rows"])
+    rank = F.when(F.col("rows") == 0, 0).when(F.col("rows") < 5, 1).otherwise(2)
+    status = F.get(F.array(F.lit("missing"), F.lit("weak"), F.lit("covered")), rank)
+    return t.select("country", "tier", "rows", status.alias("status"), F.row_number().over(Window.orderBy("tier", rank, "rows", "country")).alias("place"))
+
+
 def country_risk(base: DataFrame, quakes: DataFrame) -> DataFrame:
     """Base risk (``code, base``) plus the magnitudes of a country's quakes (``code, mag``), at most 100; level by base."""
     extra = quakes.groupBy("code").agg(F.sum("mag").alias("extra"))

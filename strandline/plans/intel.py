@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.functions import net
+from strandline.functions import craft, net
 from strandline.operators import intel
 from strandline.plans.feed import R6, r6
 from strandline.sources import parsers
@@ -88,6 +88,93 @@ def agg07_coverage(spark, sf):
     return intel.coverage(rows, watch.select("region", "country"))
 
 
+def _cameras(spark, sf):
+    """Every customer as a camera; some nations' are of no known country, of others only each 25th customer's country is known."""
+    n, r, c = table(spark, sf, "nation"), table(spark, sf, "region"), table(spark, sf, "customer")
+    k, m = F.col("c_custkey"), F.col("n_nationkey")
+    j = c.join(n, F.col("c_nationkey") == m).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    country = F.when((m % 6 == 5) | ((m % 7 == 3) & (k % 25 != 0)), None).otherwise(F.col("n_name"))
+    cameras = j.select(F.col("r_name").alias("region"), country.alias("country"), F.lower("c_mktsegment").alias("provider"), F.when(k % 3 == 0, "image").when(k % 3 == 1, "stream").otherwise("other").alias("feed"))
+    watch = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("country"), (m % 3 + 1).alias("tier"))
+    return cameras, watch
+
+
+_CAMERAS = """c AS (SELECT r_name AS region, CASE WHEN n_nationkey % 6 = 5 OR (n_nationkey % 7 = 3 AND c_custkey % 25 <> 0) THEN NULL ELSE n_name END AS country, lower(c_mktsegment) AS provider, CASE c_custkey % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'stream' ELSE 'other' END AS feed
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), p AS (SELECT country, count(*) AS n FROM c WHERE country IS NOT NULL GROUP BY 1),
+  w AS (SELECT r_name AS region, n_name AS country, n_nationkey % 3 + 1 AS tier, coalesce(n, 0) AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN p ON country = n_name)"""
+_SEGMENTS, _FEEDS = ["automobile", "building", "furniture", "household", "machinery"], ["image", "stream"]
+_COUNTS = ", ".join([f"count(*) FILTER (provider = '{p}') AS provider_{p}" for p in _SEGMENTS] + [f"count(*) FILTER (feed = '{f}') AS feed_{f}" for f in _FEEDS])
+
+
+@query(f"""WITH {_CAMERAS}, r AS (SELECT region, count(*) AS rows, count(DISTINCT country) AS countries, {_COUNTS} FROM c GROUP BY 1),
+  g AS (SELECT region, count(*) AS watched, count(*) FILTER (n > 0) AS seen, count(*) FILTER (n = 0) AS m, count(*) FILTER (n BETWEEN 1 AND 4) AS k, array_to_string(list(country ORDER BY country) FILTER (n = 0), ',') AS missing,
+    array_to_string(list(country ORDER BY country) FILTER (n BETWEEN 1 AND 4), ',') AS weak, min(tier) FILTER (n < 5) AS tier, sum(n) AS target FROM w GROUP BY 1),
+  s AS (SELECT r.*, CASE WHEN rows < 10 THEN 'sparse' WHEN rows < 100 THEN 'covered' ELSE 'dense' END AS band, watched, seen, coalesce(missing, '') AS missing, coalesce(weak, '') AS weak, tier,
+    CAST(CASE WHEN m + k = 0 THEN 0 ELSE least(100, floor(CASE WHEN target = 0 THEN 40 WHEN target < 10 THEN 30 WHEN target < 50 THEN 15 WHEN target < 100 THEN 5 ELSE 0 END + m / watched::DOUBLE * 50 + k / watched::DOUBLE * 10 + 0.5)) END AS INTEGER) AS gap_score FROM r JOIN g USING (region))
+  SELECT *, CASE WHEN gap_score > 0 THEN row_number() OVER (PARTITION BY gap_score > 0 ORDER BY coalesce(tier, 99), gap_score DESC, rows, region) END AS place FROM s""")
+def agg07_regions(spark, sf):
+    """Regions by provider and feed, with what their watchlists miss, in order of priority."""
+    cameras, watch = _cameras(spark, sf)
+    found = intel.coverage_regions(cameras, watch, _SEGMENTS, _FEEDS)
+    return found.withColumns({"missing": F.array_join("missing", ","), "weak": F.array_join("weak", ",")})
+
+
+@query(f"""WITH {_CAMERAS}, s AS (SELECT country, tier, n AS rows, CASE WHEN n = 0 THEN 0 WHEN n < 5 THEN 1 ELSE 2 END AS k FROM w)
+  SELECT country, tier, rows, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'weak' ELSE 'covered' END AS status, row_number() OVER (ORDER BY tier, k, rows, country) AS place FROM s""")
+def agg07_countries(spark, sf):
+    cameras, watch = _cameras(spark, sf)
+    return intel.coverage_countries(cameras, watch.select("country", "tier"))
+
+
+_TYPES = [*craft.HELICOPTERS, *craft.MILITARY, *craft.AIRLINERS, *craft.JETS, "C172", "TWR", ""]
+_SIGNS = [*[s + "12" for s in craft.MILITARY_SIGNS + craft.JET_OPERATORS], "BAW12", "n425rs", "DMMKG ", "X", "RCHX1", ""]
+_WORDS = [*[w.title() for w, _ in craft.MISSIONS], "Object A", "Usa Gps"]
+
+
+def _in(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _pick(values, key):
+    """The value whose place is the key modulo their number, as SQL."""
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{key} % {len(values)} + 1]"
+
+
+def _picked(values, key):
+    return F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
+
+
+_EMITTED = " ".join(f"WHEN emitter = {code} THEN '{label}'" for code, label in craft.EMITTERS.items())
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS k, {_pick(_TYPES, 'o_orderkey')} AS type, {_pick(_SIGNS, '(o_orderkey // 3)')} AS flight, CASE WHEN o_custkey % 4 = 0 THEN o_custkey % 17 END AS emitter, CASE WHEN o_custkey % 29 = 0 THEN 3 ELSE 2 END AS flags,
+    CASE WHEN o_custkey % 5 <> 0 THEN o_totalprice / 10 END AS alt_ft, o_custkey % 500 + 0.5e0 AS knots FROM orders),
+  s AS (SELECT *, trim(upper(flight)) AS sign, coalesce(alt_ft, 0) * 0.3048e0 AS m FROM f WHERE type <> 'TWR'), c AS (SELECT *, CASE WHEN sign <> '' THEN sign ELSE 'h' || k END AS callsign FROM s),
+  a AS (SELECT *, regexp_extract(callsign, '^([A-Z]{{3}})[0-9]', 1) AS airline_code, CASE {_EMITTED} END AS e FROM c), b AS (SELECT *, airline_code = '' AND regexp_matches(sign, '^[A-Z0-9]{{3,8}}$') AS registered FROM a)
+  SELECT k, callsign, airline_code, CASE WHEN type IN {_in(craft.HELICOPTERS)} OR coalesce(emitter = 8, false) THEN 'heli' ELSE 'plane' END AS craft,
+    CASE WHEN e = 'military' OR flags & 1 = 1 OR type IN {_in(craft.MILITARY)} OR regexp_matches(upper(flight), '^({"|".join(craft.MILITARY_SIGNS)})[0-9]') THEN 'military' WHEN e = 'commercial' OR type IN {_in(craft.AIRLINERS)} THEN 'commercial'
+      WHEN e = 'jet' OR airline_code IN {_in(craft.JET_OPERATORS)} OR type IN {_in(craft.JETS)} OR (registered AND m > 8500 AND knots > 300) THEN 'jet' WHEN e = 'private' OR registered THEN 'private' ELSE 'commercial' END AS category,
+    coalesce(alt_ft < 100, false) AS grounded, CAST(floor(m + 0.5) AS BIGINT) AS alt_m FROM b""")
+def sca21_flights(spark, sf):
+    """Every order as a flight, of every type, operator, sign and emitter category that a rule names."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    flights = table(spark, sf, "orders").select(
+        k.alias("k"), F.concat(F.lit("h"), k.cast("string")).alias("hex"), _picked(_TYPES, k).alias("type"), _picked(_SIGNS, F.floor(k / 3)).alias("flight"), F.when(c % 4 == 0, c % 17).alias("emitter"), F.when(c % 29 == 0, 3).otherwise(2).alias("flags"),
+        F.when(c % 5 != 0, F.col("o_totalprice") / 10).alias("alt_ft"), (c % 500 + 0.5).alias("knots"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    return craft.classified_flights(flights).select("k", "callsign", "airline_code", "craft", "category", "grounded", "alt_m")
+
+
+_MISSION_CASE = " ".join(f"WHEN contains(upper(name), '{w}') THEN '{m}'" for w, m in craft.MISSIONS)
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_name || ' ' || {_pick(_WORDS, 'p_partkey')} || '-' || p_size AS name FROM part) SELECT p_partkey, CASE {_MISSION_CASE} ELSE 'Unknown' END AS mission FROM s""")
+def sca22_missions(spark, sf):
+    """Every part as a satellite, with every keyword that a rule names."""
+    k = F.col("p_partkey")
+    name = F.concat("p_name", F.lit(" "), _picked(_WORDS, k), F.lit("-"), F.col("p_size").cast("string"))
+    return table(spark, sf, "part").select("p_partkey", craft.mission(name).alias("mission"))
+
+
 @query(f"""WITH {SIGNALS_SQL}, q AS (SELECT url_key % 25 AS code, sum(floor(value / 60)) AS extra FROM signals WHERE category = 'earthquake' AND severity > 90 GROUP BY 1) SELECT n_nationkey AS code, least(100e0, n_nationkey * 4 + coalesce(extra, 0)) AS risk_score,
   CASE WHEN n_nationkey * 4 >= 80 THEN 'CRITICAL' WHEN n_nationkey * 4 >= 60 THEN 'HIGH' WHEN n_nationkey * 4 >= 40 THEN 'ELEVATED' ELSE 'LOW' END AS risk_level FROM nation LEFT JOIN q ON code = n_nationkey""")
 def agg11_country_risk(spark, sf):
