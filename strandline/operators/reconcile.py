@@ -208,15 +208,17 @@ def review_holds(plan: DataFrame, pairs: DataFrame) -> DataFrame:
     return plan.join(held, "event_id", "left").select("event_id", F.when(F.col("held"), "manual_review").otherwise(F.col("action")).alias("action"), F.coalesce("held", F.lit(False)).alias("held"))
 
 
-def snapshot_checksum(rows: DataFrame) -> DataFrame:
-    """One row with the count and an order-free SHA-256 of all rows, repeats counted.
+def snapshot_checksum(rows: DataFrame, *by: str) -> DataFrame:
+    """The count and an order-free SHA-256 of all rows, repeats counted: one row, or one for each value of ``by``.
 
     Each row's digest is cut into eight 32-bit numbers, which are summed over all rows; the checksum is the digest of the
-    sums.  Rows enter as JSON of their columns in order of name, nulls included.  No rows: the digest of eight zeros.
+    sums.  Rows enter as JSON of their other columns in order of name, nulls included.  No rows: the digest of eight zeros,
+    or no row with ``by``.
     """
-    digest = rows.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}), 256).alias("h"))
+    columns = [F.col(f"`{c}`") for c in sorted(rows.columns) if c not in by]
+    digest = rows.select(*by, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h"))
     words = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("decimal(30,0)") for i in range(8)]
-    return digest.agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *[w.cast("string") for w in words]), 256).alias("checksum"))
+    return digest.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", *[w.cast("string") for w in words]), 256).alias("checksum"))
 
 
 #: Degrees within which two places of one name are the same, score from which a secondary one is prominent, and places a request gets.

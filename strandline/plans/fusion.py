@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text
 from strandline.operators import continuity, fusion
 from strandline.plans.feed import HAV, R6, r6
-from strandline.session import shared_folder
+from strandline.session import cut, shared_folder
 from strandline.sources.adapters import ARTICLES_SQL, NOW_MS, SIGNALS_SQL, articles, signals, table
 from strandline.streaming.continuity import continuity_stream, told_events
 
@@ -67,6 +67,17 @@ def fus05_pairs(spark, sf):
     return pairs.groupBy("rule").agg(F.count("*").alias("pairs"), F.sum(F.col("src") * 31 + F.col("dst")).alias("checksum"))
 
 
+@query(f"WITH {FUSION_SQL}, {PAIRS_SQL} SELECT rule, count(*) AS pairs, sum(count(*)) OVER () AS matches, true AS bounded FROM d WHERE rule IS NOT NULL GROUP BY rule".replace("sum(count(*)) OVER ()", "CAST(sum(count(*)) OVER () AS BIGINT)"))
+def fus17_profile(spark, sf):
+    """Pairs by rule, with the matches that the run itself counted, and whether these, comparisons and candidates are in order of size."""
+    profile = {}
+    pairs = fusion.true_pairs(fusion.prepare(fusion_signals(spark, sf)), profile)
+    found = cut(pairs.groupBy("rule").agg(F.count("*").alias("pairs")))
+    n = {name: seen.get["n"] for name, seen in profile.items()}
+    bounded = n["matches"] <= n["comparisons"] <= n["candidates"]
+    return found.withColumns({"matches": F.lit(n["matches"]).cast("long"), "bounded": F.lit(bounded)})
+
+
 def evidence_signals(spark, sf):
     """The fusion signals with up to three pieces of evidence each, hints and times of discovery."""
     e, n = F.col("ord"), F.col("user_id") % 7

@@ -291,8 +291,8 @@ def sca21_classifiers(spark, sf):
 
 
 def _payload(frame, *structs, wrap):
-    """Payloads of some hundred features each; ``wrap`` names the array."""
-    grouped = frame.groupBy((F.col("k") % 50).alias("part")).agg(F.collect_list(F.struct(*structs)).alias(wrap))
+    """Pages of at most two hundred features each; ``wrap`` names the array."""
+    grouped = frame.groupBy(F.floor(F.col("k") / 200).alias("part")).agg(F.collect_list(F.struct(*structs)).alias(wrap))
     return grouped.select(F.to_json(F.struct(wrap)).alias("raw"))
 
 
@@ -311,16 +311,31 @@ def src01_quakes(spark, sf):
   SELECT 'nws:' || l.user_id AS id, CASE WHEN e % 2 = 0 THEN 'flood' ELSE 'weather' END AS category, CASE e % 5 WHEN 0 THEN 90 WHEN 1 THEN 75 WHEN 2 THEN 50 WHEN 3 THEN 25 ELSE 20 END AS severity FROM l""")
 def src09_warnings(spark, sf):
     e = F.col("event_id")
-    rows = table(spark, sf, "events").withColumn("k", F.lit(0))
+    rows = table(spark, sf, "events")
     kind = F.when(e % 2 == 0, "Flood Watch").otherwise("Wind Advisory")
     level = F.get(F.array(*map(F.lit, ("Extreme", "Severe", "Moderate", "Minor", "Other"))), (e % 5).cast("int"))
     props = F.struct(
         F.col("user_id").cast("string").alias("id"), kind.alias("event"), level.alias("severity"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("sent"), F.lit("2024-03-01T00:00:00Z").alias("expires"),
         F.when(e % 3 == 0, "Test").otherwise("Actual").alias("status"), F.lit("Alert").alias("messageType"),
     )
-    # One payload, features in event order, so that the last row of an id is its newest.
-    packed = rows.agg(F.array_sort(F.collect_list(F.struct(e.alias("o"), props.alias("properties")))).alias("f")).select(F.to_json(F.struct(F.transform("f", lambda x: F.struct(x["properties"].alias("properties"))).alias("features"))).alias("raw"))
-    return parsers.weather_warnings(packed, "raw", NOW_MS).select("id", "category", "severity")
+    # Pages in event order, and features in it within a page, so that the last row of an id is its newest.
+    pages = rows.groupBy(F.floor(e / 200).alias("page")).agg(F.array_sort(F.collect_list(F.struct(e.alias("o"), props.alias("properties")))).alias("f"))
+    packed = pages.select("page", F.to_json(F.struct(F.transform("f", lambda x: F.struct(x["properties"].alias("properties"))).alias("features"))).alias("raw"))
+    return parsers.weather_warnings(packed, "raw", NOW_MS, "page").select("id", "category", "severity")
+
+
+@query("""SELECT CAST(n AS VARCHAR) AS norad, CASE WHEN o_custkey % 3 = 0 THEN 'SAT-' || n ELSE 'Object ' || o_custkey END AS name, o_custkey % 180 + 0.5e0 AS inclination, 10 + o_orderkey % 6 + 0.25e0 AS mean_motion
+  FROM (SELECT *, 10000 + o_orderkey % 80000 AS n FROM orders)""")
+def src17_elements(spark, sf):
+    """Every order as an element set of two or three lines, read back from the lines in order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    norad = (10000 + k % 80000).cast("string")
+    fixed = lambda x, wide: F.format_string(f"%{wide}.4f", x)
+    name = F.when(c % 6 == 0, F.lit("")).when(c % 3 != 0, F.concat(F.lit("0 Object "), c.cast("string"), F.lit("  ")))
+    first = F.concat(F.lit("1 "), norad, F.lit("U 98067A   24030.50000000  .00016717  00000-0  10270-3 0  9005"))
+    second = F.concat(F.lit("2 "), norad, F.lit(" "), fixed(c % 180 + 0.5, 8), F.lit(" 208.9163 0006317  69.9862  25.2906 "), fixed(10 + k % 6 + 0.25, 11), F.lit("000010"))
+    lines = table(spark, sf, "orders").select(k, F.posexplode(F.array(name, first, second)).alias("nth", "line")).where("line IS NOT NULL").select((k * 3 + F.col("nth")).alias("ord"), "line")
+    return parsers.orbital_elements(lines, "line", "ord").select("norad", "name", "inclination", "mean_motion")
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(event_id % 12 AS INTEGER) AS articles FROM events WHERE event_id % 12 >= 3 AND event_id % 4 + 1 IN (3, 4) AND event_id % 50 <> 0 ORDER BY events.event_id LIMIT 500""")

@@ -119,10 +119,15 @@ def snk05_geojson(spark, sf):
     return ops.feature_rows(s, ["s_name"])
 
 
-@query(f"WITH {SIGNALS_SQL} SELECT category, sha256(string_agg(id, '|' ORDER BY id)) AS fingerprint, list_slice(list(id ORDER BY id), 1, 10) AS sample FROM signals GROUP BY category")
+_SUMS = "concat_ws(',', " + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + ")"
+
+
+@query(f"""WITH {SIGNALS_SQL}, h AS (SELECT category, id, sha256('{{"id":"' || id || '"}}') AS h FROM signals) SELECT category, count(*) AS n, sha256({_SUMS}) AS fingerprint, list_slice(list(id ORDER BY id), 1, 10) AS sample FROM h GROUP BY category""")
 def snk08_report(spark, sf):
-    g = signals(spark, sf).groupBy("category").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return g.select("category", F.sha2(F.array_join("ids", "|"), 256).alias("fingerprint"), F.slice("ids", 1, 10).alias("sample"))
+    """Signals of each category: their number, an order-free fingerprint and the first ten; no group is collected."""
+    s = signals(spark, sf).select("category", "id")
+    first = s.withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("id"))).where("nth <= 10").groupBy("category").agg(F.array_sort(F.collect_list("id")).alias("sample"))
+    return ops.snapshot_checksum(s, "category").join(first, "category").select("category", "n", F.col("checksum").alias("fingerprint"), "sample")
 
 
 LINKS = "links AS (SELECT DISTINCT l_orderkey % 500 AS event_id, CASE WHEN l_suppkey % 9 = 0 THEN 'news:' || l_suppkey % 9 ELSE 's' || l_suppkey % 2 END AS source_id, l_partkey % 700 AS upstream_id, l_orderkey % 500 % 7 AS revision FROM lineitem), obs AS (SELECT source_id, upstream_id, CASE WHEN upstream_id % 13 > 0 THEN 'p' || upstream_id % 40 END AS provider FROM links WHERE upstream_id % 11 > 0)"

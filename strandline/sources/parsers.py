@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.functions.geo import round_half_up
 from strandline.functions.text import classify_event, decode_html
+from strandline.session import cut
 
 HOUR, DAY = 3_600_000, 86_400_000
 # Base severities by category.
@@ -163,9 +164,13 @@ def representative_point(kind: Column, coordinates: Column) -> Column:
     return F.when(fine, F.struct(mean(0).alias("lng"), mean(1).alias("lat")))
 
 
-def weather_warnings(payloads: DataFrame, column: str, now_ms: int) -> DataFrame:
-    """Actual warnings; the last row of each id wins; cancelled or expired ones stay withdrawn while they retire others."""
-    p = payloads.select(F.posexplode(F.from_json(column, WARNINGS)["features"]).alias("ord", "f")).select("ord", "f.geometry", "f.properties.*")
+def weather_warnings(payloads: DataFrame, column: str, now_ms: int, page: str | None = None) -> DataFrame:
+    """Actual warnings; the last row of each id wins; cancelled or expired ones stay withdrawn while they retire others.
+
+    A payload that comes in several rows is ordered by its ``page``.
+    """
+    p = payloads.select(F.lit(0).alias("page") if page is None else F.col(page).alias("page"), F.posexplode(F.from_json(column, WARNINGS)["features"]).alias("nth", "f"))
+    p = p.select(F.struct("page", "nth").alias("ord"), "f.geometry", "f.properties.*")
     p = p.withColumns({"key": F.coalesce(F.nullif("id", F.lit("")), "@id"), "sent_ms": iso_ms(F.col("sent")), "expires_ms": iso_ms(F.col("expires")), "kind_": F.coalesce("messageType", F.lit("Alert"))})
     p = p.where((F.col("status") == "Actual") & F.col("kind_").isin("Alert", "Update", "Cancel") & F.col("key").isNotNull() & (F.col("event") != "") & (F.col("sent_ms") <= now_ms + 60_000))
     usable = F.filter(F.coalesce("references", F.array()), lambda r: F.coalesce(r["identifier"], r["@id"]).isNotNull() & ~F.coalesce(iso_ms(r["sent"]) > F.col("sent_ms"), F.lit(False)))
@@ -275,10 +280,26 @@ def host_groups(records: DataFrame) -> DataFrame:
     return g.select("ip", "new.port", "urls", F.col("new.id").alias("newest_id"), "first_seen", F.col("new.dateadded").alias("last_seen"), malware_family(F.col("new.tags"), F.col("new.threat")).alias("family"))
 
 
+def with_neighbours(rows: DataFrame, order: str, column: str) -> DataFrame:
+    """Adds ``before`` and ``next``, the column's value in the rows before and after in a unique order, over all rows.
+
+    Rows are range-partitioned and each partition looks at its own; only the edges of neighbouring partitions, a row
+    each, are met with each other.  No task orders more than its range.
+    """
+    ranged = cut(rows.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()))
+    own = Window.partitionBy("_pid").orderBy(order)
+    value = F.struct(F.col(column).alias("v"))
+    r = ranged.withColumns({"_before": F.lag(value).over(own), "_next": F.lead(value).over(own)})
+    edges = ranged.groupBy("_pid").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+    row = Window.orderBy("_pid")  # a row a partition
+    edges = edges.select("_pid", F.lag("last").over(row).alias("_earlier"), F.lead("first").over(row).alias("_later"))
+    met = r.join(F.broadcast(edges), "_pid")
+    return met.withColumns({"before": F.coalesce("_before", "_earlier")["v"], "next": F.coalesce("_next", "_later")["v"]}).drop("_pid", "_before", "_next", "_earlier", "_later")
+
+
 def orbital_elements(lines: DataFrame, column: str, order: str) -> DataFrame:
     """Two-line elements with an optional name line before: ``norad, name, inclination, mean_motion, line1, line2``."""
-    w = Window.orderBy(order)
-    t = lines.select(order, F.rtrim(column).alias("l")).withColumn("next", F.lead("l").over(w)).withColumn("before", F.lag("l").over(w))
+    t = with_neighbours(lines.select(order, F.rtrim(column).alias("l")), order, "l")
     t = t.where(F.col("l").rlike("^1 ") & F.col("next").rlike("^2 "))
     norad = F.trim(F.substring("l", 3, 5))
     name = F.when(F.col("before").rlike("^[12] ") | F.col("before").isNull() | (F.trim("before") == ""), F.concat(F.lit("SAT-"), norad)).otherwise(F.trim(F.regexp_replace("before", "^0 ", "")))
