@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from strandline.functions import net
-from strandline.operators import commits, state, tracks as ops
+from strandline.operators import commits, replay, state, tracks as ops
 from strandline.plans.feed import HAV, R6, r6
 from strandline.session import shared_folder
 from strandline.sources.adapters import SIGNALS_SQL, TRACKS_SQL, signals, table, tracks
@@ -261,6 +261,24 @@ def snk01_commit_log(spark, sf):
     return again.join(commits.current_events(spark, folder).select("event_id", "payload"), "event_id").select("identity", "payload", "revision", "cursor", "changed")
 
 
+@query("""WITH a AS (SELECT 'user:' || user_id AS identity, max(event_id) % 5 AS c FROM events WHERE day(ts) <= 15 GROUP BY 1), b AS (SELECT 'user:' || user_id AS identity, max(event_id) % 5 AS c FROM events GROUP BY 1),
+  n AS (SELECT *, row_number() OVER (ORDER BY identity) AS cursor FROM a), m AS (SELECT b.identity, a.c IS NULL AS added, b.c AS content, a.c IS DISTINCT FROM b.c AS changed, n.cursor AS was FROM b LEFT JOIN a USING (identity) LEFT JOIN n USING (identity)),
+  k AS (SELECT identity, row_number() OVER (ORDER BY identity) + (SELECT count(*) FROM a) AS cursor FROM m WHERE changed)
+  SELECT identity, 'content ' || content AS payload, CASE WHEN changed AND NOT added THEN 2 ELSE 1 END AS revision, coalesce(k.cursor, was) AS cursor, CASE WHEN (SELECT count(*) FROM k) > 6000 THEN 'bootstrap' ELSE 'changes' END AS how FROM m LEFT JOIN k USING (identity)""")
+def str07_log_sync(spark, sf):
+    """A client that has every user's content of half a month, brought up to date with the log of the whole."""
+    folder = f"{shared_folder(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events")
+    named = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    content = lambda rows: rows.groupBy(named.alias("identity")).agg(F.concat(F.lit("content "), (F.max("event_id") % 5).cast("string")).alias("payload"))
+    first = commits.commit(spark, folder, "half", content(e.where(F.dayofmonth("ts") <= 15)).select(F.array("identity").alias("identities"), "payload", F.lit(None).cast("long").alias("expected_revision")))
+    have, token = replay.bootstrap(spark, folder)
+    known = first.select("identity", F.col("revision").alias("expected_revision"))
+    commits.commit(spark, folder, "whole", content(e).join(known, "identity", "left").select(F.array("identity").alias("identities"), "payload", "expected_revision"))
+    now, _, how = replay.synchronise(spark, folder, have, token)
+    return now.join(commits.current_identities(spark, folder), "event_id").select("identity", "payload", "revision", "cursor", F.lit(how).alias("how"))
+
+
 @query(f"""WITH {SIGNALS_SQL}, m AS (SELECT max(occurred_ms) AS top FROM signals), l AS (SELECT source, url_key, max(occurred_ms) AS occurred_ms FROM signals GROUP BY 1, 2) SELECT l.* FROM l, m WHERE occurred_ms > top - 172800000""")
 def snk02_signal_upsert(spark, sf):
     s = signals(spark, sf).select("source", "url_key", "occurred_ms")
