@@ -131,3 +131,22 @@ def format_area(km2: Column) -> Column:
 def format_ago(seconds: Column) -> Column:
     unit = lambda n, u: F.concat(F.floor(seconds / n).cast("string"), F.lit(u))
     return F.when(seconds < 60, unit(1, "s ago")).when(seconds < 3600, unit(60, "m ago")).when(seconds < 86400, unit(3600, "h ago")).otherwise(unit(86400, "d ago"))
+
+
+def format_duration(seconds: Column) -> Column:
+    """Minutes, at least one; from an hour on, hours and minutes."""
+    total = F.greatest(F.lit(1), round_half_up(seconds / 60))
+    hours, minutes = F.floor(total / 60).cast("string"), total % 60
+    hour_text = F.concat(hours, F.lit(" hr"))
+    return F.when(total < 60, F.concat(total.cast("string"), F.lit(" min"))).when(minutes == 0, hour_text).otherwise(F.concat(hour_text, F.lit(" "), minutes.cast("string"), F.lit(" min")))
+
+
+def to_feet(metres: Column) -> Column:
+    """Feet, to the nearest 25."""
+    return round_half_up(metres * 3.28084 / 25) * 25
+
+
+def format_altitude(metres: Column, grounded: Column) -> Column:
+    """Feet with separators; Ground on the ground, a dash where the altitude is missing or no finite number."""
+    finite = metres.isNotNull() & ~F.isnan(metres) & (F.abs(metres) != float("inf"))
+    return F.when(F.coalesce(grounded, F.lit(False)), "Ground").when(finite, F.concat(F.format_number(to_feet(metres), 0), F.lit(" ft"))).otherwise("—")

@@ -90,3 +90,45 @@ def stored_shapes(raw: Column) -> Column:
     g = lambda s: s["geojson"]["geometry"]
     fine = lambda s: F.coalesce(s["id"].isNotNull() & s["name"].isNotNull() & g(s)["type"].isin("Polygon", "LineString") & g(s)["coordinates"].rlike(r"^\[.+\]$"), F.lit(False))
     return F.coalesce(F.filter(F.from_json(raw, kind), fine), F.array().cast(kind))
+
+
+# Kinds of a manoeuvre by number, instructions with and without a direction, shapes of an asset's addresses.
+MANOEUVRES = {
+    "depart": (1, 2, 3), "arrive": (4, 5, 6), "straight": (7, 8), "right": (9, 10, 11), "left": (13, 14), "roundabout": (15, 16, 17, 18, 19, 20), "merge": (25, 26, 27),
+}
+INSTRUCTIONS = {
+    "merge": ("Merge {}", "Merge"), "on ramp": ("Take the ramp", "Take the ramp"), "off ramp": ("Take the exit", "Take the exit"), "fork": ("Keep {}", "Keep straight"),
+    "end of road": ("Turn {}", "Turn straight"), "continue": ("Keep {}", "Continue"), "new name": ("Continue", "Continue"), "turn": ("Turn {}", "Continue"),
+}
+ASSET_SHAPES = (
+    ("ETH", "^0x[a-fA-F0-9]{40}$"), ("BTC", "^(?:bc1[a-z0-9]{25,62}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})$"), ("XMR", "^4[0-9AB][1-9A-HJ-NP-Za-km-z]{93}$"),
+    ("TRX", "^T[1-9A-HJ-NP-Za-km-z]{33}$"),
+)
+
+
+def manoeuvre_kind(number: Column) -> Column:
+    return F.coalesce(*[F.when(number.isin(*numbers), kind) for kind, numbers in MANOEUVRES.items()], F.lit("straight"))
+
+
+def instruction(kind: Column, direction: Column, road: Column, exit_number: Column) -> Column:
+    """What a driver is told; an unknown kind is a turn, and going on straight needs no direction."""
+    road, way = F.trim(F.coalesce(road, F.lit(""))), F.coalesce(direction, F.lit(""))
+    onto = F.when(road != "", F.concat(F.lit(" onto "), road)).otherwise("")
+    way = F.when((kind == "continue") & (way == "straight"), "").otherwise(way)
+    told = lambda pair: F.when(way != "", F.replace(F.lit(pair[0]), F.lit("{}"), way)).otherwise(pair[1])
+    steps = F.coalesce(*[F.when(kind == name, told(pair)) for name, pair in INSTRUCTIONS.items()], told(INSTRUCTIONS["turn"]))
+    circle = F.when(exit_number > 0, F.concat(F.lit("At the roundabout, take exit "), exit_number.cast("string"))).otherwise("Enter the roundabout")
+    return (
+        F.when(kind == "depart", F.when(road != "", F.concat(F.lit("Head out on "), road)).otherwise("Depart")).when(kind == "arrive", "You have arrived at your destination")
+        .when(kind.isin("roundabout", "rotary"), F.concat(circle, onto)).otherwise(F.concat(steps, onto))
+    )
+
+
+def address_asset(name: Column) -> Column:
+    """The asset whose addresses have the shape of the name; null if none."""
+    return F.coalesce(*[F.when(name.rlike(shape), asset) for asset, shape in ASSET_SHAPES])
+
+
+def threat_level(reports: Column) -> Column:
+    """By the number of reports that name an indicator: over five is high, any is medium; none or null is low."""
+    return F.when(reports > 5, "HIGH").when(reports > 0, "MEDIUM").otherwise("LOW")
