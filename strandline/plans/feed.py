@@ -334,7 +334,9 @@ FLAT = "sqrt(pow(lat - c_lat, 2) + pow(lng - c_lng, 2)) * 111.32e0"
 @query(f"""WITH n AS (SELECT s_suppkey, count(*) AS nearby, count(*) FILTER (value < 20) AS waiting FROM {CENTRES} c JOIN {E_SQL} e ON {FLAT} <= 300 GROUP BY s_suppkey)
   SELECT s_suppkey, coalesce(nearby, 0) AS nearby, coalesce(waiting, 0) AS waiting, CASE WHEN waiting > 5 THEN 'SEVERE' WHEN waiting > 2 THEN 'CONGESTED' ELSE 'NORMAL' END AS status FROM {CENTRES} c LEFT JOIN n USING (s_suppkey)""")
 def agg09_port_congestion(spark, sf):
-    near = spatial.radius_join(_points(spark, sf), _centres(spark, sf), 300.0, flat=True).groupBy("s_suppkey").agg(F.count("*").alias("nearby"), F.count_if(F.col("value") < 20).alias("waiting"))
+    # Events of one place are counted before they meet the ports around it.
+    held = _points(spark, sf).groupBy("lat", "lng").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 20).alias("w"))
+    near = spatial.radius_join(held, _centres(spark, sf), 300.0, flat=True).groupBy("s_suppkey").agg(F.sum("n").alias("nearby"), F.sum("w").alias("waiting"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     status = F.when(F.col("waiting") > 5, "SEVERE").when(F.col("waiting") > 2, "CONGESTED").otherwise("NORMAL")
     return _centres(spark, sf).join(near, "s_suppkey", "left").select("s_suppkey", zero("nearby").alias("nearby"), zero("waiting").alias("waiting"), status.alias("status"))
@@ -346,7 +348,8 @@ def chokepoint_risk_sql(km: int) -> str:
 
 
 def chokepoint_risk(spark, sf, km):
-    n = spatial.radius_join(_points(spark, sf), _centres(spark, sf), float(km), flat=True).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    held = _points(spark, sf).groupBy("lat", "lng").agg(F.count("*").alias("held"))
+    n = spatial.radius_join(held, _centres(spark, sf), float(km), flat=True).groupBy("s_suppkey").agg(F.sum("held").alias("n"))
     risk = F.when(F.col("n") > 50, "critical").when(F.col("n") > 20, "high").when(F.col("n") > 5, "elevated").otherwise("low")
     return _centres(spark, sf).join(n, "s_suppkey", "left").select("s_suppkey", risk.alias("risk"))
 
