@@ -280,13 +280,19 @@ def host_groups(records: DataFrame) -> DataFrame:
     return g.select("ip", "new.port", "urls", F.col("new.id").alias("newest_id"), "first_seen", F.col("new.dateadded").alias("last_seen"), malware_family(F.col("new.tags"), F.col("new.threat")).alias("family"))
 
 
+#: Rows that one range of ``with_neighbours`` has.
+RANGE_ROWS = 250_000
+
+
 def with_neighbours(rows: DataFrame, order: str, column: str) -> DataFrame:
     """Adds ``before`` and ``next``, the column's value in the rows before and after in a unique order, over all rows.
 
     Rows are range-partitioned and each partition looks at its own; only the edges of neighbouring partitions, a row
-    each, are met with each other.  No task orders more than its range.
+    each, are met with each other.  Ranges have about ``RANGE_ROWS`` however many rows there are, and no task orders more
+    than the few that meet in it: their number is given, so that none are put together by their packed size.
     """
-    ranged = cut(rows.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()))
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = cut(rows.repartitionByRange(ranges, order).withColumn("_pid", F.spark_partition_id())).repartition(ranges, "_pid")
     own = Window.partitionBy("_pid").orderBy(order)
     value = F.struct(F.col(column).alias("v"))
     r = ranged.withColumns({"_before": F.lag(value).over(own), "_next": F.lead(value).over(own)})
