@@ -11,13 +11,15 @@ place, a null id equals no other.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandline.functions.geo import KM_PER_DEGREE, haversine_km
-from strandline.functions.text import is_digest, token_similarity, tokens
+from strandline.functions.geo import EARTH_KM
+from strandline.functions.text import is_digest, tokens
 from strandline.operators.fusion import HOUR, rare_pairs
 from strandline.operators.graph import connected_components
 from strandline.operators.spatial import _cells
@@ -25,7 +27,9 @@ from strandline.operators.state import RETENTION_MS
 from strandline.session import cut
 
 WINDOW_MS, NEAR_MS = 12 * HOUR, 3 * HOUR
-ALIKE, NEAR_KM, CELL = 0.72, 80, 0.8
+QUAKE_MS = HOUR // 6
+#: What titles must share: alone, or near each other in place and time.
+ALIKE, SOME, NEAR_KM, CELL = 0.72, 0.4, 80, 0.8
 #: Stored entries come before all rows of a batch: their positions are negative.
 BEFORE = 1 << 62
 #: Changes are numbered within blocks of so many positions, and blocks by their prefix sums.
@@ -54,97 +58,174 @@ def _features(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fuzzy_links(f: DataFrame) -> DataFrame:
-    """``pos, link``: a batch's rows and the earlier rows whose content they match by title, place and time.
+def _titled(f: DataFrame) -> DataFrame:
+    """The rows with ``free`` (they may match by title, place and time), ``title``, ``pairs`` of its rare words, the ``cell`` of a place and the cells in its ``reach``.
 
-    Complete: the two have titles of which ALIKE is shared, hence a pair of rare words, or places within 80 km.
+    Two titles of which ALIKE is shared have a pair in common.  Words are counted over different titles.
     """
-    free = f.where(~F.col("reported") & (F.size("words") > 0))
-
-    def slots(rows: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
-        slot = F.floor(F.col("at_ms") / span)
-        three = rows.withColumn("slot", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: slot + d)))
-        return rows.where("pos >= 0").withColumn("slot", slot), three
-
-    kin = "a.digest = b.digest AND NOT (a.nws AND b.nws) AND (a.category = b.category OR arrays_overlap(a.categories, b.categories))"
-    soon = lambda span: F.expr(f"a.slot = b.slot AND b.pos < a.pos AND abs(a.at_ms - b.at_ms) <= {span} AND {kin}")
-    rare = cut(rare_pairs(free, "pos", "words", ALIKE))
-    one, three = slots(free, WINDOW_MS)
-    by_title = one.join(rare, "pos").alias("a").join(three.join(rare, "pos").alias("b"), soon(WINDOW_MS) & F.expr("a.pair = b.pair"))
-    around = int(360 / CELL)
+    none, around = F.array().cast("array<long>"), int(360 / CELL)
     own = F.floor((F.col("lat") + 90) / CELL).cast("int") * around + F.pmod(F.floor((F.col("lng") + 180) / CELL).cast("int"), F.lit(around))
-    one, three = slots(free.where("lat IS NOT NULL"), NEAR_MS)
-    reach = three.withColumn("cell", F.explode(_cells(F.col("lat"), F.col("lng"), NEAR_KM * 1.01, CELL)))
-    close = F.expr(f"a.cell = b.cell AND abs(a.lat - b.lat) <= {NEAR_KM * 1.01 / KM_PER_DEGREE}")
-    by_place = one.withColumn("cell", own).alias("a").join(reach.alias("b"), soon(NEAR_MS) & close)
-
-    measured = F.struct(
-        F.col("a.pos").alias("pos"), F.col("b.pos").alias("link"), F.abs(F.col("a.at_ms") - F.col("b.at_ms")).alias("apart"), (F.col("a.category") == "earthquake").alias("quake"),
-        token_similarity(F.col("a.words"), F.col("b.words")).alias("sim"), haversine_km(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")).alias("km"),
-    )
-    # Shocks of one area are told apart unless time, place and title nearly agree.
-    rule = f"""CASE WHEN quake THEN coalesce(sim >= 0.8 AND km <= 10 AND apart <= {HOUR // 6}, false)
-        ELSE (sim >= {ALIKE} AND (km IS NULL OR km <= 300)) OR coalesce(sim >= 0.4 AND km <= {NEAR_KM} AND apart <= {NEAR_MS}, false) END"""
-    judged = [pairs.select(F.inline(F.array(measured))).where(rule).select("pos", "link") for pairs in (by_title, by_place)]
-    return judged[0].union(judged[1]).distinct()
+    placed = F.col("free") & F.col("lat").isNotNull()
+    f = f.withColumn("free", ~F.col("reported") & (F.size("words") > 0))
+    f = f.withColumns({
+        "title": F.xxhash64(F.when(F.col("free"), F.array_sort("words")).otherwise(F.array("pos"))), "cell": F.when(placed, own.cast("long")),
+        "reach": F.when(placed, F.transform(_cells(F.col("lat"), F.col("lng"), NEAR_KM * 1.01, CELL), lambda c: c.cast("long"))).otherwise(none),
+    })
+    titles = cut(f.where("free").groupBy("title").agg(F.first("words").alias("words")))
+    rare = rare_pairs(titles, "title", "words", ALIKE).groupBy("title").agg(F.collect_set("pair").alias("pairs"))
+    return f.join(rare.hint("merge"), "title", "left").withColumn("pairs", F.coalesce("pairs", none))
 
 
-REPLAYED = "pos long, slot long, life long, lifecycle string, stable_id string"
+def _stars(f: DataFrame) -> DataFrame:
+    """``src, dst``: links that join all rows of which one may hang on another; a row has as many as it has tokens.
+
+    Rows that share an id, a report or a URL, that have a rare pair of words in common within 12 hours, or that stand near
+    each other within 3.  They need not match: larger components cost order, never a match.  Rows of one title and slot, and of
+    one cell and slot, meet first, and the first of them then meets the other titles and cells.
+    """
+    slot = lambda span: F.expr(f"floor(at_ms / {span})")
+    own = F.when(F.col("stable_id").isNotNull(), F.array(F.concat(F.lit("i"), "stable_id"))).otherwise(F.array().cast("array<string>"))
+    exact = F.transform(F.array_distinct(F.concat("keys", own)), lambda k: F.xxhash64(k))
+    f = f.withColumns({"half_day": slot(WINDOW_MS), "hours": slot(NEAR_MS)})
+    same = F.array_compact(F.array(F.when(F.col("free"), F.xxhash64(F.lit("title"), "title", "digest", "half_day")), F.when(F.col("cell").isNotNull(), F.xxhash64(F.lit("cell"), "cell", "digest", "hours"))))
+    told = lambda rows, items: rows.select("pos", F.explode(items).alias("t")).select("pos", "t.*")
+    token = lambda x, settled: F.struct(x.alias("token"), settled.alias("settled"))
+    titles = f.where("free").groupBy("title", "digest", "half_day").agg(F.min("pos").alias("pos"), F.first("pairs").alias("pairs"))
+    cells = f.where("cell IS NOT NULL").groupBy("cell", "digest", "hours", "reach").agg(F.min("pos").alias("pos"))
+    both = F.array(F.lit(0), F.lit(1))  # the earlier of two rows in neighbouring slots meets the later one in its slot
+    by_title = F.flatten(F.transform("pairs", lambda p: F.transform(both, lambda d: token(F.xxhash64(F.lit("pair"), p, "digest", F.col("half_day") + d), F.lit(True)))))
+    # A cell that no row stands in joins nothing.
+    by_cell = F.flatten(F.transform("reach", lambda c: F.transform(both, lambda d: token(F.xxhash64(F.lit("near"), c, "digest", F.col("hours") + d), (c == F.col("cell")) & (d == 0)))))
+    met = cut(told(f, F.transform(F.concat(exact, same), lambda x: token(x, F.lit(True)))).union(told(titles, by_title)).union(told(cells, by_cell)))
+    least = met.groupBy("token").agg(F.min("pos").alias("src"), F.count("*").alias("n"), F.bool_or("settled").alias("settled")).where("n > 1 AND settled")
+    return met.join(least.select("token", "src").hint("merge"), "token").where("pos <> src").select("src", F.col("pos").alias("dst")).distinct()
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match rows that come in order of component and position, each preceded by its links.
+class _Said:
+    """What an event says, as the rules compare it."""
+
+    __slots__ = ("content", "keys", "digest", "nws", "at", "lat", "lng", "words", "category", "categories", "pairs", "cell")
 
-    Held are the entries of one component, by what they say last: an entry is ``[stable_id, life, slot, content, keys, pos]``.
+    def __init__(self, content, keys, digest, nws, at, lat, lng, words, category, categories, pairs, cell) -> None:
+        self.content, self.keys, self.digest, self.nws, self.at, self.lat, self.lng = content, keys, digest, nws, at, lat, lng
+        self.words, self.category, self.categories, self.pairs, self.cell = words, category, categories, pairs, cell
+
+    def km(self, other: _Said) -> float | None:
+        if self.lat is None or other.lat is None:
+            return None
+        p, q = math.radians(self.lat), math.radians(other.lat)
+        h = math.sin(math.radians(other.lat - self.lat) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(other.lng - self.lng) / 2) ** 2
+        return math.asin(min(1.0, math.sqrt(h))) * (2 * EARTH_KM)
+
+    def meets(self, other: _Said) -> bool:
+        """Whether the event matches what an entry says by title, place and time."""
+        apart = abs(self.at - other.at)
+        if apart > WINDOW_MS or self.digest != other.digest or self.nws and other.nws or self.category != other.category and self.categories.isdisjoint(other.categories):
+            return False
+        share = len(self.words & other.words) / max(len(self.words), len(other.words))
+        if share < SOME:
+            return False
+        km = self.km(other)
+        # Shocks of one area are told apart unless time, place and title nearly agree.
+        if self.category == "earthquake":
+            return share >= 0.8 and km is not None and km <= 10 and apart <= QUAKE_MS
+        return share >= ALIKE and (km is None or km <= 300) or km is not None and km <= NEAR_KM and apart <= NEAR_MS
+
+
+class _Entries:
+    """The entries of one component by what they say last: numbers in the order of their places, sorted under each token.
+
+    Under hashes may stand entries of other tokens, which the rules then reject.
     """
-    names = [c.split()[0] for c in REPLAYED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    component, entries, current, by_key, stables, met = None, [], {}, {}, {}, set()
-
-    def say(e: int, pos: int, content, keys: list[str]) -> None:
-        entry = entries[e]
-        for key in entry[4]:
-            by_key[key].discard(e)
-            if not by_key[key]:
-                del by_key[key]
-        current.pop(entry[5], None)
-        entry[3:] = [content, keys, pos]
-        current[pos] = e
-        for key in keys:
-            by_key.setdefault(key, set()).add(e)
-
-    def begin(stable, pos: int, content, keys: list[str]) -> int:
-        entries.append([stable, pos, pos, None, [], None])
-        e = len(entries) - 1
-        say(e, pos, content, keys)
+
+    def __init__(self) -> None:
+        self.of: list[list] = []  # stable id, first position of its life, slot, what it says
+        self.stables: dict[str, int] = {}
+        self.by_key: dict[str, list[int]] = {}
+        self.by_token: dict[int, list[int]] = {}
+
+    def _listed(self, said: _Said) -> Iterator[tuple[dict, int | str]]:
+        for key in said.keys:
+            yield self.by_key, key
+        for name, span in (("t", WINDOW_MS), ("q", QUAKE_MS)):
+            for pair in said.pairs:
+                yield self.by_token, hash((name, pair, said.at // span))
+        if said.cell is not None:
+            yield self.by_token, hash(("c", said.cell, said.at // NEAR_MS))
+
+    def say(self, e: int, said: _Said) -> None:
+        if (before := self.of[e][3]) is not None:
+            for index, token in self._listed(before):
+                held = index[token]
+                del held[bisect_left(held, e)]
+                if not held:
+                    del index[token]
+        self.of[e][3] = said
+        for index, token in self._listed(said):
+            insort(index.setdefault(token, []), e)
+
+    def begin(self, stable: str | None, pos: int, said: _Said) -> int:
+        self.of.append([stable, pos, pos, None])
+        e = len(self.of) - 1
+        self.say(e, said)
         if stable is not None:
-            stables[stable] = e
+            self.stables[stable] = e
         return e
 
+    def first(self, said: _Said, reach: list[int]) -> int | None:
+        """The first entry that an event matches; each list is read up to its first match or the best so far."""
+        none = len(self.of)
+        best = min((self.by_key[k][0] for k in said.keys if k in self.by_key), default=none)
+        name, span = ("q", QUAKE_MS) if said.category == "earthquake" else ("t", WINDOW_MS)
+        slots = lambda width: range(said.at // width - 1, said.at // width + 2)
+        asked = [(name, pair, s) for pair in said.pairs for s in slots(span)]
+        if name == "t":
+            asked += [("c", cell, s) for cell in reach for s in slots(NEAR_MS)]
+        seen = set()
+        for token in asked:
+            for e in self.by_token.get(hash(token), ()):
+                if e >= best:
+                    break
+                if e not in seen:
+                    seen.add(e)
+                    if said.meets(self.of[e][3]):
+                        best = e
+                        break
+        return best if best < none else None
+
+
+REPLAYED = "pos long, slot long, life long, lifecycle string, stable_id string"
+GIVEN = ("pos", "id", "stable_id", "content", "keys", "free", "digest", "nws", "at_ms", "lat", "lng", "title", "words", "category", "categories", "pairs", "cell", "reach")
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Match rows (``component`` and the columns of GIVEN) that come in order of component and position with the entries of one component."""
+    names = [c.split()[0] for c in REPLAYED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    component, entries, titles, kinds = None, _Entries(), {}, {}
     for batch in batches:
         out = []
-        for group, pos, link, ident, stable, content, keys in zip(*(c.to_pylist() for c in batch.columns)):
+        for group, pos, ident, stable, content, keys, free, digest, nws, at, lat, lng, title, words, category, categories, pairs, cell, reach in zip(*(c.to_pylist() for c in batch.columns)):
             if group != component:
-                component, entries, current, by_key, stables, met = group, [], {}, {}, {}, set()
-            if link is not None:
-                if link in current:
-                    met.add(current[link])
-                continue
+                component, entries, titles, kinds = group, _Entries(), {}, {}
+            # Equal titles and categories are held once.
+            words, pairs = titles.setdefault(title, (frozenset(words), tuple(pairs))) if free else (frozenset(), ())
+            category, categories = kinds.setdefault((category, *categories), (category, frozenset(categories)))
+            said = _Said(content, keys, digest, nws, at, lat, lng, words, category, categories, pairs, cell)
             if pos < 0:
-                begin(stable, pos, content, keys)
+                entries.begin(stable, pos, said)
                 continue
-            found = min(met.union(*(by_key.get(k, ()) for k in keys)), default=None)
-            met.clear()
+            found = entries.first(said, reach)
             if found is not None:
-                lifecycle = "ongoing" if entries[found][3] == content else "updated"
-                say(found, pos, content, keys)
-            elif ident in stables:  # its own id stands for an entry that has become something else: it takes the place
-                found, lifecycle = stables[ident], "new"
-                say(found, pos, content, keys)
-                entries[found][1] = pos
+                lifecycle = "ongoing" if entries.of[found][3].content == content else "updated"
+                entries.say(found, said)
+            elif ident in entries.stables:  # its own id stands for an entry that has become something else: it takes the place
+                found, lifecycle = entries.stables[ident], "new"
+                entries.say(found, said)
+                entries.of[found][1] = pos
             else:
-                found, lifecycle = begin(ident, pos, content, keys), "new"
-            stable, life, slot = entries[found][:3]
+                found, lifecycle = entries.begin(ident, pos, said), "new"
+            stable, life, slot = entries.of[found][:3]
             out.append((pos, slot, life, lifecycle, stable))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names)
 
@@ -159,26 +240,19 @@ def apply_ledger(stored: DataFrame | None, incoming: DataFrame, now_ms: int, cur
     Events: ``ord, stable_id, fused_id, lifecycle`` (new, updated, ongoing), ``first_ms, last_ms, changed_ms, update_count,
     change_sequence``.  An empty batch gives no events and the entries that remain.
 
-    Links are found by blocking joins.  What an event becomes may hang on anything in its connected component, so rows of
-    a component pass one task in order; that task holds the component's entries, not its rows or links.
+    What an event becomes may hang on anything in its connected component, so rows of a component pass one task in order.
+    That task holds the component's entries and meets each event only with what they say last: no pair of rows is made, there
+    or in a join.
     """
     rows = incoming.select(F.col("ord").cast("long").alias("pos"), F.lit(None).cast("string").alias("stable_id"), *EVENT)
     kept = None
     if stored is not None:
         kept = stored.select(*ENTRY).where(F.lit(now_ms) - F.col("last_ms") <= retention_ms)
         rows = kept.select((F.col("place") - F.lit(BEFORE)).alias("pos"), "stable_id", *EVENT).unionByName(rows)
-    f = cut(_features(rows))
-    links = cut(_fuzzy_links(f))
-    own = F.when(F.col("stable_id").isNotNull(), F.array(F.concat(F.lit("i"), "stable_id"))).otherwise(F.array().cast("array<string>"))
-    keyed = f.select("pos", F.explode(F.array_distinct(F.concat("keys", own))).alias("key"))
-    least = keyed.groupBy("key").agg(F.min("pos").alias("src"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(least, "key").where("pos <> src").select("src", F.col("pos").alias("dst"))
-    parts = cut(connected_components(stars.union(links.select("link", "pos"))).select(F.col("node").alias("pos"), "component"))
-    nodes = f.select("pos", F.lit(None).cast("long").alias("link"), "id", "stable_id", "content", "keys")
-    none = [F.lit(None).cast(f.schema[c].dataType).alias(c) for c in ("id", "stable_id", "content", "keys")]
-    every = nodes.unionByName(links.select("pos", "link", *none)).join(parts, "pos", "left")
-    every = every.where("component IS NOT NULL OR pos >= 0").select(F.coalesce("component", "pos").alias("component"), "pos", "link", "id", "stable_id", "content", "keys")
-    ordered = every.repartition("component").sortWithinPartitions("component", "pos", F.col("link").asc_nulls_last())
+    f = cut(_titled(cut(_features(rows))))
+    parts = connected_components(_stars(f)).select(F.col("node").alias("pos"), "component")
+    every = f.join(parts.hint("merge"), "pos", "left").where("component IS NOT NULL OR pos >= 0").select(F.coalesce("component", "pos").alias("component"), *GIVEN)
+    ordered = every.repartition("component").sortWithinPartitions("component", "pos")
     said = cut(ordered.mapInArrow(_replay, REPLAYED))
 
     changes = said.where("lifecycle <> 'ongoing'").select("pos", F.expr(f"pos div {BLOCK}").alias("block"))

@@ -135,3 +135,19 @@ def test_query_equals_the_sequential_version(spark):
     want = plain.apply([r for r in rows if r["ord"] % 2 == 0], NOW_MS) | plain.apply([r for r in rows if r["ord"] % 2], NOW_MS + 90_000)
     got = {r.ord: (r.stable_id, r.fused_id, r.lifecycle, r.first_ms, r.last_ms, r.changed_ms, r.update_count, r.change_sequence) for r in str01_continuity(spark, SF).collect()}
     assert got == want
+
+
+def test_events_that_all_match_make_no_row_a_pair(spark, monkeypatch):
+    n = 400
+    rows = [(i, f"e{i}", "river rises in the town", "", "flood", ["flood"], START + i, 10.0, 20.0, [], [], False, "1") for i in range(n)]
+    most, whole = [], continuity.cut
+
+    def counted(frame):
+        frame = whole(frame)
+        most.append(frame.count())
+        return frame
+
+    monkeypatch.setattr(continuity, "cut", counted)
+    events, stored, cursor = continuity.apply_ledger(None, spark.createDataFrame(rows, COLUMNS), START)
+    assert {r.stable_id for r in events.collect()} == {"e0"} and events.count() == n and stored.count() == cursor == 1
+    assert max(most) <= 10 * n
