@@ -242,7 +242,8 @@ def apply_ledger(stored: DataFrame | None, incoming: DataFrame, now_ms: int, cur
 
     What an event becomes may hang on anything in its connected component, so rows of a component pass one task in order.
     That task holds the component's entries and meets each event only with what they say last: no pair of rows is made, there
-    or in a join.
+    or in a join.  Joins of rows are merges: Spark takes a materialised frame for as small as the file it comes from, and would
+    send it through the driver to every task.
     """
     rows = incoming.select(F.col("ord").cast("long").alias("pos"), F.lit(None).cast("string").alias("stable_id"), *EVENT)
     kept = None
@@ -260,11 +261,11 @@ def apply_ledger(stored: DataFrame | None, incoming: DataFrame, now_ms: int, cur
     offsets = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n") + F.lit(cursor)).alias("offset"))
     nth = F.row_number().over(Window.partitionBy("block").orderBy("pos"))
     numbered = changes.withColumn("nth", nth).join(offsets, "block").select("pos", (F.col("offset") + F.col("nth")).alias("seq"))
-    said = said.join(numbered, "pos", "left")
+    said = said.join(numbered.hint("merge"), "pos", "left")
 
     earlier = ["first_ms", "changed_ms", "update_count", "change_sequence"]
     if kept is not None:
-        said = said.join(kept.select((F.col("place") - F.lit(BEFORE)).alias("life"), *earlier), "life", "left")
+        said = said.join(kept.select((F.col("place") - F.lit(BEFORE)).alias("life"), *earlier).hint("merge"), "life", "left")
     else:
         said = said.withColumns({c: F.lit(None).cast("long") for c in earlier})
     so_far = Window.partitionBy("life").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -277,9 +278,9 @@ def apply_ledger(stored: DataFrame | None, incoming: DataFrame, now_ms: int, cur
     # The ledger: of each place the last event, and the places that no event met.
     last = events.groupBy("slot").agg(F.max_by(F.struct(*[c for c in events.columns if c != "slot"]), "ord").alias("e"), F.min_by("change_sequence", "ord").alias("begun"))
     place = F.when(F.col("slot") < 0, F.col("slot") + F.lit(BEFORE)).otherwise(F.col("begun")).alias("place")
-    after = last.select("e.*", place).join(incoming.select(F.col("ord").cast("long").alias("ord"), *EVENT), "ord").select(*ENTRY)
+    after = last.select("e.*", place).join(incoming.select(F.col("ord").cast("long").alias("ord"), *EVENT).hint("merge"), "ord").select(*ENTRY)
     if kept is not None:
-        after = after.unionByName(kept.join(last.select((F.col("slot") + F.lit(BEFORE)).alias("place")), "place", "left_anti").select(*ENTRY))
+        after = after.unionByName(kept.join(last.select((F.col("slot") + F.lit(BEFORE)).alias("place")).hint("merge"), "place", "left_anti").select(*ENTRY))
     top = events.agg(F.max("change_sequence")).first()[0]
-    named = events.join(incoming.select(F.col("ord").cast("long").alias("ord"), F.col("id").alias("fused_id")), "ord")
+    named = events.join(incoming.select(F.col("ord").cast("long").alias("ord"), F.col("id").alias("fused_id")).hint("merge"), "ord")
     return named.select("ord", "stable_id", "fused_id", "lifecycle", *earlier[:1], "last_ms", *earlier[1:]), cut(after), max(cursor, top or 0)

@@ -116,8 +116,8 @@ def continuity_step(events: DataFrame, batch: int, folder: str, retention_ms: in
     stored = None
     if state["entries"]:
         asked = _tokens(_features(rows.select(F.col("ord").alias("pos"), F.lit(None).cast("string").alias("stable_id"), *EVENT)), True)
-        places = spark.read.parquet(*state["index"]).join(asked.select("token").distinct(), "token", "left_semi").select("place").distinct()
-        stored = cut(_latest(spark.read.parquet(*state["entries"]).join(places, "place", "left_semi")).select(*ENTRY))
+        places = spark.read.parquet(*state["index"]).join(asked.select("token").distinct().hint("merge"), "token", "left_semi").select("place").distinct()
+        stored = cut(_latest(spark.read.parquet(*state["entries"]).join(places.hint("merge"), "place", "left_semi")).select(*ENTRY))
     out, after, cursor = apply_ledger(stored, rows, now, state["cursor"], retention_ms)
     data = f"{folder}/data/{uuid.uuid4().hex}"
     out.withColumn("batch", F.lit(batch).cast("long")).write.parquet(f"{data}/events")

@@ -151,3 +151,9 @@ def test_events_that_all_match_make_no_row_a_pair(spark, monkeypatch):
     events, stored, cursor = continuity.apply_ledger(None, spark.createDataFrame(rows, COLUMNS), START)
     assert {r.stable_id for r in events.collect()} == {"e0"} and events.count() == n and stored.count() == cursor == 1
     assert max(most) <= 10 * n
+
+
+def test_no_rows_are_sent_through_the_driver(spark):
+    incoming = continuity.cut(continuity_events(spark, SF).where("ord < 20"))  # Spark takes it for as small as its file
+    events, _, _ = continuity.apply_ledger(None, incoming, START)
+    assert "BroadcastHashJoin" not in events._jdf.queryExecution().executedPlan().toString()
