@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -66,13 +67,19 @@ FAMILIES = (
 )
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that Spark computes once: written out, it would be computed anew wherever ``f`` names it under a condition."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _any_in(low: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+
+
 def classify_event(text: Column) -> Column:
     """The first group in order with any of its words inside the lower-cased text; else other."""
-    low = F.lower(text)
-    out = F.lit(None).cast("string")
-    for name, words in CATEGORY_WORDS:
-        out = F.coalesce(out, F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name))
-    return F.coalesce(out, F.lit("other"))
+    first = lambda low: F.coalesce(*[F.when(_any_in(low, words), name) for name, words in CATEGORY_WORDS])
+    return F.coalesce(_once(F.lower(text), first), F.lit("other"))
 
 
 def category_family(category: Column) -> Column:
@@ -95,8 +102,8 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def risk_score(text: Column) -> Column:
-    low = F.lower(text)
-    hits = reduce(lambda a, b: a + b, [F.when(low.contains(w), 1).otherwise(0) for w in RISK_WORDS])
+    said = lambda low: reduce(lambda a, b: a + b, [F.when(low.contains(w), 1).otherwise(0) for w in RISK_WORDS])
+    hits = F.coalesce(_once(F.lower(text), said), F.lit(0))
     urgent = F.when(text.rlike(f"(?iu){URGENT}"), 1).otherwise(0)
     return F.least(F.lit(10), F.greatest(F.lit(1), F.floor((1 + hits * 1.15 + urgent) + 0.5))).cast("int")
 
@@ -104,15 +111,17 @@ def risk_score(text: Column) -> Column:
 def locate(text: Column) -> Column:
     """``struct<label, lat, lng, confidence>`` of the first place any of whose keys stands in the text as words.
 
-    A Cyrillic key may end in up to three more letters.
+    A Cyrillic key may end in up to three more letters.  Only where a key stands at all is it looked at as a word.
     """
-    low = F.lower(text)
-    out = []
-    for keys, label, lat, lng, sure in PLACES:
-        words = "|".join(re.escape(k) + ("[а-яё]{0,3}" if re.search("[а-яё]", k) else "") for k in keys)
-        at = F.struct(F.lit(label).alias("label"), F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"), F.lit(sure).alias("confidence"))
-        out.append(F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"), at))
-    return F.coalesce(*out)
+    def first(low: Column) -> Column:
+        out = []
+        for keys, label, lat, lng, sure in PLACES:
+            words = "|".join(re.escape(k) + ("[а-яё]{0,3}" if re.search("[а-яё]", k) else "") for k in keys)
+            at = F.struct(F.lit(label).alias("label"), F.lit(float(lat)).alias("lat"), F.lit(float(lng)).alias("lng"), F.lit(sure).alias("confidence"))
+            out.append(F.when(_any_in(low, keys) & low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"), at))
+        return F.coalesce(*out)
+
+    return _once(F.lower(text), first)
 
 
 def provider_identity(event_id: Column, source_id: Column, upstream_id: Column) -> Column:
