@@ -56,3 +56,12 @@ def test_titles_are_compared_once_a_list_of_words(spark):
     got = sorted((r.a, r.b, r.similarity) for r in found.collect())
     share = lambda x, y: len(set(x) & set(y)) / max(len(x), len(y))
     assert got == sorted((a, b, share(x, y)) for a, s, x in rows for b, t, y in rows if a < b and s == t and s and share(x, y) >= 0.5)
+
+
+def test_reports_of_one_time_and_place_meet_as_one(spark):
+    rows = [(i, "wildfire", 5_000_000 + i % 2 * 1000, 0.01 * (i % 3), 179.99 + i % 2 * 0.005) for i in range(60)] + [(7, "wildfire", 5_000_500, 0.0, 179.99), (7, "wildfire", 5_000_500, 0.0, 179.99)]
+    found = reconcile.nearby_members(spark.createDataFrame(rows, "member long, category string, at_ms long, lat double, lng double"))
+    got = [(r.left, r.right) for r in found.collect()]
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    said = plan(found)
+    assert said.index("Generate explode(one") < said.index("SortMergeJoin")
