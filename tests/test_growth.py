@@ -65,3 +65,14 @@ def test_reports_of_one_time_and_place_meet_as_one(spark):
     assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60)]
     said = plan(found)
     assert said.index("Generate explode(one") < said.index("SortMergeJoin")
+
+
+def test_places_of_a_nation_meet_once_for_all_their_keys(spark, tmp_path):
+    spark.range(60).selectExpr("id % 3 * 36000 + id AS s_suppkey", "id % 2 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(700).selectExpr("id * 36000 AS c_custkey", "id % 2 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    met = feed._pairs(spark, str(tmp_path))
+    assert met.selectExpr("sum(size(s_suppkey) * size(c_custkey))").first()[0] == 60 * 350 and met.count() == 60 * 2
+    for name in ("sca01_haversine", "sca02_bearing_destination", "sca11_format_distance"):
+        found = registry.QUERIES[name](spark, str(tmp_path))
+        assert found.distinct().count() == found.count() == 60 * 350
+        assert plan(found).index("Generate explode(c_custkey") < plan(found).index("SortMergeJoin")
