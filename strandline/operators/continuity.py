@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -104,15 +105,17 @@ def _stars(f: DataFrame) -> DataFrame:
 class _Said:
     """What an event says, as the rules compare it."""
 
-    __slots__ = ("content", "keys", "digest", "nws", "at", "lat", "lng", "words", "category", "categories", "pairs", "cell")
+    __slots__ = ("content", "keys", "digest", "nws", "at", "lat", "lng", "words", "category", "categories", "pairs", "cells")
 
-    def __init__(self, content, keys, digest, nws, at, lat, lng, words, category, categories, pairs, cell) -> None:
+    def __init__(self, content, keys, digest, nws, at, lat, lng, words, category, categories, pairs, cells) -> None:
         self.content, self.keys, self.digest, self.nws, self.at, self.lat, self.lng = content, keys, digest, nws, at, lat, lng
-        self.words, self.category, self.categories, self.pairs, self.cell = words, category, categories, pairs, cell
+        self.words, self.category, self.categories, self.pairs, self.cells = words, category, categories, pairs, cells
 
     def km(self, other: _Said) -> float | None:
         if self.lat is None or other.lat is None:
             return None
+        if self.lat == other.lat and self.lng == other.lng:
+            return 0.0
         p, q = math.radians(self.lat), math.radians(other.lat)
         h = math.sin(math.radians(other.lat - self.lat) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(other.lng - self.lng) / 2) ** 2
         return math.asin(min(1.0, math.sqrt(h))) * (2 * EARTH_KM)
@@ -122,7 +125,7 @@ class _Said:
         apart = abs(self.at - other.at)
         if apart > WINDOW_MS or self.digest != other.digest or self.nws and other.nws or self.category != other.category and self.categories.isdisjoint(other.categories):
             return False
-        share = len(self.words & other.words) / max(len(self.words), len(other.words))
+        share = 1.0 if self.words is other.words else len(self.words & other.words) / max(len(self.words), len(other.words))
         if share < SOME:
             return False
         km = self.km(other)
@@ -133,36 +136,52 @@ class _Said:
 
 
 class _Entries:
-    """The entries of one component by what they say last: numbers in the order of their places, sorted under each token.
-
-    Under hashes may stand entries of other tokens, which the rules then reject.
-    """
+    """The entries of one component by what they say last: numbers in the order of their places, sorted under each token, tokens by slot of time."""
 
     def __init__(self) -> None:
         self.of: list[list] = []  # stable id, first position of its life, slot, what it says
         self.stables: dict[str, int] = {}
         self.by_key: dict[str, list[int]] = {}
-        self.by_token: dict[int, list[int]] = {}
-
-    def _listed(self, said: _Said) -> Iterator[tuple[dict, int | str]]:
-        for key in said.keys:
-            yield self.by_key, key
-        for name, span in (("t", WINDOW_MS), ("q", QUAKE_MS)):
-            for pair in said.pairs:
-                yield self.by_token, hash((name, pair, said.at // span))
-        if said.cell is not None:
-            yield self.by_token, hash(("c", said.cell, said.at // NEAR_MS))
+        self.by_title: dict[int, dict[int, list[int]]] = {}
+        self.by_shock: dict[int, dict[int, list[int]]] = {}
+        self.by_cell: dict[int, dict[int, list[int]]] = {}
+
+    @staticmethod
+    def _drop(held: dict, tokens: Iterable, e: int) -> None:
+        for token in tokens:
+            under = held[token]
+            del under[bisect_left(under, e)]
+            if not under:
+                del held[token]
+
+    @staticmethod
+    def _put(held: dict, tokens: Iterable, e: int) -> None:
+        for token in tokens:
+            if (under := held.get(token)) is None:
+                held[token] = [e]
+            else:
+                insort(under, e)
 
     def say(self, e: int, said: _Said) -> None:
-        if (before := self.of[e][3]) is not None:
-            for index, token in self._listed(before):
-                held = index[token]
-                del held[bisect_left(held, e)]
-                if not held:
-                    del index[token]
+        """The entry leaves the tokens that it no longer has and comes under the new ones."""
+        before = self.of[e][3]
         self.of[e][3] = said
-        for index, token in self._listed(said):
-            insort(index.setdefault(token, []), e)
+        if before is None or before.keys != said.keys:
+            if before is not None:
+                self._drop(self.by_key, before.keys, e)
+            self._put(self.by_key, said.keys, e)
+        for index, span, field in ((self.by_title, WINDOW_MS, "pairs"), (self.by_shock, QUAKE_MS, "pairs"), (self.by_cell, NEAR_MS, "cells")):
+            slot, tokens = said.at // span, getattr(said, field)
+            if before is not None:
+                old, had = before.at // span, getattr(before, field)
+                if old == slot and had == tokens:
+                    continue
+                if had:
+                    self._drop(index[old], had, e)
+                    if not index[old]:
+                        del index[old]
+            if tokens:
+                self._put(index.setdefault(slot, {}), tokens, e)
 
     def begin(self, stable: str | None, pos: int, said: _Said) -> int:
         self.of.append([stable, pos, pos, None])
@@ -176,14 +195,15 @@ class _Entries:
         """The first entry that an event matches; each list is read up to its first match or the best so far."""
         none = len(self.of)
         best = min((self.by_key[k][0] for k in said.keys if k in self.by_key), default=none)
-        name, span = ("q", QUAKE_MS) if said.category == "earthquake" else ("t", WINDOW_MS)
-        slots = lambda width: range(said.at // width - 1, said.at // width + 2)
-        asked = [(name, pair, s) for pair in said.pairs for s in slots(span)]
-        if name == "t":
-            asked += [("c", cell, s) for cell in reach for s in slots(NEAR_MS)]
+        quake = said.category == "earthquake"
+        asked = [(self.by_shock if quake else self.by_title, QUAKE_MS if quake else WINDOW_MS, said.pairs)]
+        if not quake:
+            asked.append((self.by_cell, NEAR_MS, reach))
+        lists = [held[t] for index, span, tokens in asked for s in range(said.at // span - 1, said.at // span + 2) if (held := index.get(s)) for t in tokens if t in held]
+        lists.sort(key=itemgetter(0))
         seen = set()
-        for token in asked:
-            for e in self.by_token.get(hash(token), ()):
+        for listed in lists:
+            for e in listed:
                 if e >= best:
                     break
                 if e not in seen:
@@ -194,10 +214,23 @@ class _Entries:
         return best if best < none else None
 
 
+NO_WORDS: tuple[frozenset, tuple] = frozenset(), ()
 REPLAYED = "pos long, slot long, life long, lifecycle string, stable_id string"
 GIVEN = ("pos", "id", "stable_id", "content", "keys", "free", "digest", "nws", "at_ms", "lat", "lng", "title", "words", "category", "categories", "pairs", "cell", "reach")
 
 
+def _lists(values: pa.ListArray) -> Callable[[int], list]:
+    """The list of a row, made when it is asked for."""
+    ends = values.offsets.to_numpy()
+    items = values.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    ends = (ends - ends[0]).tolist()
+    if pa.types.is_string(items.type):
+        told = items.to_pylist()
+        return lambda i: told[ends[i] : ends[i + 1]]
+    numbers = items.to_numpy()
+    return lambda i: numbers[ends[i] : ends[i + 1]].tolist()
+
+
 def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Match rows (``component`` and the columns of GIVEN) that come in order of component and position with the entries of one component."""
     names = [c.split()[0] for c in REPLAYED.split(", ")]
@@ -205,17 +238,25 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     component, entries, titles, kinds = None, _Entries(), {}, {}
     for batch in batches:
         out = []
-        for group, pos, ident, stable, content, keys, free, digest, nws, at, lat, lng, title, words, category, categories, pairs, cell, reach in zip(*(c.to_pylist() for c in batch.columns)):
+        named = dict(zip(("component", *GIVEN), batch.columns))
+        words_of, pairs_of, reach_of, keys_of, categories_of = (_lists(named.pop(c)) for c in ("words", "pairs", "reach", "keys", "categories"))
+        for i, (group, pos, ident, stable, content, free, digest, nws, at, lat, lng, title, category, cell) in enumerate(zip(*(c.to_pylist() for c in named.values()))):
             if group != component:
                 component, entries, titles, kinds = group, _Entries(), {}, {}
             # Equal titles and categories are held once.
-            words, pairs = titles.setdefault(title, (frozenset(words), tuple(pairs))) if free else (frozenset(), ())
-            category, categories = kinds.setdefault((category, *categories), (category, frozenset(categories)))
-            said = _Said(content, keys, digest, nws, at, lat, lng, words, category, categories, pairs, cell)
+            if not free:
+                words, pairs = NO_WORDS
+            elif (held := titles.get(title)) is not None:
+                words, pairs = held
+            else:
+                words, pairs = titles[title] = frozenset(words_of(i)), tuple(pairs_of(i))
+            kind = category, *categories_of(i)
+            category, categories = kinds.get(kind) or kinds.setdefault(kind, (category, frozenset(kind[1:])))
+            said = _Said(content, keys_of(i), digest, nws, at, lat, lng, words, category, categories, pairs, () if cell is None else (cell,))
             if pos < 0:
                 entries.begin(stable, pos, said)
                 continue
-            found = entries.first(said, reach)
+            found = entries.first(said, reach_of(i))
             if found is not None:
                 lifecycle = "ongoing" if entries.of[found][3].content == content else "updated"
                 entries.say(found, said)
@@ -270,9 +311,10 @@ def apply_ledger(stored: DataFrame | None, incoming: DataFrame, now_ms: int, cur
         said = said.withColumns({c: F.lit(None).cast("long") for c in earlier})
     so_far = Window.partitionBy("life").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seq, updates = F.last("seq", ignorenulls=True).over(so_far), F.sum((F.col("lifecycle") == "updated").cast("long")).over(so_far)
+    now = F.lit(now_ms).cast("long")  # a small clock would be an int
     events = cut(said.select(
-        F.col("pos").alias("ord"), "slot", "stable_id", "lifecycle", F.coalesce("first_ms", F.lit(now_ms)).alias("first_ms"), F.lit(now_ms).alias("last_ms"),
-        F.when(seq.isNotNull(), F.lit(now_ms)).otherwise(F.col("changed_ms")).alias("changed_ms"), (F.coalesce("update_count", F.lit(0)) + updates).alias("update_count"),
+        F.col("pos").alias("ord"), "slot", "stable_id", "lifecycle", F.coalesce("first_ms", now).alias("first_ms"), now.alias("last_ms"),
+        F.when(seq.isNotNull(), now).otherwise(F.col("changed_ms")).alias("changed_ms"), (F.coalesce("update_count", F.lit(0)) + updates).alias("update_count"),
         F.coalesce(seq, "change_sequence").alias("change_sequence"),
     ))
     # The ledger: of each place the last event, and the places that no event met.
